@@ -189,4 +189,5 @@ def splice(text: Column, spans: Column, replacement: Callable[[Column], Column])
 
 def normalize(text: Column) -> Column:
     """Spoken form of a written text."""
-    return squash(splice(text, scan(text), lambda s: spoken(s["cls"], s["surface"])))
+    spans = scan(text)
+    return squash(splice(text, spans, lambda s: spoken(s["cls"], s["surface"])))

@@ -104,6 +104,7 @@ def cardinal(digits: Column) -> Column:
     def read(number: Column) -> Column:
         return (
             F.when(number == "", F.lit("zero"))
+            .when(F.length(number) <= 3, F.element_at(below, number.cast("int") + 1))
             .when(F.length(number) > MAX_DIGITS, spell_digits(number, oh=False))
             .otherwise(let(F.lpad(number, MAX_DIGITS, "0"), spell))
         )

@@ -58,7 +58,6 @@ def running_sum(
         bucket = F.struct(*order[:-1], cut)
     rows = df.withColumn("_value", value).withColumn("_bucket", bucket)
     group = [*key, "_bucket"]
-    # Rank of the bucket by its rows; the sums fit one row per bucket.
     sums = rows.groupBy(*group).agg(F.sum("_value").alias("_sum"))
     outer = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(*BEFORE)
     carry = sums.select(*group, F.coalesce(F.sum("_sum").over(outer), F.lit(0)).alias("_carry"))
@@ -80,20 +79,22 @@ def number_rows(df: DataFrame, order: list[str], out: str = "row_no") -> DataFra
     """
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    low = (1 << 33) - 1
     placed = durable(
         df.repartitionByRange(parts, *[F.col(c) for c in order])
         .sortWithinPartitions(*order)
-        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_slot", F.monotonically_increasing_id())
     )
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    part = F.shiftright("_slot", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select(
         "_part",
         F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(*BEFORE)), F.lit(0)).alias("_offset"),
     )
-    inner = Window.partitionBy("_part").orderBy(*order)
     # One row per shuffle partition: a proven bound, so a broadcast is safe.
     return (
-        placed.join(F.broadcast(offsets), "_part")
-        .withColumn(out, F.col("_offset") + F.row_number().over(inner))
+        placed.withColumn("_part", part)
+        .join(F.broadcast(offsets), "_part")
+        .withColumn(out, F.col("_offset") + F.col("_slot").bitwiseAND(low) + 1)
         .select(*df.columns, out)
     )

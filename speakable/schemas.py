@@ -25,7 +25,7 @@ DEFAULTS = {
 }
 VOICE_INDEX = {"narrator": 7306, "dialogue": 1284, "heading": 5022, "alt_male": 6799}
 STATUSES = [
-    "received", "parsed", "normalized", "synthesized", "stitched", "completed", "needs_review", "failed",
+    "pending", "parsed", "normalized", "synthesized", "qa_done", "completed", "needs_review", "failed",
 ]
 
 PAIRS = T.StructType(
