@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .expr import ENDS_WORD, SPACE, STARTS_WORD, WORD, has, let, squash
 from .readings import spoken
+from .words import word_list
 
 _D = r"\p{Nd}"
 _S = f"[{SPACE}]"
@@ -52,83 +53,96 @@ RULES = [
         needles=("$", "£", "€", "¥"),
     ),
     Rule("TELEPHONE", rf"\(?{_D}{{3}}\)?[{SPACE}.\-]{_D}{{3}}[{SPACE}.\-]{_D}{{4}}{_E}", digit=True),
-    Rule("TIME", rf"(?iu){_B}{_D}{{1,2}}:{_D}{{2}}(?:{_S}?[ap]\.?m\.?)?{_EDGE}", digit=True, needles=(":",)),
+    Rule("TIME", rf"(?iu)(?={_D}){_B}{_D}{{1,2}}:{_D}{{2}}(?:{_S}?[ap]\.?m\.?)?{_EDGE}", digit=True, needles=(":",)),
     Rule(
         "MEASURE",
-        rf"{_B}{_D}[{_D},]*(?:\.{_D}+)?{_S}?(?:%|°[CF]|km/h|mph|kg|km|cm|mm|mg|ml|GB|MB|KB|TB"
+        rf"(?={_D}){_B}{_D}[{_D},]*(?:\.{_D}+)?{_S}?(?:%|°[CF]|km/h|mph|kg|km|cm|mm|mg|ml|GB|MB|KB|TB"
         rf"|kHz|MHz|GHz|kW|lbs?|oz|ft|mi|hrs?|min|sec){_E}",
         digit=True,
     ),
     Rule(
         "ROMAN",
-        rf"(?iu){_B}(king|queen|pope|louis|henry|george|edward|william|elizabeth|charles|richard"
+        rf"(?iu){_B}(?=\p{{L}}{{3,9}}{_S}+[MDCLXVI]{{1,4}}{_E})(king|queen|pope|louis|henry|george|edward|william|elizabeth|charles|richard"
         rf"|philip|napoleon|peter|catherine|chapter|part|section|book|act|scene|volume|vol|appendix)"
         rf"{_S}+([MDCLXVI]{{1,4}}){_E}",
         digit=False,
         precheck=rf"(?iu){_S}[MDCLXVI]{{1,4}}{_E}",
     ),
-    Rule("FRACTION", rf"{_B}{_D}+/{_D}+{_E}", digit=True, needles=("/",)),
-    Rule("ORDINAL", rf"(?iu){_B}({_D}+)(?:st|nd|rd|th){_E}", digit=True),
-    Rule("DECIMAL", rf"{_EDGE}{_D}*\.{_D}+{_E}", digit=True, needles=(".",)),
-    Rule("CARDINAL_G", rf"{_B}{_D}{{1,3}}(?:,{_D}{{3}})+{_E}", digit=True, needles=(",",)),
-    Rule("CARDINAL", rf"{_B}{_D}+{_E}", digit=True),
+    Rule("FRACTION", rf"(?={_D}){_B}{_D}+/{_D}+{_E}", digit=True, needles=("/",)),
+    Rule("ORDINAL", rf"(?iu)(?={_D}){_B}({_D}+)(?:st|nd|rd|th){_E}", digit=True),
+    Rule("DECIMAL", rf"(?=[{_D}.]){_EDGE}{_D}*\.{_D}+{_E}", digit=True, needles=(".",)),
+    Rule("CARDINAL_G", rf"(?={_D}){_B}{_D}{{1,3}}(?:,{_D}{{3}})+{_E}", digit=True, needles=(",",)),
+    Rule("CARDINAL", rf"(?={_D}){_B}{_D}+{_E}", digit=True),
     Rule(
         "ABBREV",
-        rf"(?d)(?=[MDPSJABRLVCFGI]|approx|vs|etc|e\.g|i\.e){_B}(?:Mr|Mrs|Ms|Dr|Prof|St|Jr|Sr|Ave|Blvd|Rd|Ln|Mt|Vol|Ch|Fig|Dept|Govt|Inc|Ltd"
+        rf"(?d)(?=[A-Za-z]{{2,6}}\.|e\.g|i\.e){_B}(?:Mr|Mrs|Ms|Dr|Prof|St|Jr|Sr|Ave|Blvd|Rd|Ln|Mt|Vol|Ch|Fig|Dept|Govt|Inc|Ltd"
         rf"|Corp|approx|vs|etc|e\.g|i\.e)\.(?={_S}|$|[^{WORD}])"
         rf"|(?=[SABRDLM]){_B}(?:St|Ave|Blvd|Rd|Dr|Ln|Mt){_E}(?={_S}+[A-Z])",
         digit=False,
     ),
 ]
 
-_HIT = "array<struct<prio:int,gap:int,surface:string>>"
-_SPAN = "array<struct<start:int,prio:int,stop:int,surface:string>>"
+# Unicode noncharacters, reserved for a program's own use; they frame matches below.
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
+_PIECE = "array<struct<prio:int,hit:int,rest:int>>"
+_PLACED = "array<struct<start:int,prio:int,stop:int>>"
 
 
-def _hits(text: Column, prio: int, rule: Rule) -> Column:
-    """Matches of one rule, each with the length of the gap before it."""
+def _shield(text: Column) -> Column:
+    """Swap the two frame characters for another of the same length; offsets stay true."""
+    framed = has(text, _OPEN, _CLOSE)
+    return F.when(framed, F.translate(text, _OPEN + _CLOSE, "\ufffd\ufffd")).otherwise(text)
 
-    def with_gaps(found: Column) -> Column:
-        gaps = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(found))
-        return F.zip_with(
-            gaps,
-            found,
-            lambda gap, hit: F.struct(
-                F.lit(prio).alias("prio"), F.length(gap).alias("gap"), hit.alias("surface")
-            ),
-        )
 
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    hits = let(found, lambda f: F.when(F.size(f) > 0, with_gaps(f)).otherwise(F.array().cast(_HIT)))
+def _pieces(text: Column, prio: int, rule: Rule) -> Column:
+    """One pass of a rule: matches are framed, the text is cut before each frame.
+
+    A piece is a match length and the length of the text after it; the text
+    before the first match has match length -1.
+    """
+
+    def measure(piece: Column) -> Column:
+        def lengths(close: Column) -> Column:
+            return F.struct(
+                F.lit(prio).alias("prio"),
+                (close - 1).alias("hit"),
+                (F.length(piece) - close).alias("rest"),
+            )
+
+        return let(F.instr(piece, _CLOSE), lengths)
+
+    nothing = F.array().cast(_PIECE)
+    marked = F.regexp_replace(text, rule.pattern, f"{_OPEN}$0{_CLOSE}")
+    pieces = let(
+        F.split(marked, _OPEN, -1),
+        lambda cut: F.when(F.size(cut) > 1, F.transform(cut, measure)).otherwise(nothing),
+    )
     if rule.needles:
-        return F.when(has(text, *rule.needles), hits).otherwise(F.array().cast(_HIT))
+        return F.when(has(text, *rule.needles), pieces).otherwise(nothing)
     if rule.precheck:
-        return F.when(F.rlike(text, F.lit(rule.precheck)), hits).otherwise(F.array().cast(_HIT))
-    return hits
+        return F.when(F.rlike(text, F.lit(rule.precheck)), pieces).otherwise(nothing)
+    return pieces
 
 
-def _place(hits: Column) -> Column:
-    """Turn gaps into offsets: one running position that starts again with each rule."""
-    start = F.struct(
-        F.lit(-1).alias("prio"), F.lit(0).alias("pos"), F.array().cast(_SPAN).alias("spans")
-    )
+def _place(pieces: Column) -> Column:
+    """Turn lengths into offsets; each rule starts again with its first piece."""
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast(_PLACED).alias("spans"))
 
-    def step(acc: Column, hit: Column) -> Column:
-        at = F.when(acc["prio"] == hit["prio"], acc["pos"]).otherwise(0) + hit["gap"]
-        stop = at + F.length(hit["surface"])
-        span = F.struct(
-            at.alias("start"), hit["prio"].alias("prio"), stop.alias("stop"), hit["surface"].alias("surface")
-        )
-        return F.struct(
-            hit["prio"].alias("prio"), stop.alias("pos"), F.array_append(acc["spans"], span).alias("spans")
+    def step(acc: Column, piece: Column) -> Column:
+        stop = acc["pos"] + piece["hit"]
+        span = F.struct(acc["pos"].alias("start"), piece["prio"].alias("prio"), stop.alias("stop"))
+        return F.when(
+            piece["hit"] < 0, F.struct(piece["rest"].alias("pos"), acc["spans"].alias("spans"))
+        ).otherwise(
+            F.struct((stop + piece["rest"]).alias("pos"), F.array_append(acc["spans"], span).alias("spans"))
         )
 
-    return F.aggregate(hits, start, step, lambda acc: acc["spans"])
+    return F.aggregate(pieces, start, step, lambda acc: acc["spans"])
 
 
 def _resolve(spans: Column) -> Column:
     """Keep spans from the left; one that starts inside a kept span is dropped."""
-    start = F.struct(F.lit(-1).alias("stop"), F.array().cast(_SPAN).alias("kept"))
+    start = F.struct(F.lit(-1).alias("stop"), F.array().cast(_PLACED).alias("kept"))
 
     def step(acc: Column, span: Column) -> Column:
         return F.when(
@@ -144,21 +158,22 @@ def scan(text: Column, classes: list[str] | None = None) -> Column:
 
     ``classes`` limits the rules, keeping their relative priority.
     """
-    names = F.array(*[F.lit(rule.cls) for rule in RULES])
+    names = word_list([rule.cls for rule in RULES])
     active = [(k, rule) for k, rule in enumerate(RULES) if classes is None or rule.cls in classes]
-    nothing = F.array().cast(_HIT)
-    plain = [_hits(text, k, rule) for k, rule in active if not rule.digit]
-    numeric = [_hits(text, k, rule) for k, rule in active if rule.digit]
-    hits = F.concat(
-        nothing,
-        *plain,
-        F.when(F.rlike(text, F.lit(_D)), F.concat(nothing, *numeric)).otherwise(nothing),
-    )
+    nothing = F.array().cast(_PIECE)
+
+    def cut(shielded: Column) -> Column:
+        plain = [_pieces(shielded, k, rule) for k, rule in active if not rule.digit]
+        numeric = [_pieces(shielded, k, rule) for k, rule in active if rule.digit]
+        return F.concat(
+            nothing,
+            *plain,
+            F.when(F.rlike(shielded, F.lit(_D)), F.concat(nothing, *numeric)).otherwise(nothing),
+        )
+
     resolved = let(
-        hits,
-        lambda h: F.when(F.size(h) == 0, F.array().cast(_SPAN))
-        .when(F.size(h) == 1, _place(h))
-        .otherwise(_resolve(_place(h))),
+        let(_shield(text), cut),
+        lambda p: F.when(F.size(p) == 0, F.array().cast(_PLACED)).otherwise(_resolve(_place(p))),
     )
     return F.transform(
         resolved,
@@ -166,7 +181,7 @@ def scan(text: Column, classes: list[str] | None = None) -> Column:
             s["start"].alias("start"),
             s["stop"].alias("stop"),
             F.element_at(names, s["prio"] + 1).alias("cls"),
-            s["surface"].alias("surface"),
+            F.substr(text, s["start"] + 1, s["stop"] - s["start"]).alias("surface"),
         ),
     )
 

@@ -424,8 +424,8 @@ def _shout(texts: list[str]) -> tuple[list[str], list[float]]:
 
 # Streams read the table's files to the end and append to the scratch folder.
 def _stream(spark, sf, name):
-    path = f"{sf}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    schema = table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
 def _fresh(spark) -> str:
