@@ -364,7 +364,9 @@ def spoken(cls: Column, surface: Column) -> Column:
     text = F.when(cls.isin("ELECTRONIC", "ABBREV"), surface).otherwise(ascii_digits(surface))
 
     def read(txt: Column) -> Column:
-        return speak(chain([(cls == name, build(txt)) for name, build in PARTS.items()], F.array(part(LITERAL, txt))))
+        # The most frequent class is asked for first.
+        cases = sorted(PARTS.items(), key=lambda item: item[0] != "CARDINAL")
+        return speak(chain([(cls == name, build(txt)) for name, build in cases], F.array(part(LITERAL, txt))))
 
     return let(text, read)
 

@@ -37,6 +37,12 @@ class Rule:
     precheck: str = ""
 
 
+# Abbreviations before a full stop, and those that also stand without one.
+_ABBREVIATED = (
+    r"Mr|Mrs|Ms|Dr|Prof|St|Jr|Sr|Ave|Blvd|Rd|Ln|Mt|Vol|Ch|Fig|Dept|Govt|Inc|Ltd|Corp|approx|vs|etc|e\.g|i\.e"
+)
+_PLACES = "St|Ave|Blvd|Rd|Dr|Ln|Mt"
+
 # The twelve span patterns in order of priority.
 RULES = [
     Rule(
@@ -75,10 +81,10 @@ RULES = [
     Rule("CARDINAL", rf"(?={_D}){_B}{_D}+{_E}", digit=True),
     Rule(
         "ABBREV",
-        rf"(?d)(?=[A-Za-z]{{2,6}}\.|e\.g|i\.e){_B}(?:Mr|Mrs|Ms|Dr|Prof|St|Jr|Sr|Ave|Blvd|Rd|Ln|Mt|Vol|Ch|Fig|Dept|Govt|Inc|Ltd"
-        rf"|Corp|approx|vs|etc|e\.g|i\.e)\.(?={_S}|$|[^{WORD}])"
-        rf"|(?=[SABRDLM]){_B}(?:St|Ave|Blvd|Rd|Dr|Ln|Mt){_E}(?={_S}+[A-Z])",
+        rf"(?d)(?=[A-Za-z]{{2,6}}\.|e\.g|i\.e){_B}(?:{_ABBREVIATED})\.(?={_S}|$|[^{WORD}])"
+        rf"|(?=[SABRDLM]){_B}(?:{_PLACES}){_E}(?={_S}+[A-Z])",
         digit=False,
+        precheck=rf"\.(?<=(?:{_ABBREVIATED})\.)|(?=[SABRDLM])(?:{_PLACES}){_E}",
     ),
 ]
 
