@@ -168,6 +168,27 @@ def chunks(x: str, limit: int = 480, small: int = 40) -> str:
     return f"CASE WHEN {strip(x)} = '' THEN [] ELSE string_split({merged}, chr(1)) END"
 
 
+def speech_chunks(x: str, limit: int = 480) -> str:
+    """List of synthesis chunks: sentence marks packed, long ones by words on their own."""
+    t = squash(x)
+    marks = f"list_filter(list_transform(regexp_extract_all({t}, '[^.!?]*[.!?]+|[^ .!?][^.!?]*$'), lambda s: trim(s)), lambda s: s <> '')"
+    words = f"string_split({_greedy("string_split(s, ' ')", limit)}, chr(1))"
+    marked = (
+        f"flatten(list_transform({marks}, lambda s: CASE WHEN length(s) > {limit}"
+        f" THEN list_transform({words}, lambda p: p || chr(3)) ELSE [s] END))"
+    )
+    packed = (
+        f"list_reduce({marked}, lambda a, s: CASE WHEN a = '' THEN s"
+        f" WHEN right(a, 1) <> chr(3) AND right(s, 1) <> chr(3)"
+        f" AND length(string_split(a, chr(1))[-1]) + 1 + length(s) <= {limit} THEN a || ' ' || s"
+        f" ELSE a || chr(1) || s END, '')"
+    )
+    return (
+        f"CASE WHEN {t} = '' THEN [] WHEN length({t}) <= {limit} THEN [{t}]"
+        f" ELSE list_transform(string_split({packed}, chr(1)), lambda p: replace(p, chr(3), '')) END"
+    )
+
+
 def boilerplate(t: str) -> str:
     return (
         f"(regexp_matches({t}, '(?i)^page{S}+\\d+$') OR regexp_matches({t}, '^\\d+$')"

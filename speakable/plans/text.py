@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import segmenting as seg
@@ -9,8 +11,9 @@ from ..functions.expr import squash
 from ..operators import blocks as B
 from ..operators import monitor, quality, score, segments, voices
 from ..operators.pairs import load_pairs
+from ..operators.prefix import scratch_dir
 from ..schemas import JOB_LOG, PAIRS
-from ..sources.readers import decode_text, parse_jsonl, parse_log
+from ..sources.readers import decode_text, parse_jsonl, parse_log, read_documents
 from . import sql as q
 from .inputs import LINE, jobs, spread, table, talk
 from .registry import query
@@ -140,6 +143,16 @@ def decode(spark, sf):
     return docs.select("doc_id", decode_text(content).alias("text"))
 
 
+@query("op_read_files", "SELECT 'txt' AS source_format, sum(length(text) + 1)::BIGINT AS chars FROM documents")
+def read_files(spark, sf):
+    """Write the documents as text files of bounded size and read them back as documents."""
+    folder = f"{scratch_dir(spark)}/files-{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents")
+    docs.select("text").write.option("maxRecordsPerFile", 1000).text(folder)
+    found = read_documents(spark, f"{folder}/*.txt")
+    return found.groupBy("source_format").agg(F.sum(F.length("text")).alias("chars"))
+
+
 @query(
     "op_read_jsonl",
     "SELECT doc_id::VARCHAR AS before, 'q' || quality AS after, ['PLAIN', 'T' || toxic] AS classes, quality = 1 AS hard FROM labels",
@@ -376,7 +389,11 @@ def split_long(spark, sf):
     return docs.select("doc_id", F.posexplode(seg.split_long(F.col("t"), 120)).alias("piece_no", "piece"))
 
 
-@query("op_chunk_tts")
+@query(
+    "op_chunk_tts",
+    f"""SELECT doc_id, (pos - 1)::BIGINT AS chunk_no, c AS chunk FROM (SELECT doc_id, unnest(l) AS c,
+        generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, {q.speech_chunks('text')} AS l FROM documents))""",
+)
 def chunk_tts(spark, sf):
     return spread(table(spark, sf, "documents").select("doc_id", "text")).select(
         "doc_id", F.posexplode(seg.speech_chunks(F.col("text"))).alias("chunk_no", "chunk")
