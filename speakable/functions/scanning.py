@@ -159,13 +159,15 @@ def _resolve(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, step, lambda acc: acc["kept"])
 
 
-def scan(text: Column, classes: list[str] | None = None) -> Column:
+def scan(text: Column, classes: list[str] | None = None, rules: list[Rule] | None = None) -> Column:
     """Resolved spans ``array<struct<start, stop, cls, surface>>`` in text order.
 
-    ``classes`` limits the rules, keeping their relative priority.
+    ``classes`` limits the rules, keeping their relative priority; ``rules``
+    replaces the list.
     """
-    names = word_list([rule.cls for rule in RULES])
-    active = [(k, rule) for k, rule in enumerate(RULES) if classes is None or rule.cls in classes]
+    known = RULES if rules is None else rules
+    names = word_list([rule.cls for rule in known])
+    active = [(k, rule) for k, rule in enumerate(known) if classes is None or rule.cls in classes]
     nothing = F.array().cast(_PIECE)
 
     def cut(shielded: Column) -> Column:

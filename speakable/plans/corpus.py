@@ -429,3 +429,32 @@ def score_rules(spark, sf):
     rows = durable(_splits(spark, sf).filter(F.col("split").isin("test", "hard")))
     predicted = rows.withColumn("pred", normalize(F.col("before"))).withColumn("correct", F.col("pred") == F.col("after"))
     return C.score(predicted, "split")
+
+
+def _train_and_hard(spark, sf):
+    from ..operators.prefix import durable
+
+    wanted = _splits(spark, sf).filter("split in ('train', 'test', 'hard') and classes[0] != 'REAL'")
+    # Pool and hard rows come from the same ids; the key must tell them apart.
+    rows = durable(wanted.withColumn("pair_id", F.col("pair_id") * 2 + (F.col("split") == "hard").cast("int")))
+    return rows.filter("split = 'train'"), rows.filter("split != 'train'")
+
+
+@query("op_context_reader")
+def context_reader(spark, sf):
+    """Fit on train; rules and reader scored on the test and hard rows."""
+    from ..functions.scanning import normalize
+    from ..operators import reader as R
+
+    train, held = _train_and_hard(spark, sf)
+    said = R.read_in_context(R.fit_reader(train), held)
+    reader = C.score(C.join_pred_gold(held, said), "split").withColumn("model", F.lit("reader"))
+    rules = held.select("pair_id", normalize(F.col("before")).alias("text"))
+    return C.score(C.join_pred_gold(held, rules), "split").withColumn("model", F.lit("rules")).unionByName(reader)
+
+
+@query("op_tune_reader")
+def tune_reader(spark, sf):
+    from ..operators import reader as R
+
+    return R.tune_reader(_train_and_hard(spark, sf)[0], [0.0001, 0.001, 0.1])
