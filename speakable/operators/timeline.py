@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import strip
 from ..schemas import DEFAULTS
-from .prefix import BUCKET_ROWS, running_sum
+from .prefix import BEFORE, BUCKET_ROWS, SO_FAR, running_sum
 
 
 def timeline(
@@ -20,32 +20,55 @@ def timeline(
     paragraph_gap: int = DEFAULTS["paragraph_gap_ms"],
     chapter_gap: int = DEFAULTS["chapter_gap_ms"],
     bucket_rows: int = BUCKET_ROWS,
+    number_cues: bool = False,
 ) -> DataFrame:
-    """Add ``start_ms``, ``end_ms`` and the dense ``chapter_no`` to segments with ``duration_ms``."""
-    chapters = segments.groupBy(doc, "chapter_index").agg(F.max("seg_order").alias("_last"))
-    per_doc = Window.partitionBy(doc)
-    # One row per chapter, never one per segment.
-    ends = chapters.select(
-        doc,
-        "chapter_index",
-        "_last",
-        (F.dense_rank().over(per_doc.orderBy("chapter_index")) - 1).alias("chapter_no"),
-        (F.col("chapter_index") == F.max("chapter_index").over(per_doc)).alias("_final"),
+    """Add ``start_ms``, ``end_ms`` and the dense ``chapter_no`` to segments with ``duration_ms``.
+
+    Each bucket of a chapter is summed with a gap after every segment; the
+    table of buckets then takes back the gap after a chapter's last segment
+    and adds the one between chapters. With ``number_cues`` spoken segments
+    also get their ``cue_no`` in the same pass.
+    """
+    rows = (
+        segments.withColumn("_cut", F.floor(F.col("seg_order") / bucket_rows))
+        .withColumn("_gap", F.when(F.col("kind") == "heading", paragraph_gap).otherwise(sentence_gap))
+        .withColumn("_step", F.col("duration_ms") + F.col("_gap"))
+        .withColumn("_cue", is_cue().cast("bigint") if number_cues else F.lit(0).cast("bigint"))
+    )
+    group = [doc, "chapter_index", "_cut"]
+    buckets = rows.groupBy(*group).agg(
+        F.sum("_step").alias("_sum"), F.max_by("_gap", "seg_order").alias("_last_gap"), F.sum("_cue").alias("_cues")
+    )
+    # From here one row per bucket, never one per segment.
+    in_order = Window.partitionBy(doc).orderBy("chapter_index", "_cut")
+    before = in_order.rowsBetween(*BEFORE)
+    following = F.lead("chapter_index").over(in_order)
+    change = F.when(following.isNull(), -F.col("_last_gap")).when(
+        following != F.col("chapter_index"), F.lit(chapter_gap) - F.col("_last_gap")
     )
-    gap = (
-        F.when(F.col("seg_order") < F.col("_last"), F.when(F.col("kind") == "heading", paragraph_gap).otherwise(sentence_gap))
-        .when(F.col("_final"), 0)
-        .otherwise(chapter_gap)
+    carry = (
+        buckets.withColumn("_total", F.col("_sum") + F.coalesce(change, F.lit(0)))
+        .withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0)))
+        .withColumn("_cue_base", F.coalesce(F.sum("_cues").over(before), F.lit(0)))
+        .withColumn("chapter_no", F.dense_rank().over(Window.partitionBy(doc).orderBy("chapter_index")) - 1)
+        .select(*group, "_base", "_cue_base", "chapter_no")
     )
-    timed = running_sum(
-        segments.join(ends, [doc, "chapter_index"]),
-        [doc],
-        ["chapter_index", "seg_order"],
-        F.col("duration_ms") + gap,
-        "start_ms",
-        bucket=F.struct("chapter_index", F.floor(F.col("seg_order") / bucket_rows).alias("cut")),
+    inner = Window.partitionBy(*group).orderBy("seg_order")
+    timed = (
+        rows.join(carry, group)
+        .withColumn("start_ms", F.col("_base") + F.coalesce(F.sum("_step").over(inner.rowsBetween(*BEFORE)), F.lit(0)))
+        .withColumn("end_ms", F.col("start_ms") + F.col("duration_ms"))
     )
-    return timed.withColumn("end_ms", F.col("start_ms") + F.col("duration_ms")).drop("_last", "_final")
+    columns = [*segments.columns, "chapter_no", "start_ms", "end_ms"]
+    if number_cues:
+        timed = timed.withColumn("cue_no", F.col("_cue_base") + F.sum("_cue").over(inner.rowsBetween(*SO_FAR)))
+        columns.append("cue_no")
+    return timed.select(*columns)
+
+
+def is_cue() -> Column:
+    """Segments that get a subtitle: spoken and not blank."""
+    return (F.col("kind") != "skippable") & (strip(F.col("text")) != "")
 
 
 def chapter_spans(timed: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -80,10 +103,9 @@ def cues(timed: DataFrame, doc: str = "doc_id", fmt: str = "srt") -> DataFrame:
 
     Rows, not one text per document: a file is as long as its book.
     """
-    kept = timed.withColumn("text", strip(F.col("text"))).filter(
-        (F.col("kind") != "skippable") & (F.col("text") != "")
-    )
-    numbered = running_sum(kept, [doc], ["chapter_index", "seg_order"], F.lit(1), "cue_no", inclusive=True)
+    kept = timed.filter(is_cue()).withColumn("text", strip(F.col("text")))
+    if "cue_no" not in kept.columns:
+        kept = running_sum(kept, [doc], ["chapter_index", "seg_order"], F.lit(1), "cue_no", inclusive=True)
     vtt = fmt == "vtt"
     times = F.concat(
         timestamp_text(F.col("start_ms"), vtt), F.lit(" --> "), timestamp_text(F.col("end_ms"), vtt)
@@ -91,7 +113,7 @@ def cues(timed: DataFrame, doc: str = "doc_id", fmt: str = "srt") -> DataFrame:
     head = F.lit("WEBVTT\n\n") if vtt else F.lit("")
     number = F.lit("") if vtt else F.concat(F.col("cue_no").cast("string"), F.lit("\n"))
     body = F.concat(number, times, F.lit("\n"), F.col("text"), F.lit("\n"))
-    return numbered.select(
+    return kept.select(
         doc, "cue_no", F.concat(F.when(F.col("cue_no") == 1, head).otherwise(""), body).alias("cue")
     )
 

@@ -287,7 +287,7 @@ _CUES = f"""cues AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER
         || chr(10) || t || chr(10) AS cue FROM cues""",
 )
 def subtitles(spark, sf):
-    return T.cues(_timed(spark, sf))
+    return T.cues(T.timeline(talk_segments(spark, sf), number_cues=True))
 
 
 @query(
@@ -296,7 +296,7 @@ def subtitles(spark, sf):
         || {_stamp('start_ms', '.')} || ' --> ' || {_stamp('end_ms', '.')} || chr(10) || t || chr(10) AS cue FROM cues""",
 )
 def subtitles_vtt(spark, sf):
-    return T.cues(_timed(spark, sf), fmt="vtt")
+    return T.cues(T.timeline(talk_segments(spark, sf), number_cues=True), fmt="vtt")
 
 
 @query(
