@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .expr import ENDS_WORD, SPACE, STARTS_WORD, chain, has, let, lookup, strip
-from .words import ascii_digits, cardinal, roman_value, spell_digits, to_ordinal
+from .words import ascii_digits, cardinal, four_digit_year, roman_value, spell_digits, to_ordinal
 
 # Ways to say a part.
 LITERAL, CARDINAL, ORDINAL, ORDINALS, DIGITS, DIGITS_OH = "l", "c", "o", "s", "d", "h"
@@ -91,22 +91,8 @@ def _is_number(text: Column) -> Column:
 
 
 def year_parts(digits: Column) -> Column:
-    """Reading of a year; outside four digits a plain number."""
-
-    def halves(number: Column) -> Column:
-        high, low = F.substring(number, 1, 2), F.substring(number, 3, 2)
-        two_thousands = F.startswith(number, F.lit("200"))
-        middle = F.when(two_thousands, "").when(low == "00", "hundred").when(low < "10", "oh").otherwise("")
-        return F.when(
-            F.length(number) == 4,
-            F.array(
-                F.when(two_thousands, part(LITERAL, "two thousand")).otherwise(part(CARDINAL, high)),
-                part(LITERAL, middle),
-                part(CARDINAL, F.when(low == "00", "").otherwise(low)),
-            ),
-        ).otherwise(F.array(part(CARDINAL, F.when(number == "", "0").otherwise(number))))
-
-    return let(F.ltrim(digits, F.lit("0")), halves)
+    """Reading of a four-digit year."""
+    return F.array(part(LITERAL, four_digit_year(digits)))
 
 
 def number_parts(number: Column, raw: Column | None = None) -> Column:
@@ -134,14 +120,24 @@ def decimal_parts(surface: Column) -> Column:
 
 def money_parts(surface: Column) -> Column:
     """Amount, magnitude and unit; cents only where they are not zero."""
-    text = strip(surface)
-    symbol = F.regexp_extract(text, "^([$£€¥]|USD|GBP|EUR)", 1)
-    rest = F.regexp_replace(text, "^([$£€¥]|USD|GBP|EUR)", "")
     scale = f"([kKmMbB]|bn|tr){ENDS_WORD}"
-    magnitude = F.regexp_extract(rest, scale, 1)
-    amount = F.replace(
-        strip(F.regexp_replace(rest, f"(?s)^(.*?)(?:{scale})(.*)$", "$1$3")), F.lit(","), F.lit("")
-    )
+
+    def split(text: Column) -> Column:
+        sign = F.substring(text, 1, 1)
+        symbol = F.when(sign.isin("$", "£", "€", "¥"), sign).otherwise(
+            F.regexp_extract(text, "^(USD|GBP|EUR)", 1)
+        )
+        return F.struct(symbol.alias("sym"), F.substr(text, F.length(symbol) + 1).alias("rest"))
+
+    def number(money: Column) -> Column:
+        rest = money["rest"]
+        lettered = F.rlike(rest, F.lit("[A-Za-z]"))
+        bare = F.when(lettered, F.regexp_replace(rest, f"(?s)^(.*?)(?:{scale})(.*)$", "$1$3")).otherwise(rest)
+        return F.struct(
+            money["sym"].alias("sym"),
+            F.when(lettered, F.regexp_extract(rest, scale, 1)).otherwise("").alias("mag"),
+            F.replace(strip(bare), F.lit(","), F.lit("")).alias("num"),
+        )
 
     def build(money: Column) -> Column:
         sym, mag, num = money["sym"], money["mag"], money["num"]
@@ -170,7 +166,7 @@ def money_parts(surface: Column) -> Column:
             )
         )
 
-    return let(F.struct(symbol.alias("sym"), magnitude.alias("mag"), amount.alias("num")), build)
+    return let(let(let(strip(surface), split), number), build)
 
 
 def measure_parts(surface: Column) -> Column:
@@ -276,9 +272,11 @@ def grouped_parts(surface: Column) -> Column:
 
 def cardinal_parts(surface: Column) -> Column:
     """A four-digit number from 1500 to 2099 is read as a year."""
-    return F.when(
-        (F.length(surface) == 4) & surface.between("1500", "2099"), year_parts(surface)
-    ).otherwise(F.array(part(CARDINAL, surface)))
+    return F.when(_is_year(surface), year_parts(surface)).otherwise(F.array(part(CARDINAL, surface)))
+
+
+def _is_year(surface: Column) -> Column:
+    return (F.length(surface) == 4) & surface.between("1500", "2099")
 
 
 def telephone_parts(surface: Column) -> Column:
@@ -364,9 +362,10 @@ def spoken(cls: Column, surface: Column) -> Column:
     text = F.when(cls.isin("ELECTRONIC", "ABBREV"), surface).otherwise(ascii_digits(surface))
 
     def read(txt: Column) -> Column:
-        # The most frequent class is asked for first.
-        cases = sorted(PARTS.items(), key=lambda item: item[0] != "CARDINAL")
-        return speak(chain([(cls == name, build(txt)) for name, build in cases], F.array(part(LITERAL, txt))))
+        cases = [(cls == name, build(txt)) for name, build in PARTS.items() if name != "CARDINAL"]
+        # Plain numbers are by far the most frequent spans and need no parts.
+        number = F.when(_is_year(txt), four_digit_year(txt)).otherwise(cardinal(txt))
+        return F.when(cls == "CARDINAL", number).otherwise(speak(chain(cases, F.array(part(LITERAL, txt)))))
 
     return let(text, read)
 

@@ -137,11 +137,30 @@ def ordinal(digits: Column) -> Column:
     return let(cardinal(digits), to_ordinal)
 
 
-def year(digits: Column) -> Column:
-    """``"1984"`` -> nineteen eighty four; outside 1000-9999 a plain cardinal."""
-    from .readings import speak, year_parts
+def four_digit_year(digits: Column) -> Column:
+    """``"1984"`` -> nineteen eighty four; for exactly four digits without a leading zero."""
+    below = word_list(_below_thousand())
+    low = F.substring(digits, 3, 2)
+
+    def words(pair: Column) -> Column:
+        return F.element_at(below, pair.cast("int") + 1)
+
+    hundreds = words(F.substring(digits, 1, 2))
+    return (
+        F.when(digits == "2000", "two thousand")
+        .when(F.startswith(digits, F.lit("200")), F.concat(F.lit("two thousand "), words(low)))
+        .when(low == "00", F.concat(hundreds, F.lit(" hundred")))
+        .when(low < "10", F.concat(hundreds, F.lit(" oh "), words(low)))
+        .otherwise(F.concat(hundreds, F.lit(" "), words(low)))
+    )
+
 
-    return speak(year_parts(digits))
+def year(digits: Column) -> Column:
+    """Year reading of a number; outside 1000-9999 a plain cardinal."""
+    return let(
+        F.ltrim(digits, F.lit("0")),
+        lambda n: F.when(F.length(n) == 4, four_digit_year(n)).otherwise(cardinal(n)),
+    )
 
 
 def decade(digits: Column) -> Column:

@@ -24,10 +24,15 @@ def join_pred_gold(pairs: DataFrame, predictions: DataFrame, key: str = "pair_id
     return joined.withColumn("correct", squash(F.col("after")) == squash(F.col("pred")))
 
 
+def _labels() -> Column:
+    """Classes of a pair; one without classes counts as PLAIN."""
+    none = F.coalesce(F.size("classes"), F.lit(0)) <= 0
+    return F.when(none, F.array(F.lit("PLAIN"))).otherwise(F.col("classes"))
+
+
 def exploded_classes(scored: DataFrame) -> DataFrame:
-    """One row per class of a pair; a pair without classes counts as PLAIN."""
-    labels = F.when(F.coalesce(F.size("classes"), F.lit(0)) <= 0, F.array(F.lit("PLAIN"))).otherwise(F.col("classes"))
-    return scored.withColumn("cls", F.explode(labels))
+    """One row per class of a pair."""
+    return scored.withColumn("cls", F.explode(_labels()))
 
 
 def class_scores(scored: DataFrame, *keys: str) -> DataFrame:
@@ -41,15 +46,27 @@ def class_scores(scored: DataFrame, *keys: str) -> DataFrame:
 
 
 def score(scored: DataFrame, *keys: str) -> DataFrame:
-    """Sentence accuracy and the mean of the rounded class accuracies."""
-    sentence = scored.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("n_correct")
+    """Sentence accuracy and the mean of the rounded class accuracies, in one pass over the rows.
+
+    A null label beside a row's classes stands for the sentence as a whole.
+    """
+    labels = F.concat(F.array(F.lit(None).cast("string")), _labels())
+    counted = (
+        scored.select(*keys, "correct", F.explode(labels).alias("cls"))
+        .groupBy(*keys, "cls")
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("n_correct"))
     )
-    macro = class_scores(scored, *keys).groupBy(*keys).agg(
-        F.bround(F.sum("accuracy") / F.count(F.lit(1)), 4).alias("macro_class_accuracy")
+    whole = F.col("cls").isNull()
+    accuracy = F.when(~whole, ratio(F.col("n_correct"), F.col("n")))
+    return (
+        counted.groupBy(*keys)
+        .agg(
+            F.max(F.when(whole, F.col("n"))).alias("n"),
+            F.max(F.when(whole, F.col("n_correct"))).alias("n_correct"),
+            F.bround(F.sum(accuracy) / F.count(accuracy), 4).alias("macro_class_accuracy"),
+        )
+        .withColumn("sentence_accuracy", ratio(F.col("n_correct"), F.col("n")))
     )
-    joined = sentence.join(macro, list(keys)) if keys else sentence.join(F.broadcast(macro), F.lit(True))
-    return joined.withColumn("sentence_accuracy", ratio(F.col("n_correct"), F.col("n")))
 
 
 def compare(scores: DataFrame, model: str, baseline: str, slice_col: str = "slice") -> DataFrame:
