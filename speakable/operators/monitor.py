@@ -68,14 +68,12 @@ def drift(
     """First half of the log against the rest, in log order; empty below ``min_jobs``."""
     slim = measures.select(*order, "flag_rate", "qa_fail_rate", "rtf")
     numbered = number_rows(slim, order)
-    total = numbered.agg(F.count(F.lit(1)).alias("n_jobs"))
-    early = F.col("row_no") <= F.floor(F.col("n_jobs") / 2)
-    halves = (
-        numbered.join(F.broadcast(total), F.lit(True))
-        .groupBy("n_jobs")
-        .agg(*_half(early, "base"), *_half(~early, "recent"))
-        .filter(F.col("n_jobs") >= min_jobs)
-    )
+    # One number comes to the driver; the rows are already written.
+    total = numbered.count()
+    early = F.col("row_no") <= total // 2
+    halves = numbered.agg(
+        F.count(F.lit(1)).alias("n_jobs"), *_half(early, "base"), *_half(~early, "recent")
+    ).filter(F.col("n_jobs") >= min_jobs)
 
     def delta(name: str) -> Column:
         return F.bround(F.col(f"recent_{name}") - F.col(f"base_{name}"), 4)
@@ -99,24 +97,23 @@ def latency(timings: DataFrame, ms: str, key: str) -> DataFrame:
     percentile aggregate would hold every distinct value in one buffer.
     """
     numbered = number_rows(timings.select(ms, key), [ms, key])
-    total = numbered.agg(F.count(F.lit(1)).alias("n"), F.avg(ms).alias("_mean"))
-    rows = numbered.join(F.broadcast(total), F.lit(True))
+    total = numbered.count()
 
     def quantile(p: float) -> Column:
-        at = (F.col("n") - 1) * p
-        low = F.floor(at)
+        at = max(total - 1, 0) * p
+        low = int(at)
         below = F.max(F.when(F.col("row_no") == low + 1, F.col(ms)))
-        above = F.max(F.when(F.col("row_no") == F.least(low + 2, F.col("n")), F.col(ms)))
-        return F.bround(below + (above - below) * F.max(at - low), 2)
-
-    return (
-        rows.groupBy("n", "_mean")
-        .agg(quantile(0.5).alias("p50"), quantile(0.95).alias("p95"), quantile(0.99).alias("p99"))
-        .select(
-            "n", "p50", "p95", "p99",
-            F.bround("_mean", 2).alias("mean"),
-            F.bround(1000.0 / F.greatest(F.lit(0.01), F.col("_mean")), 1).alias("per_second"),
-        )
+        above = F.max(F.when(F.col("row_no") == min(low + 2, total), F.col(ms)))
+        return F.bround(below + (above - below) * (at - low), 2)
+
+    mean = F.avg(ms)
+    return numbered.agg(
+        F.count(F.lit(1)).alias("n"),
+        quantile(0.5).alias("p50"),
+        quantile(0.95).alias("p95"),
+        quantile(0.99).alias("p99"),
+        F.bround(mean, 2).alias("mean"),
+        F.bround(1000.0 / F.greatest(F.lit(0.01), mean), 1).alias("per_second"),
     )
 
 

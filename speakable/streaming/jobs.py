@@ -96,8 +96,10 @@ def alert_stream(windows: DataFrame, store: str, alerts: str, checkpoint: str, l
     def compare(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         cols = ["window_start", "n", "flag_rate", "qa_fail_rate"]
-        fresh = batch.select(*cols)
-        fresh.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        finished = batch.select(*cols)
+        finished.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        # Read back what was written, so that the state is not computed twice.
+        fresh = spark.read.schema(finished.schema).parquet(f"{store}/batch={batch_id}")
         stored = spark.read.parquet(store).filter(F.col("batch") < batch_id).select(*cols)
         last = stored.orderBy(F.col("window_start").desc()).limit(1).withColumn("_old", F.lit(True))
         both = last.unionByName(fresh.withColumn("_old", F.lit(False)))
