@@ -15,6 +15,7 @@ from ..operators.prefix import scratch_dir
 from ..sources import sinks
 from ..streaming import jobs as ST
 from . import sql as q
+from .corpus import _SIZES, _SPLITS, _splits
 from .inputs import LINE, clips, jobs, table, talk_segments
 from .registry import query
 from .text import _JOBS, segmented
@@ -500,11 +501,25 @@ def stream_normalize(spark, sf):
     return _stored(spark, ST.normalize_documents(docs, sep=LINE))
 
 
-@query("sink_splits")
+_SPLIT_COUNTS = _SPLITS + "SELECT split, count(*) AS n FROM splits GROUP BY split"
+_WRITTEN = "pair_id long, before string, after string, classes array<string>, hard boolean, split string"
+
+
+@query("sink_splits", _SPLIT_COUNTS)
 def written_splits(spark, sf):
     """Write the splits as JSON folders, read them back and count."""
-    from .corpus import _SIZES, _splits
-
     folder = f"{scratch_dir(spark)}/splits-{uuid.uuid4().hex}"
     sinks.write_splits(_splits(spark, sf), folder, n_test=0, n_hard=500, **_SIZES)
-    return spark.read.json(f"{folder}/splits").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.schema(_WRITTEN).json(f"{folder}/splits").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("op_cached_splits", _SPLIT_COUNTS)
+def cached_splits(spark, sf):
+    """Build once, then take the written splits although the test size differs."""
+    folder = f"{scratch_dir(spark)}/splits-{uuid.uuid4().hex}"
+    rows = None
+    for n_test in (0, 1):
+        rows = sinks.cached_splits(
+            spark, folder, lambda: _splits(spark, sf), _WRITTEN, seed=42, n_test=n_test, n_hard=500, **_SIZES
+        )
+    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
