@@ -8,14 +8,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, table
+from .quality import quality_score, train_quality
 from .repetition import repetition_report
+from .toxicity import toxicity_score, train_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _labels(spark: SparkSession, sf_dir: str, column: str, n: int, held: int) -> DataFrame:
+    """doc_id and label of the rows that may be learned from."""
+    rows = table(spark, sf_dir, "labels").select("doc_id", F.col(column).alias("label"))
+    return rows.filter(fold(F.col("doc_id"), n) != held)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_quality(docs, _labels(spark, sf_dir, "quality", 4, 2))
+    scored = docs.select("doc_id", quality_score(model, F.col("text")).alias("score"))
+    return _judged(scored, 4, 2, 0.7)
+
+
 def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op8_repetition": op8_repetition}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_toxicity(docs, _labels(spark, sf_dir, "toxic", 5, 0))
+    scored = docs.select("doc_id", toxicity_score(model, F.col("text")).alias("score"))
+    return _judged(scored, 5, 0, 0.5)
+
+
+def _judged(scored: DataFrame, n: int, held: int, limit: float) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        (fold(F.col("doc_id"), n) == held).alias("held_out"),
+        "score",
+        (F.col("score") >= limit).cast("int").alias("predicted"),
+    )
+
+
+QUERIES: dict[str, Query] = {"op2_quality": op2_quality, "op9_toxicity": op9_toxicity, "op8_repetition": op8_repetition}
 ORACLES: dict[str, str] = {}
