@@ -4,10 +4,9 @@ Many voters look at a text: lexicon voters, one for each word or word
 beginning that a bounded labelled sample marks as suspicious or harmless, and
 pattern voters for shouting, insistence, symbols and mention of
 others. Each votes toxic, clean or abstains. A generative model with a hidden
-label estimates by expectation-maximisation how often each voter fires under
-either label; voters that fire together more often than the hidden label
-explains become a family with one vote, so that related words do not count
-many times. The posterior of the hidden label is
+label finds voters that fire together more often than the label explains, makes
+them a family with one vote, so that related words do not count many times, and
+estimates by expectation-maximisation how often each fires under either label. The posterior of the hidden label is
 the target of a logistic classifier over the same evidence, which then scores
 every text.
 
@@ -93,46 +92,41 @@ def _rates(q: np.ndarray, events: np.ndarray, first: np.ndarray | float = 0.0, w
 def fit_label_model(
     votes: np.ndarray, guess: np.ndarray, prior: float, strength: float = 1.0, rounds: int = 40, linked: float = 0.25
 ) -> LabelModel:
-    """EM over the hidden label.
+    """Families first, then EM over the hidden label.
 
-    ``guess`` (2 x voters) holds first rates of firing under either label; they
-    count as ``strength`` times the texts, which keeps the hidden label from
-    turning into "many votes" against "few". After the first fit, voters
-    whose votes are still correlated given the label form a family, and the
-    model is fitted again with one vote per family.
+    ``guess`` (2 x voters) holds first rates of firing under either label. Voters
+    that fire together more often than these rates explain form a family. The
+    guess counts as ``strength`` times the texts, which keeps the hidden label
+    from turning into "many votes" against "few".
     """
-    votes = votes.astype(float)
+    votes, guess = votes.astype(float), np.clip(guess, 1e-5, 1 - 1e-5)
     weight = strength * len(votes) * np.array([1 - prior, prior])[:, None]
-    family = np.arange(votes.shape[1])
-    model = LabelModel(prior, np.clip(guess, 1e-5, 1 - 1e-5), family, 1 - np.clip(guess, 1e-5, 1 - 1e-5))
-    for phase in range(2):
-        quiet = np.column_stack([(votes[:, family == k] == 0).all(axis=1) for k in range(family.max(initial=-1) + 1)]).astype(float)
-        q = model.posterior(votes)
-        for _ in range(rounds):
-            model = LabelModel(prior, _rates(q, votes, guess, weight), family, _rates(q, quiet))
-            new = model.posterior(votes)
-            if np.abs(new - q).max() < 1e-6:
-                break
-            q = new
-        if phase == 0:
-            family = families(votes, q, model.fires, linked)
-            quiet = np.column_stack([(votes[:, family == k] == 0).all(axis=1) for k in range(family.max() + 1)]).astype(float)
-            model = LabelModel(prior, model.fires, family, _rates(q, quiet))
+    family = families(votes, guess, prior, linked)
+    quiet = np.column_stack([(votes[:, family == k] == 0).all(axis=1) for k in range(family.max(initial=-1) + 1)]).astype(float)
+    silent = np.vstack([[(1 - guess[y, family == k]).min() for k in range(quiet.shape[1])] for y in (0, 1)])
+    model = LabelModel(prior, guess, family, silent)
+    q = model.posterior(votes)
+    for _ in range(rounds):
+        model = LabelModel(prior, _rates(q, votes, guess, weight), family, _rates(q, quiet))
+        new = model.posterior(votes)
+        if np.abs(new - q).max() < 1e-6:
+            break
+        q = new
     return model
 
 
-def families(votes: np.ndarray, q: np.ndarray, fires: np.ndarray, linked: float) -> np.ndarray:
+def families(votes: np.ndarray, rates: np.ndarray, prior: float, linked: float) -> np.ndarray:
     """Number voters so that those correlated beyond the hidden label share a number.
 
     Only voters that lean the same way can be one family.
     """
-    rest = votes - (np.outer(1 - q, fires[0]) + np.outer(q, fires[1]))
-    spread = rest.std(axis=0)
-    spread[spread == 0] = 1
-    corr = (rest / spread).T @ (rest / spread) / max(len(votes), 1)
-    leans = fires[1] > fires[0]
-    near = (corr > linked) & (leans[:, None] == leans[None, :])
-    number = np.arange(len(fires[0]))
+    share = np.array([1 - prior, prior])
+    together = votes.T @ votes / max(len(votes), 1) - (rates * share[:, None]).T @ rates
+    mean = votes.mean(axis=0)
+    spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
+    leans = rates[1] > rates[0]
+    near = (together / np.outer(spread, spread) > linked) & (leans[:, None] == leans[None, :])
+    number = np.arange(votes.shape[1])
     while True:
         new = np.array([min(number[j], number[near[j]].min(initial=number[j])) for j in range(len(number))])
         if (new == number).all():
