@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, table
+from .pieces import decode_pieces, encode_pieces, ids_crc32
 from .quality import quality_score, train_quality
 from .repetition import repetition_report
+from .token_store import stored_tokens, with_crc
 from .toxicity import toxicity_score, train_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +31,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(scored, 4, 2, 0.7)
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return with_crc(stored_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
+
+
 def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_report(table(spark, sf_dir, "documents"))
 
@@ -39,6 +47,21 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(scored, 5, 0, 0.5)
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = docs.withColumn("ids", encode_pieces(F.col("text"), model))
+    back = coded.withColumn("back", decode_pieces(F.col("ids"), model))
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        ids_crc32(F.col("ids")).alias("ids_crc32"),
+        F.length("back").cast("long").alias("n_chars"),
+        F.sha2(F.col("back").cast("binary"), 256).alias("text_sha256"),
+        (F.col("back") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def _judged(scored: DataFrame, n: int, held: int, limit: float) -> DataFrame:
     return scored.select(
         "doc_id",
@@ -48,5 +71,11 @@ def _judged(scored: DataFrame, n: int, held: int, limit: float) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"op2_quality": op2_quality, "op9_toxicity": op9_toxicity, "op8_repetition": op8_repetition}
+QUERIES: dict[str, Query] = {
+    "op2_quality": op2_quality,
+    "op5_token_store": op5_token_store,
+    "op8_repetition": op8_repetition,
+    "op9_toxicity": op9_toxicity,
+    "op10_pieces": op10_pieces,
+}
 ORACLES: dict[str, str] = {}
