@@ -12,6 +12,7 @@ from .common import fold, table
 from .pieces import decode_pieces, encode_pieces, ids_crc32
 from .quality import quality_score, train_quality
 from .repetition import repetition_report
+from .simhash import hex_bits, near_duplicates
 from .token_store import stored_tokens, with_crc
 from .toxicity import toxicity_score, train_toxicity
 
@@ -36,6 +37,11 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_crc(stored_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
+    return found.select("doc_id", hex_bits(F.col("bits")).alias("fingerprint"), "component_id")
+
+
 def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_report(table(spark, sf_dir, "documents"))
 
@@ -74,6 +80,7 @@ def _judged(scored: DataFrame, n: int, held: int, limit: float) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_quality": op2_quality,
     "op5_token_store": op5_token_store,
+    "op7_simhash": op7_simhash,
     "op8_repetition": op8_repetition,
     "op9_toxicity": op9_toxicity,
     "op10_pieces": op10_pieces,
