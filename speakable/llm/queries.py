@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, table
+from .line_dedup import SQL as LINE_SQL
+from .line_dedup import drop_boilerplate
 from .pieces import decode_pieces, encode_pieces, ids_crc32
 from .quality import quality_score, train_quality
 from .repetition import repetition_report
@@ -32,6 +34,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(scored, 4, 2, 0.7)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages, their source as the site."""
+    out = drop_boilerplate(table(spark, sf_dir, "documents"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", "text")
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return with_crc(stored_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
@@ -79,10 +87,11 @@ def _judged(scored: DataFrame, n: int, held: int, limit: float) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_quality": op2_quality,
+    "op3_line_dedup": op3_line_dedup,
     "op5_token_store": op5_token_store,
     "op7_simhash": op7_simhash,
     "op8_repetition": op8_repetition,
     "op9_toxicity": op9_toxicity,
     "op10_pieces": op10_pieces,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_line_dedup": LINE_SQL}
