@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, table
+from .decontam import SQL as DECONTAM_SQL
+from .decontam import contaminated
 from .line_dedup import SQL as LINE_SQL
 from .line_dedup import drop_boilerplate
 from .pieces import decode_pieces, encode_pieces, ids_crc32
@@ -45,6 +47,11 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_crc(stored_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
 
 
+def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_windows", "n_matched", "n_reworded")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
     return found.select("doc_id", hex_bits(F.col("bits")).alias("fingerprint"), "component_id")
@@ -89,9 +96,10 @@ QUERIES: dict[str, Query] = {
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
     "op5_token_store": op5_token_store,
+    "op6_decontam": op6_decontam,
     "op7_simhash": op7_simhash,
     "op8_repetition": op8_repetition,
     "op9_toxicity": op9_toxicity,
     "op10_pieces": op10_pieces,
 }
-ORACLES: dict[str, str] = {"op3_line_dedup": LINE_SQL}
+ORACLES: dict[str, str] = {"op3_line_dedup": LINE_SQL, "op6_decontam": DECONTAM_SQL}
