@@ -13,6 +13,7 @@ from .decontam import SQL as DECONTAM_SQL
 from .decontam import contaminated
 from .line_dedup import SQL as LINE_SQL
 from .line_dedup import drop_boilerplate
+from .lm import lm_scores
 from .pieces import decode_pieces, encode_pieces, ids_crc32
 from .quality import quality_score, train_quality
 from .repetition import repetition_report
@@ -42,6 +43,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", "text")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold(F.col("doc_id"), 5) != 1).alias("train"))
+    return lm_scores(docs).select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "vocabulary")
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return with_crc(stored_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
@@ -95,6 +101,7 @@ def _judged(scored: DataFrame, n: int, held: int, limit: float) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
+    "op4_lm_score": op4_lm_score,
     "op5_token_store": op5_token_store,
     "op6_decontam": op6_decontam,
     "op7_simhash": op7_simhash,
