@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, sample_ids
 from .words import WordCache
 
 MAGIC = b"TOKSEG1\0"
@@ -47,18 +47,39 @@ class BpeEncoder:
 
     The pre-tokenizer starts a new token at every blank that follows a
     non-blank character, so the pieces between such blanks are independent.
+    New pieces are handed over many at a time as one text; a piece that starts
+    a text follows a line break of its own, and the bytes that each id stands
+    for tell where a piece ends.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)  # byte-level: one character stands for one byte
         self.cache = WordCache(self._encode)
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+
+    def _encode(self, pieces: list[str], run: int = 20_000) -> list[bytes]:
+        return [code for at in range(0, len(pieces), run) for code in self._encode_run(pieces[at : at + run])]
+
+    def _encode_run(self, pieces: list[str]) -> list[bytes]:
+        joinable = [p for p in pieces if p and not p[-1].isspace() and (p[0] == " " or not p[0].isspace())]
+        parts = [x for p in joinable for x in ((p,) if p[0] == " " else ("\n", p))]
+        ids = self._ids("".join(parts))
+        after = np.cumsum(self.width[ids])
+        ends = np.cumsum([len(x.encode()) for x in parts])
+        cut = np.r_[0, np.searchsorted(after, ends) + 1] if len(parts) else np.zeros(1, int)
+        known = {}
+        if len(parts) and (after[np.minimum(cut[1:] - 1, len(after) - 1)] == ends).all():
+            known = {p: ids[a:b].tobytes() for p, a, b in zip(parts, cut[:-1].tolist(), cut[1:].tolist(), strict=True)}
+        return [known[p] if p in known else self._ids(p).tobytes() for p in pieces]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         return self.cache.joined([WordCache.pieces(t) for t in texts])
@@ -117,7 +138,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str, sample_rows: int, sample_b
         size = block_ids * code.dtype.itemsize
         return pd.Series([[d[i : i + size] for i in range(0, len(d), size)] for d in code([t or "" for t in texts])])
 
-    rows = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    # The ids are picked on their own, so that no text is sorted; sample_rows bounds the broadcast.
+    picked = sample_ids(docs.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "doc_id", sample_rows)
+    rows = docs.join(F.broadcast(picked), "doc_id")
     blocks = rows.select("doc_id", F.posexplode(cut("text")).alias("pos", "block"))
     picked = blocks.orderBy(F.xxhash64("doc_id", "pos"), "doc_id", "pos").limit(sample_blocks)
     samples = [bytes(r.block) for r in picked.select("block").collect()]

@@ -11,10 +11,17 @@ _CUT = re.compile(r"(?<=\S)(?= )")
 
 
 class WordCache:
-    """Codes of pieces. When it is full it starts anew, so memory stays bounded."""
+    """Codes of pieces, in two generations.
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 400_000):
-        self.encode, self.most, self.known = encode, most, {}
+    When the younger one is full it becomes the older one, which is dropped in
+    turn; words in use move over, so memory stays bounded and frequent
+    words are not encoded again.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 250_000):
+        self.encode, self.most = encode, most
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -27,12 +34,15 @@ class WordCache:
         return [first, *[" " + x for x in rest]]
 
     def joined(self, rows: list[list[str]]) -> list[bytes]:
-        known = self.known
-        new = list({p for row in rows for p in row if p not in known})
+        wanted = set().union(*rows)
+        if len(self.known) + len(wanted) > self.most:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        wanted.difference_update(known)
+        for p in wanted & older.keys():
+            known[p] = older[p]
+        new = list(wanted - older.keys())
         if new:
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = list({p for row in rows for p in row})
             known.update(zip(new, self.encode(new), strict=True))
         get = known.__getitem__
         return [b"".join(map(get, row)) for row in rows]
