@@ -13,12 +13,11 @@ a piece with which its own piece does not merge, and infinitely much
 otherwise; exactly one path is finite, since a sequence of pieces is the
 result of merging if and only if no merge crosses any of its boundaries. Either
 way a place needs one best arc: in a merge model every beginning of a text
-has one finite path.
+has one finite path, and the first complete one found is the shortest.
 
-No piece spans the boundary in front of a blank that follows another
-character, nor a line break, so the lattice falls apart there into words; words
-are solved once and kept. This is checked when the model is compiled; a
-vocabulary with wider pieces is solved text by text.
+Where no piece holds a character and its neighbour side by side, no arc spans the
+boundary between them and the lattice falls apart; equal parts are solved once and
+kept. Texts are first cut at spaces, if no piece goes on after its mark.
 
 Defined cases: null and empty texts have no ids and decode to the empty
 text; texts of any length are encoded whole; decoding gives the text back
@@ -29,6 +28,7 @@ ends are refused.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 
@@ -37,12 +37,16 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .words import WordCache
+from .common import steps
+from .words import FIRST, WHOLE, WordCoder
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNIGRAM, BPE = 1, 2
 NEVER = float("inf")
+#: Parts of words that a worker keeps at most.
+MOST_PARTS = 200_000
+STEP_BYTES = 2_000_000
 _BLANKS = re.compile(" +")
 
 
@@ -68,8 +72,7 @@ class Pieces:
         self.unknown_cost = 10 - min((self.scores[i] for i in self.ids.values()), default=0.0)
         self.heads = {w[:n] for w in self.ids for n in range(1, len(w) + 1)}
         self.dtype = np.dtype("<u2" if len(self.scores) <= 1 << 16 else "<u4")
-        wide = [w for w in self.ids if MARK in w[1:] and w.strip(MARK)] + [w for w in self.ids if "\n" in w and len(w) > 1]
-        self.by_word = not wide
+        self.by_word = not any(MARK in w[1:] and w.strip(MARK) for w in self.ids)
         self.surface = {i: w for w, i in self.ids.items()}
         self.said = [
             bytes([int(p.piece[3:5], 16)]) if p.type == BYTE
@@ -78,10 +81,11 @@ class Pieces:
             else p.piece.replace(MARK, " ").encode()
             for p in proto.pieces
         ]
-        self.line_break = self._code(*self._fallback("\n")) if "\n" not in self.ids else self._code(self.ids["\n"])
         self._steps: dict[str, list[tuple[float, str, str]] | None] = {}
         self._fits: dict[tuple[str, str], bool] = {}
-        self.cache = WordCache(lambda words: [self._code(*self.path(w)) for w in words])
+        self.inside = {pair for w in self.ids for pair in zip(w, w[1:], strict=False)}
+        self.parts: dict[str, bytes] = {}
+        self.coder = WordCoder(self._code_words, self.dtype, lambda text: not self.by_word or MARK in text)
 
     def _code(self, *ids: int) -> bytes:
         return np.array(ids, self.dtype).tobytes()
@@ -118,7 +122,7 @@ class Pieces:
         key = (left, right)
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > 300_000:
                 self._fits.clear()
             known = self._fits[key] = self._no_merge_across(self._timeline(left), self._timeline(right))
         return known
@@ -144,63 +148,105 @@ class Pieces:
 
     def path(self, word: str) -> list[int]:
         """Labels of the shortest path through the lattice of a normalised word."""
+        arcs = self._merge_path(word) if self.merges else self._cheapest_path(word)
+        out: list[int] = []
+        for piece in arcs:
+            i = self.ids.get(piece)
+            out += self._fallback(piece) if i is None else [i]
+        return out
+
+    def _arcs(self, word: str, i: int) -> list[str]:
+        """Labels of the arcs from a place: matching pieces, or the character itself."""
+        out, ids, heads = [], self.ids, self.heads
+        for j in range(i + 1, len(word) + 1):
+            piece = word[i:j]
+            if piece not in heads:
+                break
+            if piece in ids:
+                out.append(piece)
+        return out if out and len(out[0]) == 1 else [word[i], *out]
+
+    def _merge_path(self, word: str) -> list[str]:
+        """Every finite arc costs nothing, so the first complete finite path is a shortest one.
+
+        Long pieces are tried first. One finite path leads to a place, so a
+        place that led nowhere is never entered again.
+        """
+        if not word:
+            return []
+        n, dead, fits = len(word), set(), self.fits
+        path: list[str] = []
+        open_: list[list[str]] = [[a for a in self._arcs(word, 0) if self._timeline(a) is not None]]
+        at = [0]
+        while at[-1] < n:
+            here = at[-1]
+            while open_[-1]:
+                piece = open_[-1].pop()
+                end = here + len(piece)
+                if end not in dead and (not path or fits(path[-1], piece)):
+                    path.append(piece)
+                    at.append(end)
+                    open_.append(self._arcs(word, end) if end < n else [])
+                    break
+            else:
+                dead.add(at.pop())
+                open_.pop()
+                path.pop()
+        return path
+
+    def _cheapest_path(self, word: str) -> list[str]:
         n = len(word)
-        cost, last, back = [NEVER] * (n + 1), [""] * (n + 1), [0] * (n + 1)
-        cost[0] = 0.0
-        ids, heads, scores, merges = self.ids, self.heads, self.scores, self.merges
+        cost, back = [0.0] + [NEVER] * n, [0] * (n + 1)
+        ids, scores = self.ids, self.scores
         for i in range(n):
-            here = cost[i]
-            if here == NEVER:
-                continue
-            before = last[i]
-            if word[i] not in ids:
-                price = here + (0.0 if merges else self.unknown_cost)
-                if price < cost[i + 1]:
-                    cost[i + 1], last[i + 1], back[i + 1] = price, word[i], i
-            for j in range(i + 1, n + 1):
-                piece = word[i:j]
-                if piece not in heads:
-                    break
-                if piece not in ids:
-                    continue
-                if merges:
-                    if cost[j] == NEVER and (self.fits(before, piece) if before else self._timeline(piece) is not None):
-                        cost[j], last[j], back[j] = 0.0, piece, i
-                elif here - scores[ids[piece]] < cost[j]:
-                    cost[j], last[j], back[j] = here - scores[ids[piece]], piece, i
-        out: list[list[int]] = []
+            for piece in self._arcs(word, i):
+                k = ids.get(piece)
+                price = cost[i] + (self.unknown_cost if k is None else -scores[k])
+                if price < cost[i + len(piece)]:
+                    cost[i + len(piece)], back[i + len(piece)] = price, i
+        out = []
         while n:
-            found = ids.get(last[n])
-            out.append(self._fallback(last[n]) if found is None else [found])
+            out.append(word[back[n] : n])
             n = back[n]
-        return [i for part in reversed(out) for i in part]
+        return out[::-1]
 
     def normalised(self, text: str) -> str:
         if self.squeeze:
             text = _BLANKS.sub(" ", text.strip(" "))
         return ((" " if self.prefix and text else "") + text).replace(" ", MARK)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        rows, runs = [], []
-        for text in texts:
-            if not self.by_word or MARK in text:
-                runs.append(None)
-                continue
-            if self.squeeze:
-                text = _BLANKS.sub(" ", text.strip(" "))
-            lines = [[p.replace(" ", MARK) for p in WordCache.pieces(line)] for line in text.split("\n")]
-            if text and self.prefix:
-                first = lines[0]
-                lines[0] = [MARK + first[0], *first[1:]] if first else [MARK]
-            runs.append(len(lines))
-            rows += lines
-        coded = iter(self.cache.joined(rows))
-        out = []
-        for text, n in zip(texts, runs, strict=True):
-            data = self._code(*self.path(self.normalised(text))) if n is None else self.line_break.join([next(coded) for _ in range(n)])
-            out.append(np.frombuffer(data, self.dtype))
+    def _code_words(self, words: list[str]) -> list[bytes]:
+        """New words, cut where no piece can span; each part that is new is solved."""
+        out, parts = [], self.parts
+        if len(parts) > MOST_PARTS:
+            parts.clear()
+        for word in words:
+            if word[:1] == WHOLE:
+                text = self.normalised(word[1:])
+            elif word[:1] == FIRST:
+                text = (MARK * self.prefix + word[1:]).replace(" ", MARK)
+            else:
+                text = MARK + word.replace(" ", MARK)
+            codes, start = [], 0
+            for i, pair in enumerate(zip(text, text[1:], strict=False), 1):
+                if pair not in self.inside:
+                    codes.append(self._part(text[start:i]))
+                    start = i
+            codes.append(self._part(text[start:]))
+            out.append(b"".join(codes))
         return out
 
+    def _part(self, part: str) -> bytes:
+        code = self.parts.get(part)
+        if code is None:
+            code = self.parts[part] = self._code(*self.path(part))
+        return code
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.squeeze:
+            texts = [_BLANKS.sub(" ", t.strip(" ")) for t in texts]
+        return self.coder(texts)
+
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.said.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
@@ -214,13 +260,18 @@ def pieces(path: str, _made: dict = {}) -> Pieces:  # noqa: B006
     return _made[path]
 
 
+def encoded(texts: pd.Series, made: Pieces) -> list[np.ndarray]:
+    """Ids of a batch of texts, a bounded run at a time; null is the empty text."""
+    texts = [t if isinstance(t, str) else "" for t in texts]
+    return [x for at, run in steps(texts, STEP_BYTES) for x in made.encode(texts[at : at + len(run)])]
+
+
 def encode_pieces(text: Column, model: str) -> Column:
     """Ids of a text as an array."""
 
     @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:
-        found = pieces(model).encode([t if isinstance(t, str) else "" for t in texts])
-        return pd.Series([x.astype(np.int32) for x in found], dtype=object)
+        return pd.Series([x.astype(np.int32) for x in encoded(texts, pieces(model))], dtype=object)
 
     return encode(text)
 
@@ -236,6 +287,18 @@ def decode_pieces(ids: Column, model: str) -> Column:
     return decode(ids)
 
 
-def ids_crc32(ids: Column) -> Column:
-    """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
-    return F.pandas_udf(lambda rows: rows.map(lambda x: zlib.crc32(np.asarray(x).astype("<u4").tobytes())), "long")(ids)
+def piece_digest(text: Column, model: str) -> Column:
+    """Encodes, decodes and describes both without keeping the ids: counts, checksums, and whether the text came back."""
+
+    @F.pandas_udf("n_pieces long, ids_crc32 long, n_chars long, text_sha256 string, round_trip boolean")
+    def digest(texts: pd.Series) -> pd.DataFrame:
+        made, rows = pieces(model), []
+        texts = [t if isinstance(t, str) else "" for t in texts]
+        for at, run in steps(texts, STEP_BYTES):
+            for text, ids in zip(texts[at : at + len(run)], made.encode(texts[at : at + len(run)]), strict=True):
+                back = made.decode(ids)
+                crc = zlib.crc32(ids.astype("<u4").tobytes())
+                rows.append((len(ids), crc, len(back), hashlib.sha256(back.encode()).hexdigest(), back == text))
+        return pd.DataFrame(rows, columns=["n_pieces", "ids_crc32", "n_chars", "text_sha256", "round_trip"])
+
+    return digest(text)

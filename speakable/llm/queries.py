@@ -14,10 +14,11 @@ from .decontam import contaminated
 from .line_dedup import SQL as LINE_SQL
 from .line_dedup import drop_boilerplate
 from .lm import lm_scores
-from .pieces import decode_pieces, encode_pieces, ids_crc32
+from .pieces import piece_digest
 from .quality import quality_score, train_quality
 from .repetition import repetition_report
 from .simhash import hex_bits, near_duplicates
+from .suffix_dedup import remove_repeats
 from .token_store import stored_tokens, with_crc
 from .toxicity import toxicity_score, train_toxicity
 
@@ -30,6 +31,10 @@ def _labels(spark: SparkSession, sf_dir: str, column: str, n: int, held: int) ->
     return rows.filter(fold(F.col("doc_id"), n) != held)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train_quality(docs, _labels(spark, sf_dir, "quality", 4, 2))
@@ -76,17 +81,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = docs.withColumn("ids", encode_pieces(F.col("text"), model))
-    back = coded.withColumn("back", decode_pieces(F.col("ids"), model))
-    return back.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_pieces"),
-        ids_crc32(F.col("ids")).alias("ids_crc32"),
-        F.length("back").cast("long").alias("n_chars"),
-        F.sha2(F.col("back").cast("binary"), 256).alias("text_sha256"),
-        (F.col("back") == F.coalesce("text", F.lit(""))).alias("round_trip"),
-    )
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", piece_digest(F.col("text"), model).alias("r")).select("doc_id", "r.*")
 
 
 def _judged(scored: DataFrame, n: int, held: int, limit: float) -> DataFrame:
@@ -99,6 +95,7 @@ def _judged(scored: DataFrame, n: int, held: int, limit: float) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
     "op4_lm_score": op4_lm_score,

@@ -24,65 +24,81 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, sample_ids
-from .words import WordCache
+from .common import new_path, sample_ids, steps
+from .words import FIRST, WHOLE, WordCoder
 
 MAGIC = b"TOKSEG1\0"
 HEAD = struct.Struct("<8s16sI")
 ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("size", "<u4"), ("n_tokens", "<u4")])
 SEGMENT_BYTES = 4_000_000
 LEVEL = 3
+# The split pattern of byte-level tokenizers, and the characters that stand for the 256 bytes.
+PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+#: Parts of words that a worker keeps at most.
+MOST_PARTS = 200_000
+#: Bytes of text that are coded together.
+STEP_BYTES = 6_000_000
 
 
 class BpeEncoder:
-    """Ids of a text by the tokenizers library, cut at blanks so that words are encoded once.
+    """Ids of a text by the tokenizers library, cut so that equal words are encoded once.
 
-    The pre-tokenizer starts a new token at every blank that follows a
-    non-blank character, so the pieces between such blanks are independent.
-    New pieces are handed over many at a time as one text; a piece that starts
-    a text follows a line break of its own, and the bytes that each id stands
-    for tell where a piece ends.
+    The pre-tokenizer starts a new token at every space that follows a
+    non-blank character, so what stands between such spaces is independent.
+    A word that is new is cut further, by the pre-tokenizer's own pattern, and the
+    library's merge model codes each part that is new.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
-        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self.width[i] = len(token)  # byte-level: one character stands for one byte
-        self.cache = WordCache(self._encode)
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
-
-    def _encode(self, pieces: list[str], run: int = 20_000) -> list[bytes]:
-        return [code for at in range(0, len(pieces), run) for code in self._encode_run(pieces[at : at + run])]
-
-    def _encode_run(self, pieces: list[str]) -> list[bytes]:
-        joinable = [p for p in pieces if p and not p[-1].isspace() and (p[0] == " " or not p[0].isspace())]
-        parts = [x for p in joinable for x in ((p,) if p[0] == " " else ("\n", p))]
-        ids = self._ids("".join(parts))
-        after = np.cumsum(self.width[ids])
-        ends = np.cumsum([len(x.encode()) for x in parts])
-        cut = np.r_[0, np.searchsorted(after, ends) + 1] if len(parts) else np.zeros(1, int)
-        known = {}
-        if len(parts) and (after[np.minimum(cut[1:] - 1, len(after) - 1)] == ends).all():
-            known = {p: ids[a:b].tobytes() for p, a, b in zip(parts, cut[:-1].tolist(), cut[1:].tolist(), strict=True)}
-        return [known[p] if p in known else self._ids(p).tobytes() for p in pieces]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        return self.cache.joined([WordCache.pieces(t) for t in texts])
+        ids = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.dtype = np.dtype("<u2" if max(ids.values()) < 1 << 16 else "<u4")
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.coder = WordCoder(self._encode, self.dtype, lambda text: any(s in text for s in special))
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        if part.isascii() and part.isprintable():
+            chars = part.replace(" ", BYTE_CHARS[32])
+        else:
+            chars = part.encode().decode("latin-1").translate(BYTE_CHARS)
+        return array(self.dtype.char, [t.id for t in self.tokenizer.model.tokenize(chars)]).tobytes()
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        out, parts, cut = [], self.parts, PATTERN.findall
+        if len(parts) > MOST_PARTS:
+            parts.clear()
+        for word in words:
+            if word[0:1] == WHOLE:
+                ids = self.tokenizer.encode(word[1:], add_special_tokens=False).ids
+                out.append(np.array(ids, self.dtype).tobytes())
+                continue
+            piece = word[1:] if word[:1] == FIRST else " " + word
+            codes = []
+            for part in (piece,) if word.isalpha() else cut(piece):
+                code = parts.get(part)
+                if code is None:
+                    code = parts[part] = self._part(part)
+                codes.append(code)
+            out.append(codes[0] if len(codes) == 1 else b"".join(codes))
+        return out
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        return self.coder(texts)
 
 
 def encoder(path: str, _made: dict = {}) -> BpeEncoder:  # noqa: B006
@@ -135,8 +151,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str, sample_rows: int, sample_b
     @F.pandas_udf("array<binary>")
     def cut(texts: pd.Series) -> pd.Series:
         code = encoder(tokenizer)
-        size = block_ids * code.dtype.itemsize
-        return pd.Series([[d[i : i + size] for i in range(0, len(d), size)] for d in code([t or "" for t in texts])])
+        found = code([t or "" for t in texts])
+        return pd.Series([[d[i : i + block_ids].tobytes() for i in range(0, len(d), block_ids)] for d in found])
 
     # The ids are picked on their own, so that no text is sorted; sample_rows bounds the broadcast.
     picked = sample_ids(docs.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "doc_id", sample_rows)
@@ -179,9 +195,9 @@ def write_store(
         for batch in batches:
             keys = [None if k is None else int(k) for k in batch["doc_id"]]
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            for at in range(0, len(texts), 256):
-                for key, data in zip(keys[at : at + 256], code(texts[at : at + 256]), strict=True):
-                    data += end
+            for at, run in steps(batch["text"], STEP_BYTES):
+                for key, found in zip(keys[at : at + len(run)], code(texts[at : at + len(run)]), strict=True):
+                    data = found.tobytes() + end
                     frame = packer.compress(data)
                     ids.append(key)
                     counts.append(len(data) // code.dtype.itemsize)

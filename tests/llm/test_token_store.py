@@ -21,16 +21,16 @@ def ids_of(text):
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.text(st.sampled_from("ab é'sdt1,.\n\t  　\x1c\x85中<|>"), max_size=40))
+@given(st.text(st.sampled_from("ab é'sdt1,.\x00\n\t  　\x1c\x85中<|>"), max_size=40))
 def test_words_encode_as_the_whole_text(text):
     code = encoder(PATH)
-    assert np.frombuffer(code([text])[0], code.dtype).tolist() == ids_of(text)
+    assert code([text])[0].tolist() == ids_of(text)
 
 
 def test_special_string_is_encoded_as_the_library_does():
     code = encoder(PATH)
     for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y  z"):
-        assert np.frombuffer(code([text])[0], code.dtype).tolist() == ids_of(text)
+        assert code([text])[0].tolist() == ids_of(text)
 
 
 def expected(rows, end):
