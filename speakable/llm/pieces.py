@@ -45,8 +45,8 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNIGRAM, BPE = 1, 2
 NEVER = float("inf")
 #: Parts of words that a worker keeps at most.
-MOST_PARTS = 200_000
-STEP_BYTES = 2_000_000
+MOST_PARTS = 120_000
+STEP_BYTES = 1_500_000
 _BLANKS = re.compile(" +")
 
 
@@ -122,7 +122,7 @@ class Pieces:
         key = (left, right)
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 300_000:
+            if len(self._fits) > 200_000:
                 self._fits.clear()
             known = self._fits[key] = self._no_merge_across(self._timeline(left), self._timeline(right))
         return known

@@ -47,9 +47,9 @@ PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 #: Parts of words that a worker keeps at most.
-MOST_PARTS = 200_000
+MOST_PARTS = 120_000
 #: Bytes of text that are coded together.
-STEP_BYTES = 6_000_000
+STEP_BYTES = 1_500_000
 
 
 class BpeEncoder:

@@ -36,7 +36,7 @@ class WordCoder:
     handed over in one piece.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], dtype: np.dtype, whole: Callable[[str], bool], most: int = 150_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], dtype: np.dtype, whole: Callable[[str], bool], most: int = 100_000):
         self.encode, self.dtype, self.whole, self.most = encode, dtype, whole, most
         self.kept: dict[str, bytes] = {}
 
