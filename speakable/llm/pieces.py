@@ -38,14 +38,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .common import steps
-from .words import FIRST, WHOLE, WordCoder
+from .words import FIRST, WHOLE, Parts, WordCoder
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNIGRAM, BPE = 1, 2
 NEVER = float("inf")
-#: Parts of words that a worker keeps at most.
-MOST_PARTS = 120_000
 STEP_BYTES = 1_500_000
 _BLANKS = re.compile(" +")
 
@@ -84,7 +82,7 @@ class Pieces:
         self._steps: dict[str, list[tuple[float, str, str]] | None] = {}
         self._fits: dict[tuple[str, str], bool] = {}
         self.inside = {pair for w in self.ids for pair in zip(w, w[1:], strict=False)}
-        self.parts: dict[str, bytes] = {}
+        self.parts = Parts(lambda part: self._code(*self.path(part)))
         self.coder = WordCoder(self._code_words, self.dtype, lambda text: not self.by_word or MARK in text)
 
     def _code(self, *ids: int) -> bytes:
@@ -217,9 +215,7 @@ class Pieces:
 
     def _code_words(self, words: list[str]) -> list[bytes]:
         """New words, cut where no piece can span; each part that is new is solved."""
-        out, parts = [], self.parts
-        if len(parts) > MOST_PARTS:
-            parts.clear()
+        out, part = [], self.parts.__getitem__
         for word in words:
             if word[:1] == WHOLE:
                 text = self.normalised(word[1:])
@@ -230,18 +226,12 @@ class Pieces:
             codes, start = [], 0
             for i, pair in enumerate(zip(text, text[1:], strict=False), 1):
                 if pair not in self.inside:
-                    codes.append(self._part(text[start:i]))
+                    codes.append(part(text[start:i]))
                     start = i
-            codes.append(self._part(text[start:]))
+            codes.append(part(text[start:]))
             out.append(b"".join(codes))
         return out
 
-    def _part(self, part: str) -> bytes:
-        code = self.parts.get(part)
-        if code is None:
-            code = self.parts[part] = self._code(*self.path(part))
-        return code
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.squeeze:
             texts = [_BLANKS.sub(" ", t.strip(" ")) for t in texts]

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, sample_ids, steps
-from .words import FIRST, WHOLE, WordCoder
+from .words import FIRST, WHOLE, Parts, WordCoder
 
 MAGIC = b"TOKSEG1\0"
 HEAD = struct.Struct("<8s16sI")
@@ -46,8 +46,6 @@ LEVEL = 3
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
-#: Parts of words that a worker keeps at most.
-MOST_PARTS = 120_000
 #: Bytes of text that are coded together.
 STEP_BYTES = 1_500_000
 
@@ -69,7 +67,7 @@ class BpeEncoder:
         self.dtype = np.dtype("<u2" if max(ids.values()) < 1 << 16 else "<u4")
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.coder = WordCoder(self._encode, self.dtype, lambda text: any(s in text for s in special))
-        self.parts: dict[str, bytes] = {}
+        self.parts = Parts(self._part)
 
     def _part(self, part: str) -> bytes:
         if part.isascii() and part.isprintable():
@@ -79,22 +77,14 @@ class BpeEncoder:
         return array(self.dtype.char, [t.id for t in self.tokenizer.model.tokenize(chars)]).tobytes()
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        out, parts, cut = [], self.parts, PATTERN.findall
-        if len(parts) > MOST_PARTS:
-            parts.clear()
+        out, part, cut = [], self.parts.__getitem__, PATTERN.findall
         for word in words:
             if word[0:1] == WHOLE:
                 ids = self.tokenizer.encode(word[1:], add_special_tokens=False).ids
                 out.append(np.array(ids, self.dtype).tobytes())
                 continue
             piece = word[1:] if word[:1] == FIRST else " " + word
-            codes = []
-            for part in (piece,) if word.isalpha() else cut(piece):
-                code = parts.get(part)
-                if code is None:
-                    code = parts[part] = self._part(part)
-                codes.append(code)
-            out.append(codes[0] if len(codes) == 1 else b"".join(codes))
+            out.append(part(piece) if word.isalpha() else b"".join(map(part, cut(piece))))
         return out
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:

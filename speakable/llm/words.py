@@ -27,6 +27,28 @@ def spaced_words(text: str) -> list[str]:
     return [FIRST + first, *[x[1:] for x in rest]]
 
 
+class Parts(dict):
+    """Codes of parts of words, made when they are first asked for.
+
+    When ``most`` are held they become the older generation; parts in use move
+    over from it, the others go with the next change.
+    """
+
+    def __init__(self, make: Callable[[str], bytes], most: int = 120_000):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, part: str) -> bytes:
+        code = self.older.get(part)
+        if code is None:
+            code = self.make(part)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[part] = code
+        return code
+
+
 class WordCoder:
     """Codes of texts as arrays of ids, put together from those of their words.
 
