@@ -75,7 +75,7 @@ def _named_entities() -> str:
 
 def unescape(text: Column) -> Column:
     """Replace character references; unknown names stay."""
-    entity = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+    entity = "&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]{1,31});"
 
     def number(value: Column) -> Column:
         return F.decode(F.unhex(F.lpad(F.hex(value), 8, "0")), "UTF-32")
@@ -85,9 +85,10 @@ def unescape(text: Column) -> Column:
         out = F.when(F.lit(False), ref)
         for key, char in _COMMON_ENTITIES.items():
             out = out.when(name == key, char)
-        code = F.when(
-            F.rlike(name, F.lit("^#[xX]")), F.conv(F.substr(name, F.lit(3)), 16, 10)
-        ).otherwise(F.regexp_replace(name, "^#", ""))
+        # Leading zeros say nothing; more than seven digits behind them are out of range.
+        digits = F.regexp_replace(name, "^#[xX]?0*", "")
+        short = F.when(F.length(digits).between(1, 7), digits).otherwise("0")
+        code = F.when(F.rlike(name, F.lit("^#[xX]")), F.conv(short, 16, 10)).otherwise(short)
         named = F.from_json(F.lit(_named_entities()), "map<string,string>")
         return out.when(
             F.startswith(name, F.lit("#")),

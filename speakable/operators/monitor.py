@@ -40,7 +40,7 @@ def window_stats(measures: DataFrame, *keys: str) -> DataFrame:
     )
     listed = F.array_sort(F.collect_list(F.struct("status", "_n")))
     return by_status.groupBy(*keys).agg(
-        F.sum("_n").alias("n"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n"),
         F.map_from_entries(listed).alias("statuses"),
         _mean("_flag", "_n", 4).alias("flag_rate"),
         F.coalesce(_mean("_qa", "_n_qa", 4), F.lit(0.0)).alias("qa_fail_rate"),

@@ -30,7 +30,7 @@ from ..functions.readings import (
     year_parts,
 )
 from ..functions.words import to_roman, word_list
-from .prefix import durable, running_sum
+from .prefix import durable, number_rows
 
 # Vocabulary.
 NAMES = [
@@ -399,8 +399,8 @@ def generate_pairs(
     pairs = distinct_pairs(draw_pairs(ids, id_col, seed, hard_only))
     if n is None:
         return pairs
-    numbered = running_sum(pairs, [], ["pair_id"], F.lit(1), "_nr", inclusive=True)
-    return numbered.filter(F.col("_nr") <= n).drop("_nr")
+    # Ids may be sparse, so positions come from ranges of rows, not of id values.
+    return number_rows(pairs, ["pair_id"], "_nr").filter(F.col("_nr") <= n).drop("_nr")
 
 
 def shuffle_key(id_col: str, seed: int) -> Column:
@@ -409,14 +409,9 @@ def shuffle_key(id_col: str, seed: int) -> Column:
 
 
 def shuffled(pairs: DataFrame, seed: int = SEED, out: str = "place") -> DataFrame:
-    """Number the rows from 1 in seeded order.
-
-    Buckets are ranges of a uniform key, so they are even by construction.
-    """
+    """Number the rows from 1 in seeded order, by ranges whose number follows the session's partitions."""
     keyed = pairs.withColumn("_key", shuffle_key("pair_id", seed))
-    return running_sum(
-        keyed, [], ["_key", "pair_id"], F.lit(1), out, bucket=F.shiftright("_key", 18), inclusive=True
-    ).drop("_key")
+    return number_rows(keyed, ["_key", "pair_id"], out).drop("_key")
 
 
 def without_leaks(rows: DataFrame, train: DataFrame, key: str = "before") -> DataFrame:

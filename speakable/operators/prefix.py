@@ -10,8 +10,6 @@ bucket of rows.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,13 +19,14 @@ SO_FAR = (Window.unboundedPreceding, Window.currentRow)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a local one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared checkpoint folder of the cluster.
+
+    A session that names none gets a folder beside its tables, on the file
+    system of the warehouse, which executors reach as well.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        known = spark.sparkContext.getCheckpointDir()
-        if known:
-            return known
-        folder = tempfile.mkdtemp(prefix="spark-")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -72,9 +72,9 @@ def is_cue() -> Column:
 
 
 def chapter_spans(timed: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """First start and last end of each chapter."""
-    return timed.groupBy(doc, "chapter_no").agg(
-        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")
+    """First start and last end of each chapter, with its own index and its dense number."""
+    return timed.groupBy(doc, "chapter_index").agg(
+        F.min("chapter_no").alias("chapter_no"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")
     )
 
 

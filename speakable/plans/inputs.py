@@ -20,15 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy text work every core when the files are fewer than the cores.
-
-    A table of many files already has more splits than that and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def number_text(value: Column) -> Column:
     """Integer text of a whole number held as a double."""
     return value.cast("bigint").cast("string")
@@ -56,7 +47,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids for generated pairs: one per order."""
-    return spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
 
 
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:

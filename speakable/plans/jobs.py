@@ -12,7 +12,7 @@ from ..operators import monitor as M
 from ..operators import quality as Q
 from ..operators import timeline as T
 from ..operators.prefix import scratch_dir
-from ..sources import sinks
+from ..sources import readers, sinks
 from ..streaming import jobs as ST
 from . import sql as q
 from .corpus import _SIZES, _SPLITS, _splits
@@ -58,7 +58,7 @@ def retry_plan(spark, sf):
 
 
 # A model that answers for two turns of three, sure of itself by text length.
-_MODEL = """m AS (SELECT conv_id AS doc_id, conv_id * 1000 + turn AS segment_id, text AS baseline_text,
+_MODEL = """m AS (SELECT conv_id AS doc_id, conv_id || '-' || turn AS segment_id, text AS baseline_text,
   CASE WHEN turn % 3 <> 2 THEN CASE WHEN turn % 2 = 0 THEN text ELSE text || ' indeed' END END AS model_text,
   CASE WHEN turn % 3 <> 2 THEN (length(text) % 100)::DOUBLE / 100 END AS model_confidence FROM conversations)"""
 _DECIDED = f"""{_MODEL}, decided AS (SELECT doc_id, segment_id, model_text IS NULL AS none, coalesce(model_text, baseline_text) AS normalized,
@@ -69,7 +69,7 @@ _DECIDED = f"""{_MODEL}, decided AS (SELECT doc_id, segment_id, model_text IS NU
 
 def _joined(spark, sf):
     c = table(spark, sf, "conversations")
-    key = (F.col("conv_id") * 1000 + F.col("turn")).alias("segment_id")
+    key = F.concat_ws("-", "conv_id", "turn").alias("segment_id")
     base = c.select(F.col("conv_id").alias("doc_id"), key, F.col("text").alias("baseline_text"))
     said = F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.concat("text", F.lit(" indeed")))
     model = c.filter(F.col("turn") % 3 != 2).select(
@@ -229,7 +229,7 @@ def timeline(spark, sf):
     return _timed(spark, sf).select("doc_id", "chapter_index", "seg_order", "chapter_no", "start_ms", "end_ms")
 
 
-_SPANS = "(SELECT doc_id, chapter_no, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM timed GROUP BY doc_id, chapter_no)"
+_SPANS = "(SELECT doc_id, chapter_index, min(chapter_no) AS chapter_no, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM timed GROUP BY doc_id, chapter_index)"
 
 
 @query("win_chapter_spans", f"WITH {_TIMED} SELECT * FROM {_SPANS}")
@@ -237,28 +237,28 @@ def chapter_spans(spark, sf):
     return T.chapter_spans(_timed(spark, sf))
 
 
-_TITLES = "(SELECT doc_id, chapter_index AS chapter_no, left(text, 80) AS title FROM talk WHERE seg_order = 0 AND kind <> 'dialogue')"
+_TITLES = "(SELECT doc_id, chapter_index, left(text, 80) AS title FROM talk WHERE seg_order = 0 AND kind <> 'dialogue')"
 
 
 def _titled(spark, sf):
     segs = talk_segments(spark, sf)
     titles = segs.filter((F.col("seg_order") == 0) & (F.col("kind") != "dialogue")).select(
-        "doc_id", F.col("chapter_index").alias("chapter_no"), F.substr("text", F.lit(1), F.lit(80)).alias("title")
+        "doc_id", "chapter_index", F.substr("text", F.lit(1), F.lit(80)).alias("title")
     )
-    return T.join_chapter_title(T.chapter_spans(_timed(spark, sf)), titles, index="chapter_no")
+    return T.join_chapter_title(T.chapter_spans(_timed(spark, sf)), titles)
 
 
 @query(
     "join_chapter_title",
-    f"""WITH {_TIMED} SELECT doc_id, chapter_no, start_ms, end_ms, coalesce(title, 'Chapter ' || (chapter_no + 1)) AS title
-        FROM {_SPANS} LEFT JOIN {_TITLES} USING (doc_id, chapter_no)""",
+    f"""WITH {_TIMED} SELECT doc_id, chapter_index, chapter_no, start_ms, end_ms, coalesce(title, 'Chapter ' || (chapter_index + 1)) AS title
+        FROM {_SPANS} LEFT JOIN {_TITLES} USING (doc_id, chapter_index)""",
 )
 def chapter_title(spark, sf):
     return _titled(spark, sf)
 
 
 _MARKERS = f"""SELECT doc_id, chapter_no, '[CHAPTER]' || chr(10) || 'TIMEBASE=1/1000' || chr(10) || 'START=' || start_ms || chr(10) || 'END=' || end_ms
-  || chr(10) || 'title=' || coalesce(title, 'Chapter ' || (chapter_no + 1)) AS marker FROM {_SPANS} LEFT JOIN {_TITLES} USING (doc_id, chapter_no)"""
+  || chr(10) || 'title=' || coalesce(title, 'Chapter ' || (chapter_index + 1)) AS marker FROM {_SPANS} LEFT JOIN {_TITLES} USING (doc_id, chapter_index)"""
 
 
 @query("sink_chapter_metadata", f"WITH {_TIMED} {_MARKERS}")
@@ -425,8 +425,11 @@ def _shout(texts: list[str]) -> tuple[list[str], list[float]]:
 
 # Streams read the table's files to the end and append to the scratch folder.
 def _stream(spark, sf, name):
-    schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table as a stream: the folder of its part files, or the one file by name."""
+    path, source = f"{sf}/{name}.parquet", spark.readStream.schema(table(spark, sf, name).schema)
+    if readers.is_folder(spark, path):
+        return source.parquet(path)
+    return source.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
 def _fresh(spark) -> str:

@@ -9,7 +9,7 @@ from ..functions import words as W
 from ..functions.scanning import normalize
 from ..operators import spans as S
 from . import sql as q
-from .inputs import cents_text, grouped_cents, lines, number_text, receipts, spread, table
+from .inputs import cents_text, grouped_cents, lines, number_text, receipts, table
 from .registry import query
 from .text import segmented
 
@@ -27,7 +27,7 @@ _BIG = "SELECT o_orderkey AS id, (o_orderkey * 7919 * (CASE WHEN o_orderkey % 3
 def _big(spark, sf):
     o = table(spark, sf, "orders")
     factor = F.when(F.col("o_orderkey") % 3 == 0, 1_000_003).otherwise(1)
-    return spread(o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 7919 * factor).cast("string").alias("n")))
+    return o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 7919 * factor).cast("string").alias("n"))
 
 
 @query("words_cardinal", _words_sql(_BIG, f"{q.card('n')} AS w", "w"))
@@ -50,7 +50,7 @@ _YEAR = "SELECT o_orderkey AS id, (o_orderkey * 37 % 9500 + 600)::BIGINT AS n FR
 
 def _years(spark, sf):
     o = table(spark, sf, "orders")
-    return spread(o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 37 % 9500 + 600).cast("string").alias("n")))
+    return o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 37 % 9500 + 600).cast("string").alias("n"))
 
 
 @query("words_year", _words_sql(_YEAR, f"{q.year('n')} AS w", "w"))
@@ -68,7 +68,7 @@ _DECADE = "SELECT o_orderkey AS id, (year(o_orderdate) // 10 * 10 - o_orderkey %
 def words_decade(spark, sf):
     o = table(spark, sf, "orders")
     n = F.floor(F.year("o_orderdate") / 10) * 10 - F.col("o_orderkey") % 20 * 10
-    return spread(o.select(F.col("o_orderkey").alias("id"), n.cast("string").alias("n"))).select(
+    return o.select(F.col("o_orderkey").alias("id"), n.cast("string").alias("n")).select(
         "id", W.decade(F.col("n")).alias("spoken")
     )
 
@@ -130,7 +130,7 @@ def rule_money(spark, sf):
         .when(kind == 1, F.concat(F.lit("£ "), cents_text(price), F.lit("M")))
         .otherwise(F.concat(F.lit("¥"), F.regexp_replace(grouped_cents(price), r"\..*$", "")))
     )
-    rows = spread(lines(spark, sf).select(F.col("line_id").alias("id"), surface.alias("s")))
+    rows = lines(spark, sf).select(F.col("line_id").alias("id"), surface.alias("s"))
     return rows.select("id", R.read_as("MONEY", F.col("s")).alias("spoken"))
 
 
@@ -215,7 +215,7 @@ def rule_roman(spark, sf):
 )
 def rule_fraction(spark, sf):
     surface = F.concat(F.col("l_linenumber").cast("string"), F.lit("/"), number_text(F.col("l_quantity")))
-    rows = spread(lines(spark, sf).select(F.col("line_id").alias("id"), surface.alias("s")))
+    rows = lines(spark, sf).select(F.col("line_id").alias("id"), surface.alias("s"))
     return rows.select("id", R.read_as("FRACTION", F.col("s")).alias("spoken"))
 
 
@@ -233,7 +233,7 @@ def rule_ordinal(spark, sf):
         F.when((n % 100).isin(11, 12, 13), "th")
         .when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th")
     )
-    rows = spread(table(spark, sf, "orders").select(n.alias("id"), F.concat(n.cast("string"), suffix).alias("s")))
+    rows = table(spark, sf, "orders").select(n.alias("id"), F.concat(n.cast("string"), suffix).alias("s"))
     return rows.select("id", R.read_as("ORDINAL", F.col("s")).alias("spoken"))
 
 
@@ -251,7 +251,7 @@ def rule_decimal(spark, sf):
         .when(kind == 2, F.regexp_replace(price, r"^[^.]*", ""))
         .otherwise(price)
     )
-    rows = spread(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), surface.alias("s")))
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), surface.alias("s"))
     return rows.select("id", R.read_as("DECIMAL", F.col("s")).alias("spoken"))
 
 
@@ -260,7 +260,7 @@ def rule_decimal(spark, sf):
     f"WITH {_N} SELECT o_orderkey AS id, {q.card('o_orderkey * 7919')} AS spoken FROM orders, ones, below",
 )
 def rule_grouped(spark, sf):
-    rows = spread(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")))
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
     return rows.select("id", R.read_as("CARDINAL_G", F.format_number(F.col("id") * 7919, 0)).alias("spoken"))
 
 
@@ -269,7 +269,7 @@ def rule_grouped(spark, sf):
     f"WITH {_N} SELECT o_orderkey AS id, {q.number('o_orderkey')} AS spoken FROM orders, ones, below",
 )
 def rule_cardinal(spark, sf):
-    rows = spread(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")))
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
     return rows.select("id", R.read_as("CARDINAL", F.col("id").cast("string")).alias("spoken"))
 
 
@@ -317,12 +317,12 @@ _TOKEN_CTES = f"WITH {_N}, {_RECEIPT}, st AS (SELECT *, {_STARTS} FROM r, ones,
 
 @query("op_scan", f"{_TOKEN_CTES} SELECT segment_id, span_no, start, stop, cls, surface FROM tokens")
 def scan_receipts(spark, sf):
-    return S.spans(spread(receipts(spark, sf)), "text", "segment_id")
+    return S.spans(receipts(spark, sf), "text", "segment_id")
 
 
 @query("op_span_tokens", f"{_TOKEN_CTES} SELECT segment_id, span_no, cls, surface, spoken FROM tokens")
 def span_tokens(spark, sf):
-    return S.span_tokens(spread(receipts(spark, sf)), "text", "segment_id").drop("start", "stop")
+    return S.span_tokens(receipts(spark, sf), "text", "segment_id").drop("start", "stop")
 
 
 @query(
@@ -332,12 +332,12 @@ def span_tokens(spark, sf):
           || ' percent at ' || {_CLOCK} || ', Chapter four.' AS normalized FROM r, ones, below""",
 )
 def normalize_receipts(spark, sf):
-    return S.normalized(spread(receipts(spark, sf))).select("segment_id", "normalized")
+    return S.normalized(receipts(spark, sf)).select("segment_id", "normalized")
 
 
 @query("op_span_counts", f"{_TOKEN_CTES} SELECT cls, count(*) AS n_spans FROM tokens GROUP BY cls")
 def span_counts(spark, sf):
-    return S.span_counts(S.spans(spread(receipts(spark, sf)), "text", "segment_id"))
+    return S.span_counts(S.spans(receipts(spark, sf), "text", "segment_id"))
 
 
 @query(
@@ -345,7 +345,7 @@ def span_counts(spark, sf):
     f"{_TOKEN_CTES} SELECT cls, spoken, count(*) AS n FROM tokens WHERE cls IN ('TIME', 'MEASURE', 'ABBREV') GROUP BY cls, spoken",
 )
 def lexicon_join(spark, sf):
-    found = S.spans(spread(receipts(spark, sf)), "text", "segment_id", classes=["TIME", "MEASURE", "ABBREV"])
+    found = S.spans(receipts(spark, sf), "text", "segment_id", classes=["TIME", "MEASURE", "ABBREV"])
     return S.join_lexicon(found, S.lexicon(found)).groupBy("cls", "spoken").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -363,5 +363,5 @@ def document_span_counts(spark, sf):
 
 @query("op_normalize_conversations")
 def normalize_conversations(spark, sf):
-    turns = spread(table(spark, sf, "conversations"))
+    turns = table(spark, sf, "conversations")
     return turns.select("conv_id", "turn", normalize(F.col("text")).alias("normalized"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expr import strip
 from ..operators.blocks import document_blocks
 from ..schemas import JOB_LOG, PAIRS
 
@@ -41,7 +42,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def parse_jsonl(lines: DataFrame, schema=PAIRS, column: str = "value") -> DataFrame:
     """Strict: blank lines are skipped, a bad line fails the job."""
     return (
-        lines.filter(F.trim(column) != "")
+        lines.filter(strip(F.col(column)) != "")
         .select(F.from_json(column, schema, {"mode": "FAILFAST"}).alias("row"))
         .select("row.*")
     )
@@ -62,6 +63,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
+
+
 def read_log(spark: SparkSession, path: str, schema=JOB_LOG) -> DataFrame:
     """Job log; a missing file is an empty log."""
     if not path_exists(spark, path):

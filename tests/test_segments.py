@@ -163,7 +163,7 @@ def test_sample_book(spark):
         (2, 0, "heading"), (2, 1, "narration"), (2, 2, "narration"),
     ]
     titles = [c.title for c in O.chapters(df, B.text_blocks(F.col("text")), "doc_id").collect()]
-    assert titles == ["Chapter 1", "Chapter 1: The Inheritance", "Chapter 2: The Visitor"]
+    assert titles == ["Chapter 1", "Chapter 1: The Ferry", "Chapter 2: The Guest"]
 
 
 def test_both_routes_agree(spark):
@@ -200,6 +200,11 @@ def test_html(spark):
     assert got == [("A & B", True), ("q in ééA&bogus; t", False), ("in ééA&bogus;", False), ("open", False), ("two x", False)]
 
 
+def test_long_character_references(spark):
+    df = spark.createDataFrame([("&#00000065;&#x000000042;&#99999999999;&#0;",)], "h string")
+    assert df.select(B.unescape(F.col("h"))).first()[0] == "AB\ufffd\ufffd"
+
+
 def test_layout_upper_median(spark):
     lines = [(1, k, "line", s) for k, s in enumerate([10.0, 10.0, 12.0, 12.0])] + [(1, 9, "x", 99.0), (2, 0, "Big", 20.0)]
     df = spark.createDataFrame(lines + [(1, 10, "Head", 15.0)], "doc_id int, line_pos int, text string, size double")

@@ -11,14 +11,14 @@ from speakable.functions import scanning as S
 from speakable.operators import spans as O
 
 SENTENCES = [
-    ("He paid $5.2M for 1,204 shares.", "He paid five point two million dollars for one thousand two hundred four shares."),
-    ("She walked down Main St.", "She walked down Main saint"),
-    ("It was 20% done.", "It was twenty percent done."),
-    ("Visit www.example.com today.", "Visit w w w dot example dot com today."),
-    ("It happened in 1984.", "It happened in nineteen eighty four."),
-    ("King Henry VIII reigned.", "King Henry the eighth reigned."),
-    ("Chapter IV is long.", "Chapter four is long."),
-    ("Dr. Vance on Oak Dr.", "doctor Vance on Oak doctor"),
+    ("They raised $7.1M from 2,316 donors.", "They raised seven point one million dollars from two thousand three hundred sixteen donors."),
+    ("The bakery on Mill St.", "The bakery on Mill saint"),
+    ("Nearly 35% of it leaked.", "Nearly thirty five percent of it leaked."),
+    ("Write to www.harbour.org soon.", "Write to w w w dot harbour dot org soon."),
+    ("The bridge opened in 1932.", "The bridge opened in nineteen thirty two."),
+    ("King George VI dined.", "King George the sixth dined."),
+    ("Chapter IX was cut.", "Chapter nine was cut."),
+    ("Dr. Moss left Elm Dr.", "doctor Moss left Elm doctor"),
     ("part mix", "part one thousand nine"),
     ("Chapter XVIII", "Chapter XVIII"),
     ("  two \n blanks  ", "two blanks"),

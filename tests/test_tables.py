@@ -185,7 +185,7 @@ def test_window_stats_and_drift(spark):
     assert M.drift(M.job_measures(_jobs(spark, 5)), ["ts", "filename"]).count() == 0
     found = M.drift(M.job_measures(_jobs(spark, 7)), ["ts", "filename"]).first()
     assert (found.base_n, found.recent_n, found.delta_flag_rate, found.alert) == (3, 4, 0.5, True)
-    assert M.window_stats(M.job_measures(spark.createDataFrame([], JOB_LOG))).first()["n"] is None
+    assert M.window_stats(M.job_measures(spark.createDataFrame([], JOB_LOG))).first()["n"] == 0
 
 
 def test_latency_is_exact(spark):
