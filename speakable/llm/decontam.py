@@ -141,7 +141,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, rule: Windows = Windows(), b
     hit = stored(hit, "window-hits").select(F.col("doc_id").alias("hit_id"), F.col("tie").alias("hit_tie"))
 
     few = rows.join(hit, rows["doc_id"].eqNullSafe(hit["hit_id"]) & (rows["tie"] == hit["hit_tie"]), "left_semi")
-    coded = _with_templates(few.dropDuplicates(["doc_id", "tie"]))
+    # Rows equal in id and text repeat their hits, which are counted once per window below.
+    coded = _with_templates(few)
     wide = coded.select("doc_id", "tie", F.explode(_all_sizes(sizes, "c", lambda d: F.struct(d.alias("d")))).alias("win")).select(
         "doc_id", "tie", "win.d", F.xxhash64(F.transform("win.d", lambda x: F.xxhash64(x["t"]))).alias("key")
     )
