@@ -23,6 +23,12 @@ ONES = [
 ]
 TENS = ["", "", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
 SCALES = ["quadrillion", "trillion", "billion", "million", "thousand", ""]
+# Names of the powers of a thousand, beyond which there are none.
+ALL_SCALES = [
+    "", "thousand", "million", "billion", "trillion", "quadrillion", "quintillion", "sextillion", "septillion", "octillion",
+    "nonillion", "decillion", "undecillion", "duodecillion", "tredecillion", "quattuordecillion", "quindecillion",
+    "sexdecillion", "septendecillion", "octodecillion", "novemdecillion", "vigintillion",
+]
 IRREGULAR_ORDINALS = {
     "one": "first", "two": "second", "three": "third", "five": "fifth",
     "eight": "eighth", "nine": "ninth", "twelve": "twelfth",
@@ -101,11 +107,25 @@ def cardinal(digits: Column) -> Column:
             )
         return F.concat_ws(" ", *groups)
 
+    def spell_long(number: Column) -> Column:
+        """Any number of groups of three; the plan above writes them out for the common lengths."""
+        n = F.ceil(F.length(number) / 3).cast("int")
+        padded = F.lpad(number, 3 * n, "0")
+        names = word_list(ALL_SCALES)
+
+        def group(i: Column) -> Column:
+            digits = F.substr(padded, 3 * i - 2, F.lit(3))
+            words = F.element_at(below, digits.cast("int") + 1)
+            return F.when(digits != "000", F.trim(F.concat_ws(" ", words, F.element_at(names, n - i + 1))))
+
+        groups = F.transform(F.sequence(F.lit(1), n), group)
+        return F.when(n > len(ALL_SCALES), spell_digits(number, oh=False)).otherwise(F.array_join(groups, " "))
+
     def read(number: Column) -> Column:
         return (
             F.when(number == "", F.lit("zero"))
             .when(F.length(number) <= 3, F.element_at(below, number.cast("int") + 1))
-            .when(F.length(number) > MAX_DIGITS, spell_digits(number, oh=False))
+            .when(F.length(number) > MAX_DIGITS, spell_long(number))
             .otherwise(let(F.lpad(number, MAX_DIGITS, "0"), spell))
         )
 

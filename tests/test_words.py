@@ -67,7 +67,7 @@ def test_readings(spark):
         (W.cardinal, "0", "zero"),
         (W.cardinal, "1234", "one thousand two hundred thirty four"),
         (W.cardinal, "1000000000000000", "one quadrillion"),
-        (W.cardinal, "1234567890123456789", "one two three four five six seven eight nine zero one two three four five six seven eight nine"),
+        (W.cardinal, "1234567890123456789", "one quintillion two hundred thirty four quadrillion five hundred sixty seven trillion eight hundred ninety billion one hundred twenty three million four hundred fifty six thousand seven hundred eighty nine"),
         (W.signed_cardinal, "-12", "negative twelve"),
         (W.ordinal, "21", "twenty first"),
         (W.ordinal, "1000", "one thousandth"),
@@ -101,3 +101,25 @@ def test_roman_round_trip(spark):
 def test_foreign_digits(spark):
     got = spark.range(1).select(R.read_as("CARDINAL", W.ascii_digits(F.lit("٤٢"))).alias("w")).first()["w"]
     assert got == "forty two"
+
+
+def test_long_numbers(spark):
+    """Groups of three with the names of the powers of a thousand, against a plain loop."""
+    import random
+
+    def plain(text):
+        small = lambda n: W._below_thousand()[n]
+        text = text.lstrip("0") or "0"
+        groups, rest = [], text
+        while rest:
+            groups.append(int(rest[-3:]))
+            rest = rest[:-3]
+        if len(groups) > 22:
+            return " ".join(W.ONES[int(c)] for c in text)
+        said = [f"{small(g)} {W.ALL_SCALES[k]}".strip() for k, g in reversed(list(enumerate(groups))) if g]
+        return " ".join(said) or "zero"
+
+    rng = random.Random(9)
+    numbers = ["1" + "0" * k for k in (17, 18, 19, 30, 63, 65, 66, 70)] + [str(rng.randrange(10**k)) for k in range(15, 66, 3)]
+    df = spark.createDataFrame([(n,) for n in numbers], "n string").select("n", W.cardinal(F.col("n")).alias("said"))
+    assert {r.n: r.said for r in df.collect()} == {n: plain(n) for n in numbers}
