@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame
@@ -113,10 +113,10 @@ def fit_reader(pairs: DataFrame) -> PipelineModel:
 
 
 def tune_reader(pairs: DataFrame, strengths: list[float], seed: int = 42) -> DataFrame:
-    """Validation score of each regularization strength; the best one is marked."""
+    """Validation accuracy of each regularization strength; the best one is marked."""
     pipeline, regression = _pipeline()
     grid = ParamGridBuilder().addGrid(regression.regParam, strengths).build()
-    judge = BinaryClassificationEvaluator(metricName="areaUnderROC")
+    judge = MulticlassClassificationEvaluator(metricName="accuracy")
     search = TrainValidationSplit(estimator=pipeline, estimatorParamMaps=grid, evaluator=judge, trainRatio=0.8, seed=seed)
     scores = search.fit(training_rows(pairs)).validationMetrics
     best = max(range(len(scores)), key=lambda k: scores[k])

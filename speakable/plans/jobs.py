@@ -395,11 +395,11 @@ def latency(spark, sf):
 
 @query(
     "op_sequence_confidence",
-    """SELECT vec_id, round(exp(list_sum(list_transform(embedding[1:16], lambda v: -abs(v::DOUBLE))) / 16), 6) AS confidence FROM embeddings""",
+    """SELECT vec_id, round(exp(list_sum(list_transform(embedding, lambda v: -abs(v::DOUBLE))) / len(embedding)), 6) AS confidence FROM embeddings""",
 )
 def sequence_confidence(spark, sf):
     log_probs = F.concat(
-        F.transform(F.slice("embedding", 1, 16), lambda v: -F.abs(v.cast("double"))),
+        F.transform("embedding", lambda v: -F.abs(v.cast("double"))),
         F.array(F.lit(float("-inf")), F.lit(float("nan"))),
     )
     return table(spark, sf, "embeddings").select(
