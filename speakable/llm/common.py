@@ -41,11 +41,22 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write a table to the shared folder and read it back; this cuts the lineage."""
+def in_few_parts(df: DataFrame) -> DataFrame:
+    """An eighth of the partitions of a shuffle, for rows far smaller than those it was sized for.
+
+    Small files cost more than their bytes, on every file system.
+    """
+    return df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
+def stored(df: DataFrame, what: str, few: bool = True) -> DataFrame:
+    """Write a table to the shared folder and read it back; this cuts the lineage.
+
+    ``few`` writes it in few parts, as suits the slim tables that operators keep.
+    """
     spark = df.sparkSession
     path = new_path(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
+    (in_few_parts(df) if few else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -32,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import in_few_parts, stored
 
 END = "\x01"
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
@@ -157,6 +157,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, rule: Windows = Windows(), b
         found.join(totals, F.col("item_id").eqNullSafe(F.col("total_id")))
         .filter(F.col("n_matched") >= rule.share * F.col("n_windows"))
         .select("doc_id", "tie", "item_id", "n_windows", "n_matched", "n_reworded")
+        .transform(in_few_parts)
     )
 
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored
+from .common import drop_stored, in_few_parts, stored
 
 SEED = 42
 FAN = 8
@@ -223,7 +223,7 @@ def links(prints: DataFrame, distance: int, bucket_rows: int = BUCKET_ROWS) -> D
     place = F.monotonically_increasing_id()
     run = F.shiftleft(F.shiftright(place, 33), 30) + F.floor(place.bitwiseAND((1 << 33) - 1) / bucket_rows)
     ordered = large.repartitionByRange(parts, "t", "key", "gray").sortWithinPartitions("t", "key", "gray")
-    cut = stored(ordered.withColumn("run", run), "runs")
+    cut = stored(ordered.withColumn("run", run), "runs", few=False)
     nodes = cut.groupBy("t", "key", "run").agg(F.expr("bit_and(bits)").alias("every"), F.expr("bit_or(bits)").alias("some"))
     shared = lambda n: F.bitwise_not(F.col(f"{n}.every").bitwiseXOR(F.col(f"{n}.some")))
     same = (F.col("x.t") == F.col("y.t")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.run") <= F.col("y.run"))
@@ -260,7 +260,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per document (doc_id, text): doc_id, bits, tie (hash of the text), component_id."""
-    made = stored(docs.select("doc_id", simhash(F.col("text"), shingle).alias("bits"), F.xxhash64("text").alias("tie")), "fingerprints")
+    made = stored(docs.select("doc_id", simhash(F.col("text"), shingle).alias("bits"), F.xxhash64("text").alias("tie")), "fingerprints", few=False)
     prints = made.groupBy("bits").agg(F.min("doc_id").alias("first"))
     hang = components(links(prints.select("bits"), distance, bucket_rows))
     rooted = prints.join(hang, F.col("bits") == F.col("node"), "left").select("bits", "first", F.coalesce("root", "bits").alias("root"))
@@ -285,4 +285,4 @@ def one_per_group(docs: DataFrame, shingle: int = 5, distance: int = 6) -> DataF
     row = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("tie"))
     firsts = firsts.select(F.col("doc_id").alias("first_id"), F.col("tie").alias("first_tie"))
     kept = row.join(firsts, row["doc_id"].eqNullSafe(firsts["first_id"]) & (row["tie"] == firsts["first_tie"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "tie"]).select("row.*")
+    return in_few_parts(kept.dropDuplicates(["doc_id", "tie"]).select("row.*"))

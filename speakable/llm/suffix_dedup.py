@@ -311,7 +311,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, most
     some = _compare(bytes_.filter("NOT many"), length).unionByName(_count_windows(bytes_.filter("many"), length))
     whole = classes.filter("copies > 1").select("h", "d", F.lit(0).alias("first"), F.col("one.n").alias("n"))
     some = some.join(classes.filter("copies > 1").select("h", "d"), ["h", "d"], "left_anti")
-    found = stored(whole.unionByName(some), "repeated")
+    # The exchange keeps the blocks' work in as many tasks as before, and lets the slim result be written in few parts.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = stored(whole.unionByName(some).repartition(parts, "h", "d"), "repeated")
     drop_stored(bytes_)
     spans = alive.select("h", "d", "id", "tie", "start").join(found, ["h", "d"])
     return spans.groupBy("id", "tie").agg(F.collect_list(F.struct((F.col("start") + F.col("first")).alias("start"), "n")).alias("spans"))
