@@ -34,7 +34,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, in_few_parts, stored
+from .common import drop_stored, stored
+from .jaccard import first_of_similar
 
 SEED = 42
 FAN = 8
@@ -273,16 +274,6 @@ def hex_bits(bits: Column) -> Column:
     return F.lpad(F.lower(F.hex(bits)), 16, "0")
 
 
-def one_per_group(docs: DataFrame, shingle: int = 5, distance: int = 6) -> DataFrame:
-    """Keep, with all its columns, the first document of each component.
-
-    First is the smallest id (null ids last), then the smallest hash of the
-    text; of rows equal in both one is kept.
-    """
-    found = near_duplicates(docs, shingle, distance)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
-    firsts = found.groupBy("root").agg(F.min(order).alias("first")).select("first.doc_id", "first.tie")
-    row = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("tie"))
-    firsts = firsts.select(F.col("doc_id").alias("first_id"), F.col("tie").alias("first_tie"))
-    kept = row.join(firsts, row["doc_id"].eqNullSafe(firsts["first_id"]) & (row["tie"] == firsts["first_tie"]), "left_semi")
-    return in_few_parts(kept.dropDuplicates(["doc_id", "tie"]).select("row.*"))
+def one_per_group(docs: DataFrame, shingle: int = 5, similar: float = 0.8) -> DataFrame:
+    """Keep, with all its columns, the first document of each set of near copies, see ``jaccard``."""
+    return first_of_similar(docs, shingle, similar)
