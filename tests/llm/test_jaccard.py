@@ -8,7 +8,7 @@ import pytest
 import corpus_pipeline
 from speakable.llm.common import table
 from speakable.llm.jaccard import band_keys, shingle_hashes
-from speakable.llm.simhash import one_per_group
+from speakable.llm.simhash import fingerprint, one_per_group
 
 SF = "/root/testdata/sf0.001"
 
@@ -93,3 +93,13 @@ def test_chains_do_not_drop_what_is_far_from_the_survivor(spark):
     kept = {r.doc_id for r in one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == survivors(rows) and len(kept) > 3
     assert all(similarity(sets[a], sets[b]) < 0.8 for a, b in itertools.combinations(kept, 2))
+
+
+def test_texts_that_share_a_repeated_line_stay(spark):
+    """Fingerprints count repeats and are nearly equal here; the shingle sets have little in common."""
+    rng = random.Random(4)
+    line = "this very line stands on the page again and again "
+    rows = [(i, line * 100 + " ".join(f"w{rng.getrandbits(30)}" for _ in range(100))) for i in range(2)]
+    a, b = (fingerprint(t.encode(), 5) for _, t in rows)
+    assert (a ^ b).bit_count() <= 6 and similarity(shingles(rows[0][1]), shingles(rows[1][1])) < 0.1
+    assert one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).count() == 2
