@@ -83,31 +83,42 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
-def _rates(q: np.ndarray, events: np.ndarray, first: np.ndarray | float = 0.0, weight: np.ndarray | float = 0.0) -> np.ndarray:
-    """Share of events under either label, with first rates that count as ``weight`` texts."""
-    mass = np.array([(1 - q).sum(), q.sum()])[:, None]
-    return np.clip((np.vstack([(1 - q) @ events, q @ events]) + weight * first + 0.25) / (mass + weight + 0.5), 1e-5, 1 - 1e-5)
+def _rates(
+    q: np.ndarray, events: np.ndarray, rows: np.ndarray, first: np.ndarray | float = 0.0, weight: np.ndarray | float = 0.0
+) -> np.ndarray:
+    """Share of events under either label; texts count as ``rows``, first rates as ``weight`` texts."""
+    fine, bad = (1 - q) * rows, q * rows
+    mass = np.array([fine.sum(), bad.sum()])[:, None]
+    return np.clip((np.vstack([fine @ events, bad @ events]) + weight * first + 0.25) / (mass + weight + 0.5), 1e-5, 1 - 1e-5)
 
 
 def fit_label_model(
-    votes: np.ndarray, guess: np.ndarray, prior: float, strength: float = 1.0, rounds: int = 40, linked: float = 0.25
+    votes: np.ndarray,
+    guess: np.ndarray,
+    prior: float,
+    strength: float = 1.0,
+    rounds: int = 40,
+    linked: float = 0.25,
+    rows: np.ndarray | None = None,
 ) -> LabelModel:
     """Families first, then EM over the hidden label.
 
     ``guess`` (2 x voters) holds first rates of firing under either label. Voters
     that fire together more often than these rates explain form a family. The
     guess counts as ``strength`` times the texts, which keeps the hidden label
-    from turning into "many votes" against "few".
+    from turning into "many votes" against "few". ``rows`` says how many texts each
+    one stands for.
     """
+    rows = np.ones(len(votes)) if rows is None else rows
     votes, guess = votes.astype(float), np.clip(guess, 1e-5, 1 - 1e-5)
     weight = strength * len(votes) * np.array([1 - prior, prior])[:, None]
-    family = families(votes, guess, prior, linked)
+    family = families(votes, guess, prior, linked, rows)
     quiet = np.column_stack([(votes[:, family == k] == 0).all(axis=1) for k in range(family.max(initial=-1) + 1)]).astype(float)
     silent = np.vstack([[(1 - guess[y, family == k]).min() for k in range(quiet.shape[1])] for y in (0, 1)])
     model = LabelModel(prior, guess, family, silent)
     q = model.posterior(votes)
     for _ in range(rounds):
-        model = LabelModel(prior, _rates(q, votes, guess, weight), family, _rates(q, quiet))
+        model = LabelModel(prior, _rates(q, votes, rows, guess, weight), family, _rates(q, quiet, rows))
         new = model.posterior(votes)
         if np.abs(new - q).max() < 1e-6:
             break
@@ -115,14 +126,15 @@ def fit_label_model(
     return model
 
 
-def families(votes: np.ndarray, rates: np.ndarray, prior: float, linked: float) -> np.ndarray:
+def families(votes: np.ndarray, rates: np.ndarray, prior: float, linked: float, rows: np.ndarray) -> np.ndarray:
     """Number voters so that those correlated beyond the hidden label share a number.
 
     Only voters that lean the same way can be one family.
     """
     share = np.array([1 - prior, prior])
-    together = votes.T @ votes / max(len(votes), 1) - (rates * share[:, None]).T @ rates
-    mean = votes.mean(axis=0)
+    heavy = votes * rows[:, None] / max(rows.sum(), 1)
+    together = votes.T @ heavy - (rates * share[:, None]).T @ rates
+    mean = heavy.sum(axis=0)
     spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
     leans = rates[1] > rates[0]
     near = (together / np.outer(spread, spread) > linked) & (leans[:, None] == leans[None, :])
@@ -160,15 +172,16 @@ class ToxicityModel:
         return pd.Series(out)
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 0.05, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft targets by Newton steps."""
+def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 0.05, rounds: int = 60, rows: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft targets by Newton steps; texts count as ``rows``."""
+    rows = np.ones(len(x)) if rows is None else rows
     z = np.c_[np.ones(len(x)), x.astype(float)]
     beta = np.zeros(z.shape[1])
     penalty = np.r_[1e-6, np.full(x.shape[1], ridge)]
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -40, 40)))
-        grad = z.T @ (target - p) - penalty * beta
-        hess = (z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(penalty)
+        grad = z.T @ (rows * (target - p)) - penalty * beta
+        hess = (z * (rows * (p * (1 - p) + 1e-6))[:, None]).T @ z + np.diag(penalty)
         step = np.linalg.solve(hess, grad)
         beta += step
         if np.abs(step).max() < 1e-7:
@@ -204,6 +217,10 @@ def train_toxicity(
         n = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
         if len(n) < 2:
             return ToxicityModel(offset=-2.0)
+        # The sample may hold the labels in another ratio than the table: each text stands for its share of all labelled rows.
+        all_ = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
+        prior = all_[1] / (all_[0] + all_[1])
+        stands = {y: share * (n[0] + n[1]) / n[y] for y, share in ((0, 1 - prior), (1, prior))}
         rate = lambda hits, all_: (F.col(hits) + 0.5) / (all_ + 1.0)
         part = lambda hits, all_: F.col(hits) * F.log((F.col(hits) + 1e-9) * (n[0] + n[1]) / (all_ * (F.col("bad") + F.col("fine"))))
         # Gain: how many nats better the two counts are told apart than by chance; it rules out accidents among many words.
@@ -231,11 +248,12 @@ def train_toxicity(
         votes = np.array([np.unpackbits(np.frombuffer(bytes(r.v), np.uint8))[:width] for r in seen], bool)
         bad, fine = (np.array([c[i] for c in chosen.values()], float) for i in (0, 1))
         # Pattern voters carry no labels: they start as uninformative and learn from the others.
-        some = np.clip(votes[:, len(chosen) :].mean(axis=0), 1e-3, 0.5)
+        some = np.clip(np.average(votes[:, len(chosen) :], axis=0, weights=[stands[r.label] for r in seen]), 1e-3, 0.5)
         guess = np.vstack([np.r_[(fine + 0.1) / (n[0] + 0.2), some], np.r_[(bad + 0.1) / (n[1] + 0.2), some]])
-        model.label_model = fit_label_model(votes, guess, n[1] / (n[0] + n[1]))
+        rows_each = np.array([stands[r.label] for r in seen])
+        model.label_model = fit_label_model(votes, guess, prior, rows=rows_each)
         target = model.label_model.posterior(votes.astype(float))
-        model.weights, model.offset = fit_linear(votes, target)
+        model.weights, model.offset = fit_linear(votes, target, rows=rows_each)
     finally:
         rows.unpersist()
     return model
