@@ -1,12 +1,24 @@
 from __future__ import annotations
 
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
 from speakable.llm.decontam import leaked, without_contaminated
 
 PEOPLE = "Sarah has 12 apples. Tom has 5. Mary takes three pears and walks home. Sarah counts the rest. How many does Tom keep at last?"
 SHOUT = "When Anna sells 12 apples to Robert and keeps 5 apples, how many apples had Anna before noon today?"
+TABLE = "Paris 2148 Lyon 516 Nice 342 Lille 236 Nantes 323 Rennes 222"
 FILL = "unrelated words stand here before anything else happens in this plain story of ours"
 
 
+@pytest.fixture(scope="module")
+def long_item():
+    rng = random.Random(2)
+    return " ".join(f"{rng.choice('bdfgkl')}{rng.choice('aeiou')}{rng.choice('mnrst')}{rng.randrange(900)}x" for _ in range(400))
+
+
 def found(spark, texts, items):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
@@ -21,3 +33,22 @@ def test_other_names_casing_and_marks(spark):
     bare = PEOPLE.replace(".", "").replace("?", "")
     texts = [renamed, SHOUT.upper(), SHOUT.lower(), bare, f"{FILL} {renamed.replace('.', '')}", FILL, None, "", FILL.upper(), FILL.title()]
     assert found(spark, texts, [PEOPLE, SHOUT]) == {0, 1, 2, 3, 4}
+
+
+def test_passage_of_a_long_item_and_items_of_few_literals(spark, long_item):
+    words = long_item.split()
+    texts = [f"{FILL} {' '.join(words[100:160])} {FILL}", f"{FILL} {' '.join(words[100:112])} {FILL}", f"{FILL} {TABLE}", f"Oslo 7 Bergen 9 Moss 1 Hamar 4 Tromso 8 Bodo 3 {FILL}"]
+    assert found(spark, texts, [long_item, TABLE]) == {0, 2}
+
+
+def test_slots_of_a_passage_map_one_to_one(spark):
+    item = "so Anna gave Bob more coins than Anna gave Bob stamps or stones " + FILL.replace("e", "i") * 4
+    good = "so Eve gave Joe more coins than Eve gave Joe stamps or stones"
+    bad = "so Eve gave Joe more coins than Joe gave Eve stamps or stones"
+    assert found(spark, [good, bad], [item]) == {0}
+
+
+def test_nothing_to_meet(spark):
+    docs = spark.createDataFrame([(1, FILL), (None, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, None), (2, "")], "item_id long, text string")
+    assert leaked(docs, bench).count() == 0 and leaked(docs, bench.filter(F.lit(False))).count() == 0
