@@ -14,6 +14,7 @@ from .decontam import contaminated
 from .line_dedup import SQL as LINE_SQL
 from .line_dedup import drop_boilerplate
 from .lm import lm_scores
+from .merkle import document_manifest
 from .pieces import piece_digest
 from .quality import quality_score, train_quality
 from .repetition import repetition_report
@@ -85,6 +86,10 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", piece_digest(F.col("text"), model).alias("r")).select("doc_id", "r.*")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_manifest(table(spark, sf_dir, "documents"))
+
+
 def _judged(scored: DataFrame, n: int, held: int, limit: float) -> DataFrame:
     return scored.select(
         "doc_id",
@@ -105,5 +110,6 @@ QUERIES: dict[str, Query] = {
     "op8_repetition": op8_repetition,
     "op9_toxicity": op9_toxicity,
     "op10_pieces": op10_pieces,
+    "op11_merkle": op11_merkle,
 }
 ORACLES: dict[str, str] = {"op3_line_dedup": LINE_SQL, "op6_decontam": DECONTAM_SQL}
