@@ -15,6 +15,7 @@ from .line_dedup import SQL as LINE_SQL
 from .line_dedup import drop_boilerplate
 from .lm import lm_scores
 from .merkle import document_manifest
+from .packing import packed_documents
 from .pieces import piece_digest
 from .quality import quality_score, train_quality
 from .repetition import repetition_report
@@ -90,6 +91,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def _judged(scored: DataFrame, n: int, held: int, limit: float) -> DataFrame:
     return scored.select(
         "doc_id",
@@ -111,5 +116,6 @@ QUERIES: dict[str, Query] = {
     "op9_toxicity": op9_toxicity,
     "op10_pieces": op10_pieces,
     "op11_merkle": op11_merkle,
+    "op12_packing": op12_packing,
 }
 ORACLES: dict[str, str] = {"op3_line_dedup": LINE_SQL, "op6_decontam": DECONTAM_SQL}
