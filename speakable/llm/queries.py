@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, table
+from .conv_trie import prefix_nodes, rebuilt_rows
 from .decontam import SQL as DECONTAM_SQL
 from .decontam import contaminated
 from .line_dedup import SQL as LINE_SQL
@@ -95,6 +96,10 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_conv_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_nodes(rebuilt_rows(table(spark, sf_dir, "conversations")))
+
+
 def _judged(scored: DataFrame, n: int, held: int, limit: float) -> DataFrame:
     return scored.select(
         "doc_id",
@@ -117,5 +122,6 @@ QUERIES: dict[str, Query] = {
     "op10_pieces": op10_pieces,
     "op11_merkle": op11_merkle,
     "op12_packing": op12_packing,
+    "op13_conv_trie": op13_conv_trie,
 }
 ORACLES: dict[str, str] = {"op3_line_dedup": LINE_SQL, "op6_decontam": DECONTAM_SQL}
