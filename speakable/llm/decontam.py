@@ -108,7 +108,8 @@ def _all_sizes(sizes: list[int], name: str, make: Callable[[Column], Column]) ->
 
 def benchmark_windows(bench: DataFrame, rule: Windows) -> DataFrame:
     """(item_id, size, pos, key, c) of every window of the benchmark."""
-    rows = _with_templates(bench.select("item_id", "text")).filter(F.size("c") >= rule.least)
+    # Written first: a condition on the tokens would be computed from the text again for each of their uses.
+    rows = stored(_with_templates(bench.select("item_id", "text")), "benchmark-tokens").filter(F.size("c") >= rule.least)
     size = F.least(F.size("c"), F.lit(rule.size))
     cut = F.transform(_starts(F.size("c"), size), lambda i: F.struct(i.alias("pos"), F.slice("c", i, size).alias("c")))
     out = rows.select("item_id", size.alias("size"), F.explode(cut).alias("win")).select("item_id", "size", "win.pos", "win.c")
@@ -219,7 +220,7 @@ def leaked(docs: DataFrame, bench: DataFrame, rule: Windows = Windows(), broadca
     small = (F.substring("w", 1, 1) == F.lower(F.substring("w", 1, 1))) & (F.col("w") != END)
     vocabulary = sorted(r["w"] for r in w.filter(small).select(F.lower("w").alias("w")).distinct().collect())
 
-    items = _forms(bench.select("item_id", "text"), vocabulary).filter(F.size("c") >= rule.least)
+    items = stored(_forms(bench.select("item_id", "text"), vocabulary), "benchmark-tokens").filter(F.size("c") >= rule.least)
     size = F.least(F.size("c"), F.lit(rule.size))
     cut = lambda i, n: F.struct(i.alias("pos"), F.slice("c", i, n).alias("c"), F.slice("c", i, rule.passage).alias("passage"))
     marks = items.select("item_id", size.alias("size"), F.explode(F.transform(_starts(F.size("c"), size), lambda i: cut(i, size))).alias("win"))

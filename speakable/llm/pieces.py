@@ -277,6 +277,18 @@ def decode_pieces(ids: Column, model: str) -> Column:
     return decode(ids)
 
 
+def coded_pieces(text: Column, model: str) -> Column:
+    """Struct of the ids of a text and the text that they stand for, in one pass."""
+
+    @F.pandas_udf("piece_ids array<int>, decoded string")
+    def code(texts: pd.Series) -> pd.DataFrame:
+        made = pieces(model)
+        ids = encoded(texts, made)
+        return pd.DataFrame({"piece_ids": pd.Series([x.astype(np.int32) for x in ids], dtype=object), "decoded": pd.Series([made.decode(x) for x in ids], dtype=object)})
+
+    return code(text)
+
+
 def piece_digest(text: Column, model: str) -> Column:
     """Encodes, decodes and describes both without keeping the ids: counts, checksums, and whether the text came back."""
 

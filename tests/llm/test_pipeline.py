@@ -8,9 +8,9 @@ import corpus_pipeline
 from speakable.llm.common import table
 from speakable.llm.toxicity import toxicity_score, train_toxicity
 
+from .test_jaccard import survivors
+from .test_leaked import plain_leaks
 from .test_line_dedup import plain as plain_lines
-from .test_simhash import plain as plain_print
-from .test_simhash import roots
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,18 +36,11 @@ def test_stages_equal_plain_versions(spark):
 
     rows = two.collect()
     three = near(spark, two, SF).cache()
-    bits = {r.doc_id: plain_print(r.text, 5) for r in rows}
-    root = roots(bits.values(), 6)
-    first = {}
-    for i in sorted(bits):
-        first.setdefault(root[bits[i]], i)
-    assert three.columns == docs.columns and sorted(three.collect()) == sorted(r for r in rows if r.doc_id in set(first.values()))
+    left = survivors([(r.doc_id, r.text) for r in rows])
+    assert three.columns == docs.columns and sorted(three.collect()) == sorted(r for r in rows if r.doc_id in left)
 
     rows = three.collect()
-    words = lambda t: [w for w in "".join(c if c.isalnum() else " " for c in t.lower()).split()]
-    windows = lambda t: [tuple(words(t)[i : i + 8]) for i in range(len(words(t)) - 7)]
-    items = [set(windows(r.text)) for r in table(spark, SF, "benchmark").collect()]
-    bad = {r.doc_id for r in rows if any(w and len(w & set(windows(r.text))) >= 0.9 * len(w) for w in items)}
+    bad = plain_leaks([(r.doc_id, r.text) for r in rows], [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()])
     four = leaks(spark, three, SF).cache()
     assert four.columns == docs.columns and sorted(four.collect()) == sorted(r for r in rows if r.doc_id not in bad)
 
