@@ -33,6 +33,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,8 +59,12 @@ WORD_SPEC = {
         ],
     },
 }
-#: The pattern of ``WORD_SPEC`` for lower-cased ASCII.
+#: The pattern of ``WORD_SPEC`` for lower-cased ASCII, and for the letters below ``BEYOND``.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x20\x09-\x0d0-9a-z]+")
+_LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\x20\x09-\x0d\x85\xa0\p{L}\p{N}]+")
+#: Latin letters with their marks; they have one reading in every version of Unicode, and lower case letter by letter.
+BEYOND = "\u0250"
+KEPT = 300_000
 
 
 class WordEncoder:
@@ -76,14 +83,17 @@ class WordEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if any(" " in s for s in self.special):
             by_word = False
-        self.parts = Parts(self._part)
-        self.coder = WordCoder(self._encode, self.dtype, lambda text: not by_word)
+        self.parts = Parts(self._part, KEPT)
+        self.coder = WordCoder(self._encode, self.dtype, lambda text: not by_word, KEPT)
+        self.by_word = by_word
 
     def _pack(self, ids: list[int]) -> bytes:
         return array(self.dtype.char, ids).tobytes()
 
     def _part(self, part: str) -> bytes:
-        return self._pack([t.id for t in self.model.tokenize(part if part.isprintable() else part.translate(BYTE_CHARS))])
+        if not (part.isascii() and part.isprintable()):
+            part = part.encode().decode("latin-1").translate(BYTE_CHARS)
+        return self._pack([t.id for t in self.model.tokenize(part)])
 
     def _encode(self, words: list[str]) -> list[bytes]:
         out, part, cut = [], self.parts.__getitem__, _ASCII.findall
@@ -92,15 +102,18 @@ class WordEncoder:
             whole = mark == WHOLE
             if whole or mark == FIRST:
                 word = word[1:]
-            if whole or not word.isascii() or ("<" in word and any(s in word for s in self.special)):
+            if whole or not (word.isascii() or max(word) < BEYOND) or ("<" in word and any(s in word for s in self.special)):
                 out.append(self._pack(self.tokenizer.encode(word, add_special_tokens=False).ids))
-            elif word.isalpha():
-                out.append(part(word.lower()))
-            else:
-                out.append(b"".join(map(part, cut(word.lower()))))
+                continue
+            low = word.lower()
+            out.append(part(low) if low.isalpha() else b"".join(map(part, (cut if low.isascii() else _LATIN.findall)(low))))
         return out
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        if self.by_word and texts:
+            # Fewer words differ; a text that could hold a special string keeps its case.
+            low = pc.ascii_lower(pa.array(texts, pa.large_string())).to_pylist()
+            texts = [t if "<" in t and any(s in x for s in self.special) else x for t, x in zip(texts, low, strict=True)]
         return self.coder(texts)
 
 
