@@ -22,6 +22,8 @@ gives a store without segments.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from array import array
@@ -44,10 +46,13 @@ SEGMENT_BYTES = 4_000_000
 LEVEL = 3
 # The split pattern of byte-level tokenizers, and the characters that stand for the 256 bytes.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+_ASCII = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+""", re.ASCII)
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+# The rules of plain byte-level tokenizer files.
+BYTE_SPEC = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
 #: Bytes of text that are coded together.
-STEP_BYTES = 1_500_000
+STEP_BYTES = 2_500_000
 
 
 class BpeEncoder:
@@ -56,17 +61,21 @@ class BpeEncoder:
     The pre-tokenizer starts a new token at every space that follows a
     non-blank character, so what stands between such spaces is independent.
     A word that is new is cut further, by the pre-tokenizer's own pattern, and the
-    library's merge model codes each part that is new.
+    library's merge model codes each part that is new. Files that ask for
+    another normalizer or pre-tokenizer are encoded text by text.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        by_word = all(spec[k] == v for k, v in BYTE_SPEC.items())
         ids = self.tokenizer.get_vocab(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if max(ids.values()) < 1 << 16 else "<u4")
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.coder = WordCoder(self._encode, self.dtype, lambda text: any(s in text for s in special))
+        self.coder = WordCoder(self._encode, self.dtype, lambda text: not by_word or any(s in text for s in special))
         self.parts = Parts(self._part)
 
     def _part(self, part: str) -> bytes:
@@ -77,14 +86,18 @@ class BpeEncoder:
         return array(self.dtype.char, [t.id for t in self.tokenizer.model.tokenize(chars)]).tobytes()
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        out, part, cut = [], self.parts.__getitem__, PATTERN.findall
+        out, part = [], self.parts.__getitem__
         for word in words:
-            if word[0:1] == WHOLE:
+            mark = word[:1]
+            if mark == WHOLE:
                 ids = self.tokenizer.encode(word[1:], add_special_tokens=False).ids
                 out.append(np.array(ids, self.dtype).tobytes())
                 continue
-            piece = word[1:] if word[:1] == FIRST else " " + word
-            out.append(part(piece) if word.isalpha() else b"".join(map(part, cut(piece))))
+            piece = word[1:] if mark == FIRST else " " + word
+            if word.isalpha():
+                out.append(part(piece))
+            else:
+                out.append(b"".join(map(part, (_ASCII if word.isascii() else PATTERN).findall(piece))))
         return out
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:

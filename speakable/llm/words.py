@@ -84,7 +84,8 @@ class WordCoder:
     def _coded(self, flat: pa.Array, counts: np.ndarray) -> list[np.ndarray]:
         found = flat.dictionary_encode()
         index = found.indices.to_numpy().astype(np.int64)
-        words = found.dictionary.to_pylist()
+        # By way of numpy, which makes strings many times faster than the array's own list.
+        words = found.dictionary.to_numpy(zero_copy_only=False).tolist()
         codes = list(map(self.kept.get, words))
         new = [i for i, c in enumerate(codes) if c is None]
         for i, code in zip(new, self.encode([words[i] for i in new]), strict=True):
