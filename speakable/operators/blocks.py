@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import SPACE, let, strip
 from ..schemas import BLOCK
+from .prefix import running_sum
 
 BLANK_LINE = rf"\n[{SPACE}]*\n"
 
@@ -160,17 +161,19 @@ def layout_blocks(
 ) -> DataFrame:
     """Mark laid-out lines as headings by their font size.
 
-    The body size is the upper median of a document's lines. From the large
-    end that is the first value reaching half of the rows, which the exact
-    discrete percentile gives with partial aggregation; the per-document
+    The body size is the upper median of a document's lines: the least size that
+    more than half of them do not exceed. Lines are counted per size before
+    the shuffle, and the counts accumulated by ranges of whole sizes; no
+    buffer holds a document's sizes. Lines without a size are no part of it. The
     sizes are then joined back, a join whose hot keys can be split.
     """
     kept = lines.withColumn(text, strip(F.col(text))).filter(F.length(text) >= min_chars)
-    body = kept.groupBy(doc).agg(
-        F.expr(f"percentile_disc(0.5) within group (order by `{size}` desc)").alias("_body")
-    )
+    counts = kept.filter(F.col(size).isNotNull()).groupBy(doc, size).agg(F.count(F.lit(1)).alias("_n"))
+    totals = counts.groupBy(doc).agg(F.sum("_n").alias("_all"))
+    summed = running_sum(counts, [doc], [size], F.col("_n"), "_below", bucket=F.floor(size), inclusive=True)
+    body = summed.join(totals, doc).filter(F.col("_below") > F.floor(F.col("_all") / 2)).groupBy(doc).agg(F.min(size).alias("_body"))
     return (
-        kept.join(body, doc)
+        kept.join(body, doc, "left")
         .withColumn("is_heading", (F.col(size) >= F.col("_body") * ratio) & (F.length(text) <= max_heading))
         .drop("_body")
     )

@@ -12,6 +12,8 @@ from ..functions.expr import strip
 from ..schemas import DEFAULTS
 from .prefix import BEFORE, BUCKET_ROWS, SO_FAR, running_sum
 
+RANGE_CHAPTERS = 10_000
+
 
 def timeline(
     segments: DataFrame,
@@ -21,12 +23,14 @@ def timeline(
     chapter_gap: int = DEFAULTS["chapter_gap_ms"],
     bucket_rows: int = BUCKET_ROWS,
     number_cues: bool = False,
+    range_chapters: int = RANGE_CHAPTERS,
 ) -> DataFrame:
     """Add ``start_ms``, ``end_ms`` and the dense ``chapter_no`` to segments with ``duration_ms``.
 
     Each bucket of a chapter is summed with a gap after every segment; the
     table of buckets then takes back the gap after a chapter's last segment
-    and adds the one between chapters. With ``number_cues`` spoken segments
+    and adds the one between chapters. Buckets are summed by ranges of
+    ``range_chapters`` chapters. With ``number_cues`` spoken segments
     also get their ``cue_no`` in the same pass.
     """
     rows = (
@@ -39,20 +43,22 @@ def timeline(
     buckets = rows.groupBy(*group).agg(
         F.sum("_step").alias("_sum"), F.max_by("_gap", "seg_order").alias("_last_gap"), F.sum("_cue").alias("_cues")
     )
-    # From here one row per bucket, never one per segment.
-    in_order = Window.partitionBy(doc).orderBy("chapter_index", "_cut")
-    before = in_order.rowsBetween(*BEFORE)
-    following = F.lead("chapter_index").over(in_order)
-    change = F.when(following.isNull(), -F.col("_last_gap")).when(
-        following != F.col("chapter_index"), F.lit(chapter_gap) - F.col("_last_gap")
-    )
-    carry = (
-        buckets.withColumn("_total", F.col("_sum") + F.coalesce(change, F.lit(0)))
-        .withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0)))
-        .withColumn("_cue_base", F.coalesce(F.sum("_cues").over(before), F.lit(0)))
-        .withColumn("chapter_no", F.dense_rank().over(Window.partitionBy(doc).orderBy("chapter_index")) - 1)
-        .select(*group, "_base", "_cue_base", "chapter_no")
-    )
+    # From here one row per bucket, never one per segment. Sums over buckets go by
+    # ranges of chapters, so a document of very many chapters is no single window.
+    ranges = F.floor(F.col("chapter_index") / range_chapters)
+    chapters = buckets.groupBy(doc, "chapter_index").agg(F.max("_cut").alias("_last_cut"))
+    chapters = running_sum(chapters, [doc], ["chapter_index"], F.lit(1).cast("bigint"), "chapter_no", bucket=ranges)
+    books = chapters.groupBy(doc).agg(F.max("chapter_index").alias("_last_chapter"))
+    closing = F.col("_cut") == F.col("_last_cut")
+    gap = F.when(F.col("chapter_index") == F.col("_last_chapter"), 0).otherwise(chapter_gap)
+    carry = buckets.join(chapters, [doc, "chapter_index"]).join(books, doc)
+    carry = carry.withColumn("_total", F.col("_sum") + F.when(closing, gap - F.col("_last_gap")).otherwise(0))
+    carry = running_sum(carry, [doc], ["chapter_index", "_cut"], F.col("_total"), "_base", bucket=ranges)
+    if number_cues:
+        carry = running_sum(carry, [doc], ["chapter_index", "_cut"], F.col("_cues"), "_cue_base", bucket=ranges)
+    else:
+        carry = carry.withColumn("_cue_base", F.lit(0).cast("bigint"))
+    carry = carry.select(*group, "_base", "_cue_base", "chapter_no")
     inner = Window.partitionBy(*group).orderBy("seg_order")
     timed = (
         rows.join(carry, group)

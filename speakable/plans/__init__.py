@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MODULES = ["text", "numbers", "corpus", "jobs"]
+MODULES = ["text", "numbers", "corpus", "jobs", "lifecycle"]
 
 
 def load_all() -> None:

@@ -13,6 +13,7 @@ from ..operators import quality as Q
 from ..operators import timeline as T
 from ..operators.prefix import scratch_dir
 from ..sources import readers, sinks
+from ..sources.files import read_files
 from ..streaming import jobs as ST
 from . import sql as q
 from .corpus import _SIZES, _SPLITS, _splits
@@ -261,9 +262,18 @@ _MARKERS = f"""SELECT doc_id, chapter_no, '[CHAPTER]' || chr(10) || 'TIMEBASE=1/
   || chr(10) || 'title=' || coalesce(title, 'Chapter ' || (chapter_index + 1)) AS marker FROM {_SPANS} LEFT JOIN {_TITLES} USING (doc_id, chapter_index)"""
 
 
-@query("sink_chapter_metadata", f"WITH {_TIMED} {_MARKERS}")
+@query(
+    "sink_chapter_metadata",
+    f"""WITH {_TIMED}, m AS ({_MARKERS}) SELECT doc_id, ';FFMETADATA1' || chr(10) || 'title=Talk ' || doc_id || chr(10) || 'artist=Various' || chr(10)
+        || 'album=Talk ' || doc_id || chr(10) || string_agg(marker || chr(10), '' ORDER BY chapter_no) AS content FROM m GROUP BY doc_id""",
+)
 def chapter_metadata(spark, sf):
-    return T.chapter_markers(_titled(spark, sf))
+    """Write one marker file per document and read the files back."""
+    books = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id")).distinct()
+    books = books.select("doc_id", F.concat(F.lit("Talk "), F.col("doc_id").cast("string")).alias("title"), F.lit("Various").alias("author"))
+    folder = _fresh(spark)
+    sinks.write_chapter_metadata(books, T.chapter_markers(_titled(spark, sf)), folder)
+    return _file_texts(spark, folder)
 
 
 def _stamp(ms: str, sep: str) -> str:
@@ -293,11 +303,21 @@ def subtitles(spark, sf):
 
 @query(
     "sink_subtitles",
-    f"""WITH {_TIMED}, {_CUES} SELECT doc_id, cue_no, CASE WHEN cue_no = 1 THEN 'WEBVTT' || chr(10) || chr(10) ELSE '' END
-        || {_stamp('start_ms', '.')} || ' --> ' || {_stamp('end_ms', '.')} || chr(10) || t || chr(10) AS cue FROM cues""",
+    f"""WITH {_TIMED}, {_CUES} SELECT doc_id, string_agg(CASE WHEN cue_no = 1 THEN 'WEBVTT' || chr(10) || chr(10) ELSE '' END
+        || {_stamp('start_ms', '.')} || ' --> ' || {_stamp('end_ms', '.')} || chr(10) || t || chr(10) || chr(10), '' ORDER BY cue_no) AS content
+        FROM cues GROUP BY doc_id""",
 )
 def subtitles_vtt(spark, sf):
-    return T.cues(T.timeline(talk_segments(spark, sf), number_cues=True), fmt="vtt")
+    """Write one subtitle file per document and read the files back."""
+    folder = _fresh(spark)
+    sinks.write_subtitles(T.cues(T.timeline(talk_segments(spark, sf), number_cues=True), fmt="vtt"), folder, fmt="vtt")
+    return _file_texts(spark, folder)
+
+
+def _file_texts(spark, folder):
+    """Document id and text of the files below a folder."""
+    found = read_files(spark, folder)
+    return found.select(F.col("name").cast("bigint").alias("doc_id"), F.decode("content", "UTF-8").alias("content"))
 
 
 @query(
@@ -314,19 +334,29 @@ def group_clips(spark, sf):
 
 @query(
     "sink_manifest",
-    f"""WITH {_DECIDED}, j AS (SELECT doc_id, count(*) AS n, count(*) FILTER (flagged) AS f FROM decided GROUP BY doc_id)
-        SELECT doc_id, '{{"doc_id":' || doc_id || ',"n_segments":' || n || ',"n_flagged":' || f || ',"status":"'
-          || CASE WHEN f > 0 THEN 'needs_review' ELSE 'completed' END || '"}}' AS manifest FROM j""",
+    f"""WITH {_DECIDED}, s AS (SELECT doc_id, flagged, split_part(segment_id, '-', 2)::BIGINT AS turn, '{{"segment_id":"' || segment_id || '","turn":'
+          || split_part(segment_id, '-', 2) || ',"source":"' || CASE WHEN none THEN 'rule' ELSE 'neural' END || '","flagged":' || flagged || '}}' AS line FROM decided)
+        SELECT doc_id, '{{"doc_id":' || doc_id || ',"n_segments":' || count(*) || ',"n_flagged":' || count(*) FILTER (flagged) || ',"status":"'
+          || CASE WHEN count(*) FILTER (flagged) > 0 THEN 'needs_review' ELSE 'completed' END || '","segments":[' || chr(10)
+          || string_agg(line, chr(10) || ',' ORDER BY turn) || chr(10) || ']}}' || chr(10) AS content FROM s GROUP BY doc_id""",
 )
 def manifests(spark, sf):
+    """Write one nested manifest per document and read the files back."""
     decided = Q.decide_normalization(_joined(spark, sf))
     done = Q.job_status(decided.select("doc_id").distinct(), decided)
-    return sinks.manifest_rows(done, "doc_id", "doc_id", "n_segments", "n_flagged", "status")
+    segs = decided.select("doc_id", "segment_id", F.substring_index("segment_id", "-", -1).cast("bigint").alias("turn"), "source", "flagged")
+    folder = _fresh(spark)
+    sinks.write_manifests(done, segs, folder, "doc_id", ["turn"])
+    return _file_texts(spark, folder)
 
 
 @query("sink_job_log", f"SELECT ts, event, filename, status, n_segments, n_flagged, rtf FROM ({_JOBS})")
 def job_log(spark, sf):
-    return sinks.log_rows(jobs(spark, sf)).withColumn("rtf", F.col("metrics.rtf")).drop("metrics")
+    """Append the log, read it back."""
+    folder = _fresh(spark)
+    sinks.append_job_log(jobs(spark, sf), folder)
+    log = readers.read_log(spark, folder)
+    return log.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "event", "filename", "status", "n_segments", "n_flagged", F.col("metrics.rtf").alias("rtf"))
 
 
 @query(
@@ -335,9 +365,12 @@ def job_log(spark, sf):
        FROM events GROUP BY event_type""",
 )
 def report(spark, sf):
+    """Append a report, read it back."""
     counts = table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    rows = sinks.report_rows(counts, "events", "2024-02-01 00:00:00")
-    return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    folder = _fresh(spark)
+    sinks.write_report(counts, folder, "events", "2024-02-01 00:00:00")
+    rows = spark.read.schema("ts timestamp, payload string, kind string").json(folder)
+    return rows.select("kind", F.col("ts").cast("timestamp_ntz").alias("ts"), "payload")
 
 
 _MEASURES = f"""mj AS (SELECT *, n_flagged::DOUBLE / greatest(1, n_segments) AS flag_rate,
@@ -436,8 +469,9 @@ def _fresh(spark) -> str:
     return f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _job_stream(spark, sf):
+def _job_stream(spark, sf, confidence=None):
     e = _stream(spark, sf, "events")
+    more = [] if confidence is None else [confidence.alias("confidence")]
     k = F.get_json_object("props", "$.k").cast("bigint")
     return e.select(
         "event_id",
@@ -450,6 +484,7 @@ def _job_stream(spark, sf):
             F.when(F.col("event_type") != "error", F.col("value")).alias("rtf"),
             F.struct((k % 5).alias("pass"), (F.col("event_id") % 3).alias("fail")).alias("audio_qa"),
         ).alias("metrics"),
+        *more,
     )
 
 

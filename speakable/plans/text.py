@@ -12,8 +12,9 @@ from ..operators import blocks as B
 from ..operators import monitor, quality, score, segments, voices
 from ..operators.pairs import load_pairs
 from ..operators.prefix import scratch_dir
-from ..schemas import JOB_LOG, PAIRS
-from ..sources.readers import decode_text, parse_jsonl, parse_log, read_documents
+from ..schemas import JOB_LOG
+from ..sources.files import write_files
+from ..sources.readers import decode_text, file_counts, read_documents, read_jsonl, read_jsonl_lenient, read_log
 from . import sql as q
 from .inputs import LINE, jobs, table, talk
 from .registry import query
@@ -143,29 +144,74 @@ def decode(spark, sf):
     return docs.select("doc_id", decode_text(content).alias("text"))
 
 
-@query("op_read_files", "SELECT 'txt' AS source_format, sum(length(text) + 1)::BIGINT AS chars FROM documents")
-def read_files(spark, sf):
-    """Write the documents as text files of bounded size and read them back as documents."""
-    folder = f"{scratch_dir(spark)}/files-{uuid.uuid4().hex}"
-    docs = table(spark, sf, "documents")
-    docs.select("text").write.option("maxRecordsPerFile", 1000).text(folder)
-    found = read_documents(spark, f"{folder}/*.txt")
-    return found.groupBy("source_format").agg(F.sum(F.length("text")).alias("chars"))
+_SUFFIXES = {0: ".txt", 1: ".md", 2: ".epub", 3: ".dat"}
 
 
 @query(
-    "op_read_jsonl",
-    "SELECT doc_id::VARCHAR AS before, 'q' || quality AS after, ['PLAIN', 'T' || toxic] AS classes, quality = 1 AS hard FROM labels",
+    "op_read_files",
+    f"""SELECT doc_id::VARCHAR AS title, CASE doc_id % 4 WHEN 1 THEN 'md' WHEN 2 THEN 'epub' ELSE 'txt' END AS source_format,
+        CASE WHEN doc_id % 4 <> 2 THEN sha256(text || chr(10)) END AS text_sha256,
+        CASE doc_id % 4 WHEN 1 THEN NULL WHEN 2 THEN 0 ELSE len(list_filter(string_split_regex(text || chr(10), '\n{q.S}*\n'), {_NOT_BLANK})) END AS n_blocks
+        FROM documents""",
 )
-def read_jsonl(spark, sf):
+def read_files(spark, sf):
+    """Write every document as a file of its own, of one of four kinds, and read the folder as documents."""
+    folder = _folder(spark, "files")
+    docs = table(spark, sf, "documents")
+    for k, suffix in _SUFFIXES.items():
+        write_files(docs.filter(F.col("doc_id") % 4 == k), f"{folder}/{k}", suffix, F.col("doc_id"), F.lit(0), F.col("text"))
+    found = read_documents(spark, folder)
+    blocks = F.when(F.col("source_format") != "md", F.size("blocks"))
+    return found.select("title", "source_format", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), blocks.alias("n_blocks"))
+
+
+def _folder(spark, what):
+    return f"{scratch_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def _pair_lines(spark, sf):
     rows = table(spark, sf, "labels").select(
         F.col("doc_id").cast("string").alias("before"),
         F.concat(F.lit("q"), F.col("quality").cast("string")).alias("after"),
         F.array(F.lit("PLAIN"), F.concat(F.lit("T"), F.col("toxic").cast("string"))).alias("classes"),
         (F.col("quality") == 1).alias("hard"),
     )
-    lines = rows.select(F.explode(F.array(F.to_json(F.struct("*")), F.lit("  "))).alias("value"))
-    return parse_jsonl(lines, PAIRS)
+    return rows.select("before", F.explode(F.array(F.to_json(F.struct("*")), F.lit("  "))).alias("value"))
+
+
+@query(
+    "op_read_jsonl",
+    "SELECT doc_id::VARCHAR AS before, 'q' || quality AS after, ['PLAIN', 'T' || toxic] AS classes, quality = 1 AS hard FROM labels",
+)
+def jsonl_files(spark, sf):
+    """Write pair files with blank lines and read them strictly."""
+    folder = _folder(spark, "pairs")
+    _pair_lines(spark, sf).select("value").write.text(folder)
+    return read_jsonl(spark, folder)
+
+
+def _broken_pairs(spark, sf):
+    folder = _folder(spark, "pairs")
+    broken = F.when((F.col("before").cast("bigint") % 7 == 0) & (F.col("value") != "  "), F.concat(F.lit("{oops "), "before")).otherwise(F.col("value"))
+    _pair_lines(spark, sf).select(broken.alias("value")).write.option("maxRecordsPerFile", 500).text(folder)
+    return read_jsonl_lenient(spark, folder)
+
+
+@query(
+    "op_read_jsonl_lenient",
+    """SELECT CASE WHEN doc_id % 7 <> 0 THEN doc_id::VARCHAR END AS before, CASE WHEN doc_id % 7 <> 0 THEN 'q' || quality END AS after,
+       CASE WHEN doc_id % 7 = 0 THEN '{oops ' || doc_id END AS corrupt FROM labels""",
+)
+def jsonl_lenient(spark, sf):
+    """Pair files in which every seventh line is broken."""
+    return _broken_pairs(spark, sf).select("before", "after", "corrupt")
+
+
+@query("op_read_jsonl_counts", "SELECT count(*) FILTER (doc_id % 7 <> 0) AS n_rows, count(*) FILTER (doc_id % 7 = 0) AS n_corrupt FROM labels")
+def jsonl_counts(spark, sf):
+    """Good and bad lines, counted per file and added up."""
+    counts = file_counts(_broken_pairs(spark, sf))
+    return counts.agg(F.sum("n_rows").alias("n_rows"), F.sum("n_corrupt").alias("n_corrupt"))
 
 
 _JOBS = """SELECT event_id, ts, 'job' AS event, 'file' || user_id AS filename, event_type AS status,
@@ -179,7 +225,8 @@ _JOBS = """SELECT event_id, ts, 'job' AS event, 'file' || user_id AS filename, e
     f"""SELECT ts, filename, status, n_segments, n_flagged, rtf, qa_pass, qa_fail
         FROM ({_JOBS}) WHERE event_id % 10 <> 0 AND event_id % 11 <> 0""",
 )
-def read_log(spark, sf):
+def log_files(spark, sf):
+    """Write a log in which some lines are cut short or empty and read it."""
     log = jobs(spark, sf)
     stamp = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
     line = F.to_json(
@@ -190,8 +237,9 @@ def read_log(spark, sf):
         .when(F.col("event_id") % 11 == 0, F.lit(""))
         .otherwise(F.col("line"))
     )
-    lines = log.withColumn("line", line).select(broken.alias("value"))
-    return parse_log(lines).select(
+    folder = _folder(spark, "log")
+    log.withColumn("line", line).select(broken.alias("value")).write.text(folder)
+    return read_log(spark, folder).select(
         F.col("ts").cast("timestamp_ntz").alias("ts"), "filename", "status", "n_segments", "n_flagged",
         F.col("metrics.rtf").alias("rtf"),
         F.col("metrics.audio_qa.pass").alias("qa_pass"), F.col("metrics.audio_qa.fail").alias("qa_fail"),

@@ -10,7 +10,9 @@ from ..functions.scanning import normalize
 from ..operators.blocks import pasted_blocks
 from ..operators.monitor import job_measures
 from ..operators.segments import segments
+from ..operators.versions import BINS, bin_of
 from ..schemas import DEFAULTS, STATUSES
+from ..sources.readers import path_exists
 
 
 def normalize_documents(stream: DataFrame, text: str = "text", doc: str = "doc_id", sep: str | None = None) -> DataFrame:
@@ -48,22 +50,35 @@ def job_windows(
     )
 
 
+def confidence_windows(rows: DataFrame, value: str = "confidence", window: str = "1 day", watermark: str = "1 hour", bins: int = BINS) -> DataFrame:
+    """Histogram of confidences per event-time window, one row per window and bin; windows merge by adding ``n``."""
+    return (
+        rows.withWatermark("ts", watermark)
+        .withColumn("bin", bin_of(F.col(value), bins))
+        .filter("bin IS NOT NULL")
+        .groupBy(F.window("ts", window).alias("window"), "bin")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(F.col("window.start").alias("window_start"), "bin", "n")
+    )
+
+
 def dedup_jobs(log: DataFrame, watermark: str = "1 hour", keys: tuple[str, ...] = ("filename", "ts")) -> DataFrame:
     """Drop repeated job records that arrive within the watermark."""
     return log.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(list(keys))
 
 
-def drift_alerts(windows: DataFrame, limit: float = DEFAULTS["drift_limit"]) -> DataFrame:
-    """Finished windows against the one before them.
+def drift_alerts(windows: DataFrame, limit: float = DEFAULTS["drift_limit"], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Finished windows against the one before them, within each key.
 
-    The order is over windows, of which there is one per day, not over jobs.
+    The order is over windows, of which there is one per day and key, not over jobs.
     """
-    before = Window.orderBy("window_start")
+    before = Window.partitionBy(*keys).orderBy("window_start")
 
     def rise(name: str) -> Column:
         return F.bround(F.col(name) - F.lag(name).over(before), 4)
 
     return windows.select(
+        *keys,
         "window_start",
         "n",
         rise("flag_rate").alias("delta_flag_rate"),
@@ -86,24 +101,36 @@ def store_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def alert_stream(windows: DataFrame, store: str, alerts: str, checkpoint: str, limit: float = DEFAULTS["drift_limit"]) -> StreamingQuery:
-    """Compare finished windows with the last stored one and append the alerts.
-
-    Each batch has its own folder, so a batch that is run again after a
-    failure replaces its output.
+def alert_stream(
+    windows: DataFrame,
+    store: str,
+    alerts: str,
+    checkpoint: str,
+    limit: float = DEFAULTS["drift_limit"],
+    keys: tuple[str, ...] = (),
+) -> StreamingQuery:
+    """Compare finished windows with the last one before them and append the alerts.
+
+    The state is one row per key, the last window so far. A batch reads the state of
+    the batch before it and writes its own, both in folders named by the batch, so
+    a batch that is run again after a failure reads and writes the same; older
+    states are not read again.
     """
+    cols = [*keys, "window_start", "n", "flag_rate", "qa_fail_rate"]
 
     def compare(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        cols = ["window_start", "n", "flag_rate", "qa_fail_rate"]
-        finished = batch.select(*cols)
-        finished.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-        # Read back what was written, so that the state is not computed twice.
-        fresh = spark.read.schema(finished.schema).parquet(f"{store}/batch={batch_id}")
-        stored = spark.read.parquet(store).filter(F.col("batch") < batch_id).select(*cols)
-        last = stored.orderBy(F.col("window_start").desc()).limit(1).withColumn("_old", F.lit(True))
-        both = last.unionByName(fresh.withColumn("_old", F.lit(False)))
-        found = drift_alerts(both, limit).join(fresh.select("window_start"), "window_start", "left_semi")
+        batch.select(*cols).write.mode("overwrite").parquet(f"{store}/windows/batch={batch_id}")
+        # Read back what was written, so that the windows are not computed twice.
+        fresh = spark.read.schema(batch.select(*cols).schema).parquet(f"{store}/windows/batch={batch_id}")
+        last = fresh.limit(0)
+        if batch_id > 0 and path_exists(spark, f"{store}/last/batch={batch_id - 1}"):
+            last = spark.read.schema(fresh.schema).parquet(f"{store}/last/batch={batch_id - 1}")
+        both = last.unionByName(fresh)
+        newest = both.groupBy(*keys).agg(F.max_by(F.struct(*cols), "window_start").alias("w")).filter("w IS NOT NULL")
+        newest.select("w.*").write.mode("overwrite").parquet(f"{store}/last/batch={batch_id}")
+        known = [*keys, "window_start"]
+        found = drift_alerts(both, limit, keys).join(fresh.select(*known), known, "left_semi")
         found.write.mode("overwrite").parquet(f"{alerts}/batch={batch_id}")
 
     return (

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from speakable.plans.inputs import LINE, jobs
 from speakable.functions.scanning import normalize
 from speakable.operators import blocks as B
 from speakable.sources import readers as R
+from speakable.sources.files import OneFileWriter, file_fingerprints, read_files, rows_fingerprint, write_files
 from speakable.sources import sinks as S
 from speakable.streaming import jobs as ST
 
@@ -93,8 +97,14 @@ def test_reports_logs_and_manifests(spark, tmp_path):
     S.append_job_log(jobs(spark, "/root/testdata/sf0.001"), str(tmp_path / "log"))
     log = R.read_log(spark, str(tmp_path / "log"))
     assert log.count() == 2 * jobs(spark, "/root/testdata/sf0.001").count()
-    S.write_manifests(spark.createDataFrame([(1, "x")], "d int, s string"), str(tmp_path / "m"), "d", "d", "s")
-    assert spark.read.text(str(tmp_path / "m")).first()[0] == '{"d":1,"s":"x"}'
+    made = spark.createDataFrame([(1, "x"), (2, None)], "d int, s string")
+    parts = spark.createDataFrame([(1, k, f'"{k}\n') for k in range(30)], "d int, k int, t string")
+    for _ in range(2):  # a second run replaces the first
+        S.write_manifests(made, parts, str(tmp_path / "m"), "d", ["k"])
+    found = {p.stem: json.loads(p.read_text()) for p in (tmp_path / "m").glob("part-*/*.json")}
+    assert found["1"] == {"d": 1, "s": "x", "segments": [{"k": k, "t": f'"{k}\n'} for k in range(30)]}
+    assert found["2"] == {"d": 2, "s": None, "segments": []} and len(found) == 2
+    assert sum(1 for p in (tmp_path / "m").rglob("*.json")) == 2
 
 
 def test_subtitle_files(spark, tmp_path):
@@ -102,10 +112,63 @@ def test_subtitle_files(spark, tmp_path):
     df = spark.createDataFrame(rows, "doc_id int, chapter_index int, seg_order int, kind string, text string, duration_ms long")
     S.write_subtitles(T.cues(T.timeline(df)), str(tmp_path / "s"))
     for doc in (1, 2):
-        files = sorted((tmp_path / "s" / f"doc_id={doc}").glob("part-*"))
-        text = "".join(f.read_text() for f in files)
-        assert text.startswith("1\n00:00:00,000 --> 00:00:00,100\ns0\n") and text.count("-->") == 5
+        (file,) = (tmp_path / "s").glob(f"part-*/{doc}.srt")
+        text = file.read_text()
+        assert text.startswith("1\n00:00:00,000 --> 00:00:00,100\ns0\n\n2\n") and text.count("-->") == 5
         assert [line for line in text.splitlines() if line.isdigit()] == ["1", "2", "3", "4", "5"]
+    books = spark.createDataFrame([(1, "One", "A"), (2, "Two", None), (3, "No chapters", "B")], "doc_id int, title string, author string")
+    spans = T.join_chapter_title(T.chapter_spans(T.timeline(df)), spark.createDataFrame([], "doc_id int, chapter_index int, title string"))
+    S.write_chapter_metadata(books, T.chapter_markers(spans), str(tmp_path / "c"))
+    files = {p.stem: p.read_text().splitlines() for p in (tmp_path / "c").glob("part-*/*.ffmeta")}
+    assert files["1"] == [";FFMETADATA1", "title=One", "artist=A", "album=One", "[CHAPTER]", "TIMEBASE=1/1000", "START=0", "END=1500", "title=Chapter 1"]
+    assert files["3"][0] == ";FFMETADATA1" and len(files["3"]) == 4 and len(files) == 3
+
+
+def test_one_file_per_name(spark, tmp_path):
+    """Odd names, many rows of one name, an abandoned job folder."""
+    rows = [("a/b c", 1, "x"), ("a/b c", 0, "w"), (None, 0, "n"), ("", 0, "e"), ("_x.y", 0, "u"), ("5%25+1", 0, "p"), ("é", 0, ""), *(("big", k, str(k)) for k in range(5000))]
+    df = spark.createDataFrame(rows, "name string, k int, t string").repartition(7)
+    path = str(tmp_path / "f")
+    write_files(df, path, ".txt", F.col("name"), F.col("k"), F.col("t"))
+    got = {(r.name, r.content.decode()) for r in read_files(spark, path).collect()}
+    assert got == {("a/b c", "w\nx\n"), (None, "n\n"), ("", "e\n"), ("_x.y", "u\n"), ("5%25+1", "p\n"), ("é", "\n"), ("big", "".join(f"{k}\n" for k in range(5000)))}
+    assert not [p for p in (tmp_path / "f").iterdir() if p.name.startswith(".")]
+    with pytest.raises(Exception):
+        write_files(df.withColumn("t", F.expr("raise_error('stop')")), path, ".txt", F.col("name"), F.col("k"), F.col("t"))
+    assert {(r.name, r.content.decode()) for r in read_files(spark, path).collect()} == got
+    writer = OneFileWriter(path, ".txt", False)
+    writer.abort([])
+    writer.commit([None])
+    assert read_files(spark, path).count() == 7
+
+
+def test_lenient_lines_and_counts(spark, tmp_path):
+    good = '{"before":"a","after":"b","classes":["X"],"hard":true}'
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "one.jsonl").write_text(f"{good}\n\n{{oops\n{good}\n[1]\n")
+    (tmp_path / "p" / "two.jsonl").write_text(f"{good}\n")
+    rows = R.read_jsonl_lenient(spark, str(tmp_path / "p"))
+    assert sorted(r.corrupt for r in rows.filter("corrupt IS NOT NULL").collect()) == ["[1]", "{oops"]
+    assert {r.file.rsplit("/", 1)[1]: (r.n_rows, r.n_corrupt) for r in R.file_counts(rows).collect()} == {"one.jsonl": (2, 2), "two.jsonl": (1, 0)}
+
+
+def test_containers_have_a_format_and_no_text(spark, tmp_path):
+    (tmp_path / "b.EPUB").write_bytes(b"PK\x03\x04\xff")
+    (tmp_path / "c.pdf").write_bytes(b"%PDF")
+    got = {r.title: r for r in R.read_documents(spark, str(tmp_path)).collect()}
+    assert {k: (r.source_format, r.text, r.blocks) for k, r in got.items()} == {"b": ("epub", None, []), "c": ("pdf", None, [])}
+
+
+def test_fingerprints_do_not_depend_on_order_or_files(spark, small, tmp_path):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(50)
+    one = rows_fingerprint(docs).first()
+    again = docs.orderBy(F.rand(3)).repartition(9).select(*reversed(docs.columns))
+    again.write.parquet(str(tmp_path / "d"))
+    assert rows_fingerprint(spark.read.parquet(str(tmp_path / "d"))).first() == one and one.n_rows == 50
+    assert rows_fingerprint(docs.unionAll(docs.limit(1))).first().input_sha256 != one.input_sha256
+    assert rows_fingerprint(docs.withColumn("n_chars", F.col("n_chars") + 1)).first().input_sha256 != one.input_sha256
+    (tmp_path / "x.bin").write_bytes(b"\x00\xffbytes")
+    assert file_fingerprints(spark, str(tmp_path / "x.bin")).first().input_sha256 == hashlib.sha256(b"\x00\xffbytes").hexdigest()
 
 
 def _stream_copy(spark, df, path, parts=3):
@@ -140,6 +203,8 @@ def test_stream_windows_and_late_rows(spark, tmp_path):
     windows = lambda: ST.job_windows(spark.readStream.schema(kind).parquet(folder))
     args = (str(tmp_path / "store"), str(tmp_path / "alerts"), str(tmp_path / "cp"))
     ST.alert_stream(windows(), *args).awaitTermination()
+    # The state is one row per batch, whatever was stored before.
+    assert all(spark.read.parquet(str(p)).count() <= 1 for p in (tmp_path / "store" / "last").glob("batch=*"))
     feed([("2024-01-01 02:00:00", "completed", 10, 9), ("2024-01-05 00:00:00", "completed", 10, 9)])
     ST.alert_stream(windows(), *args).awaitTermination()
     rows = spark.read.parquet(args[1]).orderBy("window_start").collect()

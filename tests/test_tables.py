@@ -223,3 +223,41 @@ def test_sequence_confidence(spark):
 def test_latest_reports(spark):
     df = spark.createDataFrame([("eval", 1, "a"), ("eval", 2, "b")], "kind string, ts int, payload string")
     assert {r.kind: r.payload for r in M.latest_reports(df, ["eval", "tune"], ["ts"]).collect()} == {"eval": "b", "tune": None}
+
+
+def test_timeline_of_very_many_chapters(spark):
+    """One document of 100 000 one-segment chapters: sums go by ranges of chapters."""
+    n = 100_000
+    df = spark.range(n).select(
+        F.lit(1).alias("doc_id"), (F.col("id") * 3).cast("int").alias("chapter_index"), F.lit(0).alias("seg_order"), F.lit("narration").alias("kind"),
+        F.lit("s").alias("text"), (F.col("id") % 5 * 100).alias("duration_ms"),
+    )
+    timed = T.timeline(df, number_cues=True, range_chapters=900)
+    rows = timed.select("chapter_no", "start_ms", "end_ms", "cue_no").orderBy("chapter_no").collect()
+    at = 0
+    for k, r in enumerate(rows):
+        assert (r.chapter_no, r.start_ms, r.end_ms, r.cue_no) == (k, at, at + k % 5 * 100, k + 1)
+        at = r.end_ms + 1200
+    assert len(rows) == n
+    # Windows are partitioned by more than the document wherever they run over its rows or chapters.
+    plan = timed._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan
+
+
+def test_body_size_is_the_upper_median(spark):
+    from speakable.operators.blocks import layout_blocks
+
+    rng = random.Random(4)
+    rows = [(d, k, "ab" * rng.randrange(1, 60), rng.choice([8.0, 8.5, 9.25, 11.0, 14.0, None])) for d in range(30) for k in range(rng.randrange(1, 25))]
+    rows += [(99, 0, "only", None), (98, 0, "x", 10.0)]
+    got = {(r.doc_id, r.k): r.is_heading for r in layout_blocks(spark.createDataFrame(rows, "doc_id int, k int, text string, size double")).collect()}
+    want = {}
+    for d in {r[0] for r in rows}:
+        kept = [r for r in rows if r[0] == d and len(r[2]) >= 2]
+        sizes = sorted(r[3] for r in kept if r[3] is not None)
+        body = sizes[len(sizes) // 2] if sizes else None
+        for r in kept:
+            long = len(r[2]) > 80
+            big = None if r[3] is None or body is None else r[3] >= body * 1.25
+            want[d, r[1]] = False if long or big is False else big
+    assert got == want
