@@ -31,10 +31,12 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import steps
@@ -277,16 +279,30 @@ def decode_pieces(ids: Column, model: str) -> Column:
     return decode(ids)
 
 
-def coded_pieces(text: Column, model: str) -> Column:
-    """Struct of the ids of a text and the text that they stand for, in one pass."""
+def coded_documents(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
+    """``docs`` with its text replaced by ``piece_ids``, ``n_pieces`` and ``decoded``, what the ids stand for.
 
-    @F.pandas_udf("piece_ids array<int>, decoded string")
-    def code(texts: pd.Series) -> pd.DataFrame:
-        made = pieces(model)
-        ids = encoded(texts, made)
-        return pd.DataFrame({"piece_ids": pd.Series([x.astype(np.int32) for x in ids], dtype=object), "decoded": pd.Series([made.decode(x) for x in ids], dtype=object)})
+    Both ways are one pass, a bounded run of texts at a time; other columns pass through, those
+    of the three names excepted.
+    """
+    new = ("piece_ids", "n_pieces", "decoded")
+    kept = [c for c in docs.columns if c != text and c not in new]
 
-    return code(text)
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = pieces(model)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(text).to_pylist()]
+            for at, run in steps(texts, STEP_BYTES):
+                ids = made.encode(texts[at : at + len(run)])
+                counts = np.array([len(x) for x in ids], np.int64)
+                ends = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids).astype(np.int32)))
+                here = batch.slice(at, len(run))
+                columns = [here.column(c) for c in kept] + [lists, pa.array(counts), pa.array([made.decode(x) for x in ids], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, [*kept, *new])
+
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
+    return docs.select(*(F.col(f"`{c}`") for c in kept), text).mapInArrow(code, ", ".join([*kinds, "piece_ids array<int>", "n_pieces long", "decoded string"]))
 
 
 def piece_digest(text: Column, model: str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 from speakable.llm import queries
-from speakable.llm.pieces import MARK, UNIGRAM, Pieces, decode_pieces, encode_pieces, pieces
+from speakable.llm.pieces import MARK, UNIGRAM, Pieces, coded_documents, decode_pieces, encode_pieces, pieces
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=PATH)
@@ -89,3 +89,13 @@ def test_odd_rows(spark):
     for r in out.collect():
         assert r.back == (r.text or "") and list(r.got) == LIBRARY.encode(r.text or "")
     assert out.filter("false").count() == 0 and docs.limit(0).select(encode_pieces(F.col("text"), PATH)).count() == 0
+
+
+def test_documents_are_coded_in_one_pass(spark):
+    rows = [(1, "Hello there", None, "x"), (None, None, 2, "y"), (3, "", 3, "z"), (4, "long text " * 40_000, 4, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, decoded string")
+    got = coded_documents(docs, PATH)
+    assert got.columns == ["doc_id", "n_chars", "piece_ids", "n_pieces", "decoded"]
+    want = [(i, n, LIBRARY.encode(t or ""), len(LIBRARY.encode(t or "")), " ".join((t or "").split())) for i, t, n, _ in rows]
+    assert sorted((r.doc_id or 0, r.n_chars, r.piece_ids, r.n_pieces, " ".join(r.decoded.split())) for r in got.collect()) == sorted((i or 0, *x) for i, *x in want)
+    assert coded_documents(docs.limit(0), PATH).collect() == []
