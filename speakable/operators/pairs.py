@@ -107,10 +107,16 @@ HARD_SHIFT = 999
 
 
 def draw_sql(id_col: str, slot: int, size: int | str, seed: int) -> str:
-    """SQL text of a draw from 0 to ``size`` - 1."""
+    """SQL text of a draw from 0 to ``size`` - 1.
+
+    The quotient of the id goes in after the square: added before it, it would only
+    move one id's draws to another id.
+    """
     first = slot * 69_621 + seed * 16_807 + 1
-    mixed = f"((pmod({id_col}, {PRIME}L) * 48271L + {first}L) % {PRIME}L)"
-    return f"(shiftright((({mixed} * {mixed} + {slot + 1}L) % {PRIME}L) * 16807L % {PRIME}L, 3) % ({size}))"
+    low = f"pmod({id_col}, {PRIME}L)"
+    high = f"(pmod(({id_col} - {low}) div {PRIME}L, {PRIME}L) * 40692L % {PRIME}L)"
+    mixed = f"(({low} * 48271L + {first}L) % {PRIME}L)"
+    return f"(shiftright((({mixed} * {mixed} + {slot + 1}L + {high}) % {PRIME}L) * 16807L % {PRIME}L, 3) % ({size}))"
 
 
 @dataclass(frozen=True)
@@ -397,10 +403,8 @@ def generate_pairs(
 ) -> DataFrame:
     """Distinct pairs from the ids, the first ``n`` of them by id if a size is given."""
     pairs = distinct_pairs(draw_pairs(ids, id_col, seed, hard_only))
-    if n is None:
-        return pairs
-    # Ids may be sparse, so positions come from ranges of rows, not of id values.
-    return number_rows(pairs, ["pair_id"], "_nr").filter(F.col("_nr") <= n).drop("_nr")
+    # Each task keeps its first n rows, so no more than n a task are moved.
+    return pairs if n is None else pairs.orderBy("pair_id").limit(n)
 
 
 def shuffle_key(id_col: str, seed: int) -> Column:
@@ -415,8 +419,9 @@ def shuffled(pairs: DataFrame, seed: int = SEED, out: str = "place") -> DataFram
 
 
 def without_leaks(rows: DataFrame, train: DataFrame, key: str = "before") -> DataFrame:
-    """Rows whose input does not occur among the training inputs."""
-    return rows.join(train.select(key).distinct(), key, "left_anti")
+    """Rows whose input does not occur among the training inputs; digests meet, not texts."""
+    digest = F.sha2(F.col(key).cast("string").cast("binary"), 256).alias("_digest")
+    return rows.withColumn("_digest", digest).join(train.select(digest).distinct(), "_digest", "left_anti").drop("_digest")
 
 
 def build_splits(
@@ -442,10 +447,11 @@ def build_splits(
 
 
 def leakage(splits: DataFrame) -> DataFrame:
-    """Number of held-out inputs that also occur in train; must be 0."""
-    train = splits.filter(F.col("split") == "train").select("before").distinct()
-    held = splits.filter(F.col("split") != "train")
-    return held.join(train, "before").agg(F.count(F.lit(1)).alias("n_leaks"))
+    """Number of held-out inputs that also occur in train, in one pass; 0 after ``without_leaks``."""
+    digest = F.sha2(F.col("before").cast("binary"), 256).alias("_digest")
+    trained = F.col("split") == "train"
+    per = splits.groupBy(digest).agg(F.max(trained).alias("_trained"), F.count_if(~trained).alias("_held"))
+    return per.agg(F.coalesce(F.sum(F.when(F.col("_trained"), F.col("_held"))), F.lit(0)).alias("n_leaks"))
 
 
 def load_pairs(df: DataFrame, before: str, after: str, key: str, limit: int | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.readings import spoken
 from ..functions.scanning import normalize, scan
+from .prefix import durable
 
 
 def spans(df: DataFrame, text: str, *keys: str, classes: list[str] | None = None) -> DataFrame:
@@ -31,13 +32,18 @@ def span_counts(found: DataFrame, *keys: str) -> DataFrame:
     return found.groupBy(*keys, "cls").agg(F.count(F.lit(1)).alias("n_spans"))
 
 
+def surface_counts(found: DataFrame) -> DataFrame:
+    """How often each surface occurs, written once; counted before the shuffle, so a frequent one is no hot key."""
+    return durable(found.groupBy("cls", "surface").agg(F.count(F.lit(1)).alias("n")))
+
+
 def lexicon(found: DataFrame) -> DataFrame:
-    """Every distinct surface once, with its spoken form."""
+    """Every distinct surface once, with its spoken form; ``found`` may be spans or their counts."""
     return found.select("cls", "surface").distinct().withColumn("spoken", spoken(F.col("cls"), F.col("surface")))
 
 
 def join_lexicon(found: DataFrame, words: DataFrame) -> DataFrame:
-    """Spoken forms from a lexicon; surfaces it lacks stay as they are."""
+    """Spoken forms from a lexicon for spans or their counts; surfaces it lacks stay as they are."""
     return found.join(words.select("cls", "surface", "spoken"), ["cls", "surface"], "left").withColumn(
         "spoken", F.coalesce("spoken", "surface")
     )

@@ -235,10 +235,19 @@ def build_splits(spark, sf):
 @query(
     "chk_leakage",
     _SPLITS
-    + "SELECT count(*) AS n_leaks FROM splits WHERE split <> 'train' AND before IN (SELECT before FROM splits WHERE split = 'train')",
+    + """, parts AS (SELECT p_brand AS before, CASE WHEN p_partkey % 3 = 0 THEN 'train' ELSE 'test' END AS split FROM part)
+        SELECT 'splits' AS source, count(*) AS n_leaks FROM splits WHERE split <> 'train' AND before IN (SELECT before FROM splits WHERE split = 'train')
+        UNION ALL SELECT 'parts', count(*) FROM parts WHERE split <> 'train' AND before IN (SELECT before FROM parts WHERE split = 'train')
+        UNION ALL SELECT 'clean parts', 0""",
 )
 def leakage(spark, sf):
-    return P.leakage(_splits(spark, sf))
+    """The built splits, brands split by part key as they are, and the same after the filter."""
+    parts = table(spark, sf, "part").select(F.col("p_brand").alias("before"), F.when(F.col("p_partkey") % 3 == 0, "train").otherwise("test").alias("split"))
+    train = parts.filter("split = 'train'")
+    clean = train.unionByName(P.without_leaks(parts.filter("split <> 'train'"), train))
+    named = (("splits", _splits(spark, sf)), ("parts", parts), ("clean parts", clean))
+    found = [P.leakage(rows).select(F.lit(name).alias("source"), "n_leaks") for name, rows in named]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query("win_shuffle", f"WITH {q.NUMBER_CTES}, {_PLACES} SELECT pair_id, place FROM p1")

@@ -9,7 +9,7 @@ from ..functions import words as W
 from ..functions.scanning import normalize
 from ..operators import spans as S
 from . import sql as q
-from .inputs import cents_text, grouped_cents, lines, number_text, receipts, table
+from .inputs import cents_text, dealt, grouped_cents, lines, number_text, receipts, table
 from .registry import query
 from .text import segmented
 
@@ -130,7 +130,7 @@ def rule_money(spark, sf):
         .when(kind == 1, F.concat(F.lit("£ "), cents_text(price), F.lit("M")))
         .otherwise(F.concat(F.lit("¥"), F.regexp_replace(grouped_cents(price), r"\..*$", "")))
     )
-    rows = lines(spark, sf).select(F.col("line_id").alias("id"), surface.alias("s"))
+    rows = dealt(lines(spark, sf).select("line_id", "l_extendedprice", "l_linenumber")).select(F.col("line_id").alias("id"), surface.alias("s"))
     return rows.select("id", R.read_as("MONEY", F.col("s")).alias("spoken"))
 
 
@@ -215,7 +215,7 @@ def rule_roman(spark, sf):
 )
 def rule_fraction(spark, sf):
     surface = F.concat(F.col("l_linenumber").cast("string"), F.lit("/"), number_text(F.col("l_quantity")))
-    rows = lines(spark, sf).select(F.col("line_id").alias("id"), surface.alias("s"))
+    rows = dealt(lines(spark, sf).select("line_id", "l_linenumber", "l_quantity")).select(F.col("line_id").alias("id"), surface.alias("s"))
     return rows.select("id", R.read_as("FRACTION", F.col("s")).alias("spoken"))
 
 
@@ -346,7 +346,8 @@ def span_counts(spark, sf):
 )
 def lexicon_join(spark, sf):
     found = S.spans(receipts(spark, sf), "text", "segment_id", classes=["TIME", "MEASURE", "ABBREV"])
-    return S.join_lexicon(found, S.lexicon(found)).groupBy("cls", "spoken").agg(F.count(F.lit(1)).alias("n"))
+    counts = S.surface_counts(found)
+    return S.join_lexicon(counts, S.lexicon(counts)).groupBy("cls", "spoken").agg(F.sum("n").alias("n"))
 
 
 @query("op_normalize_documents")

@@ -102,7 +102,8 @@ def draw(slot: int, size: int | str, seed: int = 42, id_col: str = "id") -> str:
     """The documented draw: two rounds of modular arithmetic on id, slot and seed."""
     p = 2147483647
     first = f"(({id_col} % {p} * 48271 + {slot * 69621 + seed * 16807 + 1}) % {p})"
-    return f"(((({first} * {first} + {slot + 1}) % {p}) * 16807 % {p} >> 3) % ({size}))"
+    high = f"({id_col} // {p} % {p} * 40692 % {p})"
+    return f"(((({first} * {first} + {slot + 1} + {high}) % {p}) * 16807 % {p} >> 3) % ({size}))"
 
 
 def pick(slot: int, options: list[str], seed: int = 42) -> str:

@@ -16,7 +16,7 @@ from ..schemas import JOB_LOG
 from ..sources.files import write_files
 from ..sources.readers import decode_text, file_counts, read_documents, read_jsonl, read_jsonl_lenient, read_log
 from . import sql as q
-from .inputs import LINE, jobs, table, talk
+from .inputs import LINE, dealt, jobs, table, talk
 from .registry import query
 
 _UNNEST = "SELECT {keys}, (pos - 1)::BIGINT AS {pos}, {cols} FROM (SELECT {keys}, unnest(l) AS b, generate_subscripts(l, 1) AS pos FROM ({src}))"
@@ -96,7 +96,7 @@ _ENTITIES = "replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'),
           tag LIKE 'h%' AS is_heading FROM f WHERE text <> ''""",
 )
 def blocks_html(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id", "html")
+    pages = dealt(table(spark, sf, "pages").select("page_id", "html"))
     return B.explode_blocks(pages, B.html_blocks(F.col("html")), "page_id")
 
 
@@ -408,7 +408,7 @@ def limit_rows(spark, sf):
         generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, {q.sentences('text')} AS l FROM documents))""",
 )
 def sentences(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text").select(
+    return dealt(table(spark, sf, "documents").select("doc_id", "text")).select(
         "doc_id", F.posexplode(seg.sentences(F.col("text"))).alias("sentence_no", "sentence")
     )
 
@@ -419,7 +419,7 @@ def sentences(spark, sf):
         generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, {q.chunks('text')} AS l FROM documents))""",
 )
 def chunk(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text").select(
+    return dealt(table(spark, sf, "documents").select("doc_id", "text")).select(
         "doc_id", F.posexplode(seg.chunks(F.col("text"))).alias("chunk_no", "chunk")
     )
 
@@ -433,7 +433,7 @@ def chunk(spark, sf):
 def split_long(spark, sf):
     from ..functions.expr import strip
 
-    docs = table(spark, sf, "documents").select("doc_id", strip(F.col("text")).alias("t"))
+    docs = dealt(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", strip(F.col("text")).alias("t"))
     return docs.select("doc_id", F.posexplode(seg.split_long(F.col("t"), 120)).alias("piece_no", "piece"))
 
 
@@ -443,7 +443,7 @@ def split_long(spark, sf):
         generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, {q.speech_chunks('text')} AS l FROM documents))""",
 )
 def chunk_tts(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text").select(
+    return dealt(table(spark, sf, "documents").select("doc_id", "text")).select(
         "doc_id", F.posexplode(seg.speech_chunks(F.col("text"))).alias("chunk_no", "chunk")
     )
 
@@ -490,7 +490,7 @@ def segment_documents(spark, sf):
 
 def segmented(spark, sf):
     """Segments of all documents, a line being a block."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = dealt(table(spark, sf, "documents").select("doc_id", "text"))
     return segments.segments(docs, B.text_blocks(F.col("text"), LINE), "doc_id")
 
 

@@ -261,3 +261,16 @@ def test_body_size_is_the_upper_median(spark):
             big = None if r[3] is None or body is None else r[3] >= body * 1.25
             want[d, r[1]] = False if long or big is False else big
     assert got == want
+
+
+def test_draws_do_not_repeat_after_the_prime(spark):
+    """Ids a period apart, and ids whose low parts would meet, draw differently."""
+    p = P.PRIME
+    ids = [1, 5, 77, 1 + p, 5 + p, 77 + 2 * p, 5 + p * p, -5]
+    rows = spark.createDataFrame([(i,) for i in ids], "id long").select("id", *(P.Draws("id", 42).below(s, 1 << 20).alias(f"s{s}") for s in range(12)))
+    drawn = [tuple(r)[1:] for r in rows.collect()]
+    assert len(set(drawn)) == len(ids)
+    assert sum(a == b for x in range(len(ids)) for y in range(x) for a, b in zip(drawn[x], drawn[y], strict=True)) <= 2
+    pairs = P.generate_pairs(spark.createDataFrame([(i + k * p,) for i in range(300) for k in (0, 1)], "id long"))
+    one = P.generate_pairs(spark.createDataFrame([(i,) for i in range(300)], "id long"))
+    assert pairs.count() > 1.5 * one.count()
