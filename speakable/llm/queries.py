@@ -22,7 +22,7 @@ from .quality import quality_score, train_quality
 from .repetition import repetition_report
 from .simhash import hex_bits, near_duplicates
 from .suffix_dedup import remove_repeats
-from .token_store import stored_tokens, with_crc
+from .token_store import stored_tokens
 from .toxicity import toxicity_score, train_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,7 +58,7 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return with_crc(stored_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
+    return stored_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, digest=True)
 
 
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b n
 # The rules of plain byte-level tokenizer files.
 BYTE_SPEC = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
 #: Bytes of text that are coded together.
-STEP_BYTES = 2_500_000
+STEP_BYTES = 4_000_000
 
 
 class BpeEncoder:
@@ -231,8 +231,11 @@ def _dictionary(spark: SparkSession, path: str) -> tuple[bytes, bytes, np.dtype]
     return bytes(row.dictionary), bytes(row.hash), np.dtype(f"<u{row.width}")
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """All documents: doc_id, start (ids before it), n_tokens, ids as little-endian bytes of ``<u4``."""
+def read_store(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """All documents: doc_id, start (ids before it), n_tokens, ids as little-endian bytes of ``<u4``.
+
+    With ``digest`` their unsigned crc32 stands in place of the ids.
+    """
     dictionary, dict_hash, dtype = _dictionary(spark, path)
     segments = spark.read.parquet(f"{path}/segments")
     # One row per partition of the writer, whatever the size of the table: a proven bound.
@@ -254,9 +257,10 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                         for o, s in zip(part["offset"], part["size"], strict=True)
                     ]
                     doc_id = pd.Series(part["doc_id"].astype(np.int64)).astype("Int64").mask(part["null"] == 1)
-                    yield pd.DataFrame({"doc_id": doc_id, "start": start[at : at + 256], "n_tokens": part["n_tokens"].astype(np.int64), "ids": ids})
+                    last = {"ids_crc32": [zlib.crc32(x) for x in ids]} if digest else {"ids": ids}
+                    yield pd.DataFrame({"doc_id": doc_id, "start": start[at : at + 256], "n_tokens": part["n_tokens"].astype(np.int64), **last})
 
-    return placed.mapInPandas(unpack, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.mapInPandas(unpack, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
 
 
 def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> dict[int, list[np.ndarray]]:
@@ -281,9 +285,9 @@ def with_crc(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("ids_crc32", crc("ids")).drop("ids")
 
 
-def stored_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None) -> DataFrame:
+def stored_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, digest: bool = False) -> DataFrame:
     """Write a store (to the shared folder unless a path is given) and read it back."""
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
     write_store(docs, path, tokenizer, end_id)
-    return read_store(spark, path)
+    return read_store(spark, path, digest)
