@@ -110,7 +110,7 @@ def draw_sql(id_col: str, slot: int, size: int | str, seed: int) -> str:
     """SQL text of a draw from 0 to ``size`` - 1.
 
     The quotient of the id goes in after the square: added before it, it would only
-    move one id's draws to another id.
+    move one id's draws to another id. No two ids below 2**62 share all their draws.
     """
     first = slot * 69_621 + seed * 16_807 + 1
     low = f"pmod({id_col}, {PRIME}L)"

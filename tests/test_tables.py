@@ -266,7 +266,7 @@ def test_body_size_is_the_upper_median(spark):
 def test_draws_do_not_repeat_after_the_prime(spark):
     """Ids a period apart, and ids whose low parts would meet, draw differently."""
     p = P.PRIME
-    ids = [1, 5, 77, 1 + p, 5 + p, 77 + 2 * p, 5 + p * p, -5]
+    ids = [1, 5, 77, 1 + p, 5 + p, 77 + 2 * p, 5 + p * (p - 1), -5]
     rows = spark.createDataFrame([(i,) for i in ids], "id long").select("id", *(P.Draws("id", 42).below(s, 1 << 20).alias(f"s{s}") for s in range(12)))
     drawn = [tuple(r)[1:] for r in rows.collect()]
     assert len(set(drawn)) == len(ids)
