@@ -37,8 +37,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType
 
 from .common import drop_stored, steps, stored
 
@@ -106,7 +107,7 @@ def fragments(run: list[bytes], length: int, seed: int) -> tuple[np.ndarray, ...
 
 
 def _long_fragments(run: list[bytes], long: list[int], length: int, seed: int) -> tuple[np.ndarray, ...]:
-    """The same text by text, each in overlapping parts whose fragments at a cut are joined where they are one."""
+    """The same text by text, each in parts that overlap by a window less one; a fragment at a cut becomes two."""
     parts = []
     step = (1 << 24) - 1 - length
     for i in long:
@@ -127,11 +128,13 @@ def rotation_order(data: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key = (key << np.uint64(8)) | ring[j : j + n].astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    rank = np.empty(n, np.int64)
+    # Rotations with equal beginnings may stand in any order; they share their rank.
+    kind = np.int32 if n < 1 << 31 else np.int64
+    order = np.argsort(key)
+    rank = np.empty(n, kind)
     rank[order] = _first_equal(key[order])
     width = 8
-    active = order
+    active = order.astype(kind)
     while width < depth:
         groups = rank[active]
         alone = np.ones(len(active), bool)
@@ -141,16 +144,17 @@ def rotation_order(data: np.ndarray, depth: int) -> np.ndarray:
         active = active[~alone]
         if not len(active):
             break
-        groups, second = rank[active], rank[(active + width) % n]
-        by = np.argsort(groups * n + second, kind="stable")
+        groups, second = rank[active], rank[(active + kind(width)) % kind(n)]
+        by = np.argsort(groups * np.int64(n) + second)
         active, groups, second = active[by], groups[by], second[by]
         new_group = np.r_[True, groups[1:] != groups[:-1]]
-        head = np.maximum.accumulate(np.where(new_group, np.arange(len(active)), 0))
-        first = np.maximum.accumulate(np.where(new_group | np.r_[True, second[1:] != second[:-1]], np.arange(len(active)), 0))
+        at = np.arange(len(active), dtype=kind)
+        head = np.maximum.accumulate(np.where(new_group, at, kind(0)))
+        first = np.maximum.accumulate(np.where(new_group | np.r_[True, second[1:] != second[:-1]], at, kind(0)))
         rank = rank.copy()
         rank[active] = groups + first - head
         width *= 2
-    return np.argsort(rank, kind="stable")
+    return np.argsort(rank)
 
 
 def _first_equal(ordered: np.ndarray) -> np.ndarray:
@@ -165,30 +169,34 @@ def bounded_prefixes(bwt: np.ndarray, length: int) -> np.ndarray:
     and gives ``l`` to the right ends that have no value yet.
     """
     n = len(bwt)
-    stride = np.int64(n + 1)
-    column = bwt.astype(np.int64)
-    by_byte = np.argsort(bwt, kind="stable")
-    places = column[by_byte] * stride + by_byte  # (byte, row) sorted: its rank is the row after extension
-    run = np.cumsum(np.r_[True, bwt[1:] != bwt[:-1]]) - 1  # equal bytes in a row extend together
+    kind = np.int32 if n < 1 << 22 else np.int64  # 256 times a place must fit
+    stride = n + 1
+    column = bwt.astype(kind)
+    by_byte = np.argsort(bwt, kind="stable").astype(kind)
+    places = column[by_byte] * kind(stride) + by_byte  # (byte, row) sorted: its rank is the row after extension
+    run = np.cumsum(np.r_[True, bwt[1:] != bwt[:-1]], dtype=kind) - kind(1)  # equal bytes in a row extend together
     run_byte = column[np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])]
-    out = np.full(n + 1, length, np.int64)
+    out = np.full(n + 1, length, kind)
     out[0] = out[n] = 0
     known = np.zeros(n + 1, bool)
     known[[0, n]] = True
-    low, high = np.array([0]), np.array([n])
+    low, high = np.array([0], kind), np.array([n], kind)
     for level in range(length):
         a, b = run[low], run[high - 1]
-        count = b - a + 1
-        interval = np.repeat(np.arange(len(low)), count)
-        member = np.arange(len(interval)) - np.repeat(np.cumsum(count) - count, count) + a[interval]
-        code = interval * 256 + run_byte[member]
-        if len(code) > len(low):
-            code = np.unique(code)
-        interval, byte = code // 256, code % 256
-        new_low = np.searchsorted(places, byte * stride + low[interval])
-        new_high = np.searchsorted(places, byte * stride + high[interval])
+        count = b - a + kind(1)
+        k = len(low)
+        interval = np.repeat(np.arange(k, dtype=kind), count)
+        member = np.arange(len(interval), dtype=kind) - np.repeat(np.cumsum(count, dtype=kind) - count - a, count)
+        # Sorted by byte, then interval, the new intervals come in the order of their rows, and both searches run forwards.
+        code = run_byte[member] * kind(k) + interval
+        code.sort()
+        code = code[np.r_[True, code[1:] != code[:-1]]]
+        byte, interval = np.divmod(code, kind(k))
+        byte *= kind(stride)
+        new_high = np.searchsorted(places, byte + high[interval]).astype(kind)
         fresh = ~known[new_high]
-        low, high = new_low[fresh], new_high[fresh]
+        new_low = np.searchsorted(places, (byte + low[interval])[fresh]).astype(kind)
+        low, high = new_low, new_high[fresh]
         out[high] = level
         known[high] = True
         if not len(low):
@@ -307,7 +315,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, most
     per_anchor = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").withColumn("many", F.col("k") > most_classes)
     # A class with copies is repeated as a whole; it is compared all the same, for the sake of its partners.
     wanted = classes.join(per_anchor, "h").groupBy("one.id", "one.tie").agg(F.collect_list(F.struct("h", "d", "copies", "many", "one.start", "one.n")).alias("wanted"))
-    bytes_ = stored(_cut(docs.join(wanted, ["id", "tie"]).dropDuplicates(["id", "tie"]), length), "compared")
+    bytes_ = stored(_cut(docs.join(wanted, ["id", "tie"]).dropDuplicates(["id", "tie"]), length), "compared", few=False)
     some = _compare(bytes_.filter("NOT many"), length).unionByName(_count_windows(bytes_.filter("many"), length))
     whole = classes.filter("copies > 1").select("h", "d", F.lit(0).alias("first"), F.col("one.n").alias("n"))
     some = some.join(classes.filter("copies > 1").select("h", "d"), ["h", "d"], "left_anti")
@@ -334,11 +342,16 @@ def kept_bytes(data: bytes, spans: list, length: int) -> tuple[bytes, int]:
     return b"".join(parts), len(first)
 
 
+def _number(kind: DataType) -> Column:
+    """An integer for each id; for ids that are none, a hash, and the hash of the text tells them apart."""
+    return F.col("doc_id").cast("long") if isinstance(kind, IntegralType) else F.xxhash64("doc_id")
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     """One row per document (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept (bytes), kept_sha256."""
     keyed = docs.select(
         "doc_id",
-        F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("id"),
+        F.coalesce(_number(docs.schema["doc_id"].dataType), F.lit(0)).alias("id"),
         F.xxhash64("text", F.col("doc_id").isNull()).alias("tie"),
         F.coalesce("text", F.lit("")).alias("text"),
     )

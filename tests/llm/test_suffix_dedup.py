@@ -99,3 +99,11 @@ def test_very_long_text(spark):
     docs = spark.createDataFrame([(1, half + " middle " + half), (2, "y" * 5_000)], "doc_id long, text string")
     got = {r.doc_id: r for r in remove_repeats(docs).collect()}
     assert (got[1].n_removed, got[1].n_spans) == (2 * len(half), 2) and (got[2].n_removed, got[2].n_spans) == (5_000, 1)
+
+
+def test_ids_may_be_text(spark):
+    same = "".join(chr(97 + i * i % 23) + str(i) for i in range(120))
+    rows = [("a", f"first {same}"), ("b", f"second {same} end"), (None, same), ("c", "short")]
+    got = {r.doc_id: r.n_removed for r in remove_repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    want = {r.doc_id: r.n_removed for r in remove_repeats(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in rows] == [want[k] for k in range(4)] and got["a"] >= len(same)
