@@ -76,6 +76,11 @@ def sample_ids(rows: DataFrame, key: str, n: int) -> DataFrame:
     return rows.orderBy(F.xxhash64(key), key).limit(n)
 
 
+def one_text_each(rows: DataFrame, *keys: str) -> DataFrame:
+    """One text per key, that with the smallest hash: ids that repeat must not widen a bounded sample."""
+    return rows.groupBy(*keys).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def steps(texts: Iterable[str | None], most: int = STEP_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """Cut a batch into runs of whole texts of about ``most`` bytes, as UTF-8; null is empty."""
     first, size, run = 0, 0, []

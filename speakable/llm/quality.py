@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_ids
+from .common import one_text_each, sample_ids
 
 BLOCK_BYTES = 2048
 LEVEL = 3
@@ -137,7 +137,7 @@ def train_quality(
             parts.append(sample_ids(rows.filter(half == use), "doc_id", n).withColumn("use", F.lit(use)))
     picked = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
     # At most 2 * (dictionary_rows + calibration_rows) ids: a proven bound for the broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").persist()
+    rows = one_text_each(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "doc_id", "label", "use").persist()
     try:
         made = [
             _dictionary(rows.filter((F.col("use") == 0) & (F.col("label") == label)), dictionary_blocks, block_bytes, dict_bytes)

@@ -1,17 +1,17 @@
 """Toxicity by weak supervision.
 
 Many voters look at a text: lexicon voters, one for each word or word
-beginning that a bounded labelled sample marks as suspicious or harmless, and
+beginning that a bounded labelled sample marks as suspicious, and
 pattern voters for shouting, insistence, symbols and mention of
-others. Each votes toxic, clean or abstains. A generative model with a hidden
+others. Each votes toxic or abstains; what a text does not say speaks for it. A generative model with a hidden
 label finds voters that fire together more often than the label explains, makes
 them a family with one vote, so that related words do not count many times, and
 estimates by expectation-maximisation how often each fires under either label. The posterior of the hidden label is
 the target of a logistic classifier over the same evidence, which then scores
 every text.
 
-Bounds of the fit: ``sample_rows`` labelled texts per label and ``lexicon``
-voters; only their votes and counts reach the driver.
+Bounds of the fit: ``sample_rows`` labelled ids per label, one text for each however often it
+repeats, and ``lexicon`` voters; only their votes and counts reach the driver.
 
 Defined cases: null and empty texts get the score of a text without evidence;
 texts of any length are read whole; equal texts get equal scores; without
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_ids
+from .common import one_text_each, sample_ids
 
 EDGE = b".,;:!?\"'()[]{}|#*$%&<>-_=+~/\\"
 HEADS = (4, 5, 6, 7, 8)
@@ -207,7 +207,7 @@ def train_toxicity(
         sample_ids(labelled.filter("label = 1"), "doc_id", sample_rows)
     )
     # At most 2 * sample_rows ids: a proven bound for the broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").persist()
+    rows = one_text_each(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "doc_id", "label").persist()
 
     @F.pandas_udf("array<binary>")
     def words(texts: pd.Series) -> pd.Series:
