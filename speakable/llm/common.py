@@ -8,6 +8,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.prefix import scratch_dir
+
 #: The characters that separate words; the same six that ``bytes.split()`` takes.
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes of text that one vectorised step holds in a Python worker at once.
@@ -24,17 +26,8 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the one in ``spark.checkpoint.dir``; a session that names none gets
-    a folder beside its tables, on the file system of the warehouse.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    """The folder that driver and executors share."""
+    return scratch_dir(spark).rstrip("/")
 
 
 def new_path(spark: SparkSession, what: str) -> str:

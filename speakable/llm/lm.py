@@ -1,15 +1,17 @@
 """Language-model scoring with a weighted backoff automaton.
 
-The automaton has a root state and a state for every word that training texts
-hold. From the state of ``v`` an arc on ``w`` weighs the smoothed bigram
+The automaton has a root state and a state for every context of up to
+``order - 1`` words that training texts hold. From the state of context ``h`` an
+arc on ``w`` weighs the smoothed sequence
 
-    log10((c(v, w) + mu * p(w)) / (c(v) + mu)),   p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1))
+    log10((c(h w) + mu * P(w | h')) / (c(h) + mu)),   P(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1))
 
-if the pair was seen; any other word takes the failure arc of ``v`` to the
-root, log10(mu / (c(v) + mu)), and then the root's arc, log10 p(w). All words
+if training texts hold it, ``h'`` being ``h`` without its first word; it leads to the longest
+context that ends there. Any other word takes the failure arc of ``h`` to ``h'``, log10(mu /
+(c(h) + mu)), and so on down to the root, which has an arc for every word. All words
 together have probability one from every state. A text is one traversal from
-the state of the end token through its words to the end token: each step
-takes one arc, or a failure arc and one arc, and adds its weight.
+the state of the end token through its words to the end token, which carries its
+state along and adds up the weights of the arcs it takes.
 
 Nothing of the model is ever in one place. Texts are dealt into blocks of
 about ``block_bytes``; a block lists its distinct words and word pairs as 64-bit
@@ -41,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MU = 100.0
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 16_000_000
 END = b" "
 _ODD = np.uint64(1)
 
@@ -58,6 +60,17 @@ def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return (x ^ (x >> np.uint64(31))) | _ODD
 
 
+@dataclass
+class Grams:
+    """Distinct sequences of some length in a block, in the order of (context, last word)."""
+
+    left: np.ndarray  # number of the context one shorter
+    right: np.ndarray  # last word
+    suffix: np.ndarray  # number of the sequence without its first word
+    of: np.ndarray  # per token the sequence that ends there, -1 where its text has just begun
+    hashes: np.ndarray
+
+
 @dataclass
 class Block:
     """Texts as numbers: all tokens in a row, each text closed by the end token."""
@@ -65,70 +78,128 @@ class Block:
     hashes: np.ndarray  # of the block's words; number 0 is the end
     tokens: np.ndarray
     starts: np.ndarray
-    pairs: np.ndarray  # distinct pairs as left * words + right
-    pair_of: np.ndarray  # per token, the pair with the token before it
+    grams: list[Grams]  # of lengths 2, 3, ...
 
     @classmethod
-    def read(cls, texts: list[bytes]) -> Block:
+    def read(cls, texts: list[bytes], order: int = 2) -> Block:
         known = {END: 0}
         rows = []
         for data in texts:
             words = data.lower().split()
             words.append(END)
-            rows.append(np.array([known.setdefault(w, len(known)) for w in words], np.int64))
-        tokens = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            rows.append(np.array([known.setdefault(w, len(known)) for w in words], np.int32))
+        tokens = np.concatenate(rows) if rows else np.zeros(0, np.int32)
         starts = np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int64)
         hashes = np.array([word_hash(w) for w in known], np.uint64)
-        before = np.r_[0, tokens[:-1]] if len(tokens) else tokens  # the end of one text is the start of the next
-        pairs, pair_of = np.unique(before * len(known) + tokens, return_inverse=True)
-        return cls(hashes, tokens, starts, pairs, pair_of)
-
-    @property
-    def left(self) -> np.ndarray:
-        return self.pairs // len(self.hashes)
-
-    @property
-    def right(self) -> np.ndarray:
-        return self.pairs % len(self.hashes)
+        grams: list[Grams] = []
+        # The end of one text is the start of the next, so every token has a word before it.
+        context, shorter = np.r_[np.zeros(1, np.int32), tokens[:-1]][: len(tokens)], tokens
+        for _ in range(2, order + 1):
+            valid = np.flatnonzero(context >= 0)
+            code, index, which = np.unique(context[valid].astype(np.int64) * len(known) + tokens[valid], return_index=True, return_inverse=True)
+            left, right = (code // len(known)).astype(np.int32), (code % len(known)).astype(np.int32)
+            of = np.full(len(tokens), -1, np.int32)
+            of[valid] = which
+            over = grams[-1].hashes if grams else hashes
+            grams.append(Grams(left, right, shorter[valid[index]], of, pair_hash(over[left], hashes[right])))
+            shorter = of
+            context = np.r_[np.full(1, -1, np.int32), of[:-1]][: len(tokens)]
+            context[starts[:-1]] = -1
+        return cls(hashes, tokens, starts, grams)
 
     def keys(self) -> np.ndarray:
-        return np.r_[self.hashes, pair_hash(self.hashes[self.left], self.hashes[self.right])]
+        return np.concatenate([self.hashes, *(g.hashes for g in self.grams)])
 
     def counts(self, train: np.ndarray) -> np.ndarray:
         """How often each key occurs in the training texts of the block."""
-        used = np.repeat(train, np.diff(self.starts)).astype(np.float64)
-        words = np.bincount(self.tokens, used, len(self.hashes))
-        return np.r_[words, np.bincount(self.pair_of, used, len(self.pairs))].astype(np.int64)
+        used = np.repeat(train, np.diff(self.starts))
+        parts = [np.bincount(self.tokens[used], minlength=len(self.hashes))]
+        for g in self.grams:
+            of = g.of[used]
+            parts.append(np.bincount(of[of >= 0], minlength=len(g.left)))
+        return np.concatenate(parts).astype(np.int64)
 
 
 @dataclass
 class Automaton:
-    """The states and arcs that the texts of a block can reach."""
+    """The states and arcs that the texts of a block can reach.
+
+    State 0 is the root; then come the words and the longer contexts that
+    training texts hold. Arcs are sorted by ``state * words + word``.
+    """
 
+    words: int
     root: np.ndarray  # per word: weight of the root's arc
-    failure: np.ndarray  # per word: weight of the failure arc of its state
-    arc: np.ndarray  # per pair: weight of the arc, or of failure and root arc where there is none
-    seen: np.ndarray  # per word: whether it has a state
+    after_root: np.ndarray  # per word: the state that the root's arc leads to
+    seen: np.ndarray  # per word: whether training texts hold it
+    failure: np.ndarray  # per state: weight of its failure arc
+    back: np.ndarray  # per state: where its failure arc leads, the context without its first word
+    arc: np.ndarray
+    weight: np.ndarray
+    target: np.ndarray
 
     @classmethod
     def build(cls, block: Block, totals: np.ndarray, n: int, v: int, mu: float) -> Automaton:
-        words, pairs = totals[: len(block.hashes)], totals[len(block.hashes) :]
-        p = (words + 0.5) / (n + 0.5 * (v + 1))
-        failure = np.log10(mu / (words + mu))
-        left, right = block.left, block.right
-        arc = np.where(pairs > 0, np.log10((pairs + mu * p[right]) / (words[left] + mu)), failure[left] + np.log10(p[right]))
-        return cls(np.log10(p), failure, arc, words > 0)
+        size = len(block.hashes)
+        ends = np.cumsum([size, *(len(g.left) for g in block.grams)])
+        counts = np.split(totals, ends[:-1])
+        first = np.r_[1, 1 + ends[:-1]].astype(np.int64)  # first state of each length
+        p = (counts[0] + 0.5) / (n + 0.5 * (v + 1))
+        root, state = np.log10(p), 1 + np.arange(size)
+        after_root = np.where((counts[0] > 0) & bool(block.grams), state, 0)
+        back = [np.zeros(1, np.int64), np.zeros(size, np.int64)]
+        arcs, weights, targets = [], [], []
+        for k, g in enumerate(block.grams):
+            own = counts[k + 1]
+            # Seen or not, the weight is that of the smoothed count; an unseen sequence has no arc and gets the same by failure.
+            p = (own + mu * p[g.suffix]) / (counts[k][g.left] + mu)
+            shorter = first[k] + g.suffix
+            there = own > 0
+            arcs.append((first[k] + g.left[there]) * size + g.right[there])
+            weights.append(np.log10(p[there]))
+            last = k + 1 == len(block.grams)
+            targets.append((shorter if last else first[k + 1] + np.arange(len(own)))[there].astype(np.int32))
+            if not last:
+                back.append(shorter)
+        held = np.concatenate(counts[: len(back) - 1])
+        failure = np.r_[0.0, np.log10(mu / (held + mu))]
+        none = [np.zeros(0, np.int64)]
+        return cls(size, root, after_root, counts[0] > 0, failure, np.concatenate(back), np.concatenate(arcs or none), np.concatenate(weights or none), np.concatenate(targets or none))
 
     def traverse(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per text: log10 probability, the same by the root alone, and the number of known tokens."""
-        if not len(block.starts) - 1:
+        """Per text: log10 probability, the same by the root alone, and the number of known tokens.
+
+        All texts are read side by side from left to right, the longest first,
+        so those that still go on are the first ones.
+        """
+        length = np.diff(block.starts)
+        if not len(length):
             return np.zeros(0), np.zeros(0), np.zeros(0, np.int64)
+        by = np.argsort(-length, kind="stable")
+        start, running = block.starts[:-1][by], np.searchsorted(-length[by], -np.arange(length.max()), side="left")
+        score, state = np.zeros(len(by)), np.full(len(by), self.after_root[0], np.int64)
+        for t, m in enumerate(running.tolist()):
+            word = block.tokens[start[:m] + t]
+            open_ = np.arange(m)
+            while len(open_):
+                now, w = state[open_], word[open_]
+                code = now * self.words + w
+                at = np.minimum(np.searchsorted(self.arc, code), max(len(self.arc) - 1, 0))
+                hit = (self.arc[at] == code) if len(self.arc) else np.zeros(len(code), bool)
+                free = ~hit & (now == 0)
+                done, end = open_[hit], open_[free]
+                score[done] += self.weight[at[hit]]
+                state[done] = self.target[at[hit]]
+                score[end] += self.root[w[free]]
+                state[end] = self.after_root[w[free]]
+                left = ~hit & ~free
+                open_ = open_[left]
+                score[open_] += self.failure[now[left]]
+                state[open_] = self.back[now[left]]
+        out = np.empty(len(by))
+        out[by] = score
         at = block.starts[:-1]
-        return (
-            np.add.reduceat(self.arc[block.pair_of], at),
-            np.add.reduceat(self.root[block.tokens], at),
-            np.add.reduceat(self.seen[block.tokens].astype(np.int64), at),
-        )
+        return out, np.add.reduceat(self.root[block.tokens], at), np.add.reduceat(self.seen[block.tokens].astype(np.int64), at)
 
 
 def _blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
@@ -139,7 +210,7 @@ def _blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
     return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")), n
 
 
-def lm_scores(docs: DataFrame, train: str = "train", mu: float = MU, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame, train: str = "train", mu: float = MU, block_bytes: int = BLOCK_BYTES, order: int = 2) -> DataFrame:
     """One row per document of ``docs`` (doc_id, text, and a boolean column named by ``train``).
 
     Columns: doc_id, train, n_tokens, n_known, train_tokens, vocabulary, base_score, score.
@@ -152,10 +223,10 @@ def lm_scores(docs: DataFrame, train: str = "train", mu: float = MU, block_bytes
         return [t.encode() if isinstance(t, str) else b"" for t in frame["text"]]
 
     def ask(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        block = Block.read(texts_of(frame))
+        block = Block.read(texts_of(frame), order)
         keys = block.keys()
-        order = np.argsort(keys)
-        keys, counts = keys[order], block.counts(frame["train"].to_numpy(bool))[order]
+        by = np.argsort(keys)
+        keys, counts = keys[by], block.counts(frame["train"].to_numpy(bool))[by]
         bucket = _bucket(keys, n)
         cut = np.searchsorted(bucket, np.arange(n + 1))
         parts = [(k, key[0], keys[a:b].tobytes(), counts[a:b].astype("<u4").tobytes()) for k, a, b in zip(range(n), cut[:-1], cut[1:], strict=True)]
@@ -180,11 +251,11 @@ def lm_scores(docs: DataFrame, train: str = "train", mu: float = MU, block_bytes
         )
 
     def walk(key: tuple, frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        block = Block.read(texts_of(frame))
-        order = np.argsort(block.keys())
+        block = Block.read(texts_of(frame), order)
+        by = np.argsort(block.keys())
         told = told.sort_values("bucket")
-        totals = np.empty(len(order), np.float64)
-        totals[order] = np.concatenate([_wide(t) for t in told["totals"]])
+        totals = np.empty(len(by), np.float64)
+        totals[by] = np.concatenate([_wide(t) for t in told["totals"]])
         n_tokens, v = int(told["n"].sum()), int(told["v"].sum())
         automaton = Automaton.build(block, totals, n_tokens, v, mu)
         score, base, known = automaton.traverse(block)
