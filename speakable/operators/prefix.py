@@ -22,11 +22,14 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
     A session that names none gets a folder beside its tables, on the file
-    system of the warehouse, which executors reach as well.
+    system of the warehouse. On a cluster that must not be a disk of one machine.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local" and warehouse.startswith(("/", "file:")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        folder = warehouse.rstrip("/") + "/_scratch"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder

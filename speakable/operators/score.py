@@ -99,13 +99,31 @@ def error_totals(scored: DataFrame, *keys: str) -> DataFrame:
     return class_scores(scored, *keys).groupBy(*keys).agg(F.sum("errors").alias("errors"))
 
 
+def _is_unrecoverable() -> Column:
+    numeric = F.arrays_overlap("classes", F.array(*[F.lit(c) for c in NUMERIC_CLASSES]))
+    return ~F.col("correct") & F.coalesce(numeric, F.lit(False))
+
+
+def unrecoverable_examples(scored: DataFrame, limit: int, slices: list[str], key: str = "pair_id") -> DataFrame:
+    """First unrecoverable errors of each slice by key."""
+    return first_rows(scored.filter(_is_unrecoverable()), limit, slices, [key])
+
+
+def preferred(classes: DataFrame, slice_col: str, order: list[str], *keys: str) -> DataFrame:
+    """Rows of the first slice of ``order`` that a key has; keys with none of them have no rows."""
+    rank = F.when(F.lit(False), 0)
+    for k, name in enumerate(order):
+        rank = rank.when(F.col(slice_col) == name, k)
+    ranked = classes.withColumn("_rank", rank).filter("_rank IS NOT NULL")
+    best = ranked.groupBy(*keys).agg(F.min("_rank").alias("_rank"))
+    return ranked.join(best, [*keys, "_rank"], "left_semi").drop("_rank")
+
+
 def unrecoverable(scored: DataFrame, *keys: str) -> DataFrame:
     """Errors on rows with a numeric class: count and rate over all rows."""
-    numeric = F.arrays_overlap("classes", F.array(*[F.lit(c) for c in NUMERIC_CLASSES]))
-    bad = ~F.col("correct") & F.coalesce(numeric, F.lit(False))
     return (
         scored.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("n_unrecoverable"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(_is_unrecoverable()).alias("n_unrecoverable"))
         .withColumn("rate", ratio(F.col("n_unrecoverable"), F.col("n")))
     )
 

@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 
+from ..functions.scanning import normalize
 from ..operators import clips as K
+from ..operators import job as J
 from ..operators import monitor as M
 from ..operators import quality as Q
 from ..operators import timeline as T
@@ -17,7 +19,7 @@ from ..sources.files import read_files
 from ..streaming import jobs as ST
 from . import sql as q
 from .corpus import _SIZES, _SPLITS, _splits
-from .inputs import LINE, clips, jobs, table, talk_segments
+from .inputs import LINE, clips, dealt, jobs, table, talk_segments
 from .registry import query
 from .text import _JOBS, segmented
 
@@ -93,24 +95,90 @@ def decide(spark, sf):
     return Q.decide_normalization(_joined(spark, sf)).drop("doc_id", "baseline_text", "model_text", "model_confidence")
 
 
+# An adviser that settles two of three unsure turns, and clips that fail by text length.
+_SETTLED = f"""{_DECIDED}, settled AS (SELECT d.*, c.turn, d.flagged AND c.turn % 3 <> 0 AS escalated, length(c.text) % 11 = 0 AS failed
+  FROM decided d JOIN conversations c ON d.segment_id = c.conv_id || '-' || c.turn)"""
+
+
+def _advice(spark, sf):
+    c = table(spark, sf, "conversations").filter(F.col("turn") % 3 != 0)
+    return c.select(F.concat_ws("-", "conv_id", "turn").alias("segment_id"), F.upper("text").alias("text"), F.lit("it reads better").alias("rationale"))
+
+
+def _checks(spark, sf):
+    return table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("segment_id"), (F.length("text") % 11 != 0).alias("passed"))
+
+
+def _settled(spark, sf):
+    return J.escalate(Q.decide_normalization(_joined(spark, sf)), _advice(spark, sf))
+
+
+@query(
+    "op_escalate",
+    f"""WITH {_SETTLED} SELECT segment_id, escalated, flagged AND NOT escalated AND NOT failed OR failed AS flagged, CASE WHEN escalated THEN 'llm' WHEN none THEN 'rule' ELSE 'neural' END AS source,
+        trim(CASE WHEN escalated THEN 'llm: it reads better' ELSE flag_reason END || CASE WHEN failed THEN '; audio_qa_failed' ELSE '' END, '; ') AS flag_reason FROM settled""",
+)
+def escalated(spark, sf):
+    """Decisions after the adviser and the clip checks."""
+    rows = J.flag_failed_clips(_settled(spark, sf), _checks(spark, sf))
+    return rows.select("segment_id", "escalated", "flagged", "source", "flag_reason")
+
+
 @query(
     "agg_normalization_summary",
-    f"""WITH {_DECIDED} SELECT doc_id, count(*) AS n, count(*) FILTER (flagged) AS n_flagged, 0::BIGINT AS n_escalated,
+    f"""WITH {_SETTLED} SELECT doc_id, count(*) AS n, count(*) FILTER (flagged AND NOT escalated) AS n_flagged, count(*) FILTER (escalated) AS n_escalated,
         count(*) FILTER (disagree) AS n_disagree, round_even(avg(confidence), 4) AS mean_confidence,
-        CASE WHEN n_flagged > 0 THEN 'flagged' ELSE 'confident' END AS branch FROM decided GROUP BY doc_id""",
+        CASE WHEN n_escalated > 0 THEN 'escalated' WHEN n_flagged > 0 THEN 'flagged' ELSE 'confident' END AS branch FROM settled GROUP BY doc_id""",
 )
 def normalization_summary(spark, sf):
-    return Q.normalization_summary(Q.decide_normalization(_joined(spark, sf)))
+    return Q.normalization_summary(_settled(spark, sf))
 
 
 @query(
     "agg_job_status",
-    f"""WITH {_DECIDED} SELECT d.doc_id, count(x.doc_id) AS n_segments, count(*) FILTER (flagged) AS n_flagged,
-        CASE WHEN count(x.doc_id) = 0 THEN 'failed' WHEN count(*) FILTER (flagged) > 0 THEN 'needs_review' ELSE 'completed' END AS status
-        FROM documents d LEFT JOIN decided x USING (doc_id) GROUP BY d.doc_id""",
+    f"""WITH {_SETTLED}, f AS (SELECT doc_id, flagged AND NOT escalated OR failed AS bad FROM settled)
+        SELECT d.doc_id, count(x.doc_id) AS n_segments, count(*) FILTER (bad) AS n_flagged,
+        CASE WHEN count(x.doc_id) = 0 THEN 'failed' WHEN count(*) FILTER (bad) > 0 THEN 'needs_review' ELSE 'completed' END AS status,
+        CASE WHEN count(x.doc_id) = 0 THEN 'failed' ELSE 'normalized' END AS text_status
+        FROM documents d LEFT JOIN f x USING (doc_id) GROUP BY d.doc_id""",
 )
 def job_status(spark, sf):
-    return Q.job_status(table(spark, sf, "documents"), Q.decide_normalization(_joined(spark, sf)))
+    """With clips, where failed ones flag their segment, and as a job that ends with its texts."""
+    docs, rows = table(spark, sf, "documents"), J.flag_failed_clips(_settled(spark, sf), _checks(spark, sf))
+    text = Q.job_status(docs, rows, text_only=True).select("doc_id", F.col("status").alias("text_status"))
+    return Q.job_status(docs, rows).join(text, "doc_id")
+
+
+@query(
+    "op_job",
+    f"""WITH {_SETTLED}, s AS (SELECT t.*, c.text, CASE role WHEN 'system' THEN 'heading' WHEN 'user' THEN 'dialogue' ELSE 'narrator' END AS voice
+          FROM settled t JOIN conversations c ON t.segment_id = c.conv_id || '-' || c.turn),
+        j AS (SELECT doc_id, max(turn) // 3 + 1 AS n_chapters, count(*) AS n_segments, count(*) FILTER (flagged AND NOT escalated OR failed) AS n_flagged,
+          count(*) FILTER (escalated) AS n_escalated, count(*) FILTER (NOT none AND turn % 2 = 1) AS n_disagree, round_even(sum(confidence::DECIMAL(20, 8))::DOUBLE / count(*), 4) AS mean_confidence,
+          count(*) FILTER (NOT failed) AS n_pass, count(*) FILTER (failed) AS n_fail, count(*) FILTER (flagged AND NOT escalated) AS unsure,
+          sum(length(text))::DOUBLE AS chars, sum(length(regexp_replace(text, '[^\\p{{L}}\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]', '', 'g')))::DOUBLE AS letters, bool_or(voice = 'heading') AS headed,
+          concat_ws(', ', CASE WHEN count(*) FILTER (voice = 'dialogue') > 0 THEN 'dialogue:' || count(*) FILTER (voice = 'dialogue') END,
+            CASE WHEN count(*) FILTER (voice = 'heading') > 0 THEN 'heading:' || count(*) FILTER (voice = 'heading') END,
+            CASE WHEN count(*) FILTER (voice = 'narrator') > 0 THEN 'narrator:' || count(*) FILTER (voice = 'narrator') END) AS voices FROM s GROUP BY doc_id),
+        p AS (SELECT *, CASE WHEN chars < 20 THEN 0.15::DOUBLE ELSE round_even(least(1.0::DOUBLE, 0.5::DOUBLE * (letters / chars) + 0.3::DOUBLE * CASE WHEN n_chapters > 1 OR headed THEN 1.0::DOUBLE ELSE 0.65::DOUBLE END
+          + 0.2::DOUBLE * CASE WHEN chars / n_segments BETWEEN 10 AND 2000 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END), 4) END AS parse_score FROM j)
+        SELECT d.doc_id, coalesce(n_chapters, 0) AS n_chapters, coalesce(n_segments, 0) AS n_segments, coalesce(n_flagged, 0) AS n_flagged, coalesce(n_escalated, 0) AS n_escalated,
+          coalesce(n_disagree, 0) AS n_disagree, mean_confidence, coalesce(n_pass, 0) AS n_pass, coalesce(n_fail, 0) AS n_fail, coalesce(parse_score, 0.0::DOUBLE) AS parse_score,
+          CASE WHEN parse_score >= 0.85 THEN 'structured' WHEN parse_score >= 0.5 THEN 'assisted' ELSE 'degraded' END AS route,
+          CASE WHEN n_escalated > 0 THEN 'escalated' WHEN unsure > 0 THEN 'flagged' ELSE 'confident' END AS normalization,
+          CASE WHEN coalesce(n_fail, 0) = 0 THEN 'all_pass' ELSE 'some_failed' END AS clips, coalesce(voices, '') AS voices,
+          CASE WHEN n_segments IS NULL THEN 'failed' WHEN n_flagged > 0 THEN 'needs_review' ELSE 'completed' END AS status
+        FROM documents d LEFT JOIN p USING (doc_id)""",
+)
+def whole_job(spark, sf):
+    """Documents whose segments are the turns of the conversation of their number, from text to state in one plan."""
+    turn = F.col("chapter_index") * 3 + F.col("seg_order")
+    segs = dealt(talk_segments(spark, sf)).withColumn("segment_id", F.concat_ws("-", "doc_id", turn.cast("string")))
+    base = normalize(F.col("text"))
+    said = F.when(turn % 2 == 0, base).otherwise(F.concat(base, F.lit(" indeed")))
+    model = segs.filter(turn % 3 != 2).select("segment_id", said.alias("text"), (F.length("text") % 100 / 100.0).alias("confidence"))
+    rows = J.job_rows(segs, model, _checks(spark, sf), _advice(spark, sf))
+    return J.job_states(table(spark, sf, "documents"), rows)
 
 
 # Embeddings as clips: 64 samples at 100 Hz, a text of 0 to 39 characters, the label as book.
@@ -539,19 +607,19 @@ def stream_normalize(spark, sf):
     return _stored(spark, ST.normalize_documents(docs, sep=LINE))
 
 
-_SPLIT_COUNTS = _SPLITS + "SELECT split, count(*) AS n FROM splits GROUP BY split"
+_ALL_SPLITS = _SPLITS + "SELECT * FROM splits"
 _WRITTEN = "pair_id long, before string, after string, classes array<string>, hard boolean, split string"
 
 
-@query("sink_splits", _SPLIT_COUNTS)
+@query("sink_splits", _ALL_SPLITS)
 def written_splits(spark, sf):
-    """Write the splits as JSON folders, read them back and count."""
+    """Write the splits as JSON folders and read them back."""
     folder = f"{scratch_dir(spark)}/splits-{uuid.uuid4().hex}"
     sinks.write_splits(_splits(spark, sf), folder, n_test=0, n_hard=500, **_SIZES)
-    return spark.read.schema(_WRITTEN).json(f"{folder}/splits").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.schema(_WRITTEN).json(f"{folder}/splits").drop("classes")
 
 
-@query("op_cached_splits", _SPLIT_COUNTS)
+@query("op_cached_splits", _ALL_SPLITS)
 def cached_splits(spark, sf):
     """Build once, then take the written splits although the test size differs."""
     folder = f"{scratch_dir(spark)}/splits-{uuid.uuid4().hex}"
@@ -560,4 +628,4 @@ def cached_splits(spark, sf):
         rows = sinks.cached_splits(
             spark, folder, lambda: _splits(spark, sf), _WRITTEN, seed=42, n_test=n_test, n_hard=500, **_SIZES
         )
-    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    return rows.drop("classes")

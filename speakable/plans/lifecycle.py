@@ -210,3 +210,24 @@ _LANES = " || ',' || ".join(f"sum(('0x' || substr(d, {1 + 15 * i}, 15))::HUGEINT
 )
 def rows_fingerprint(spark, sf):
     return files.rows_fingerprint(table(spark, sf, "documents"), "lang")
+
+
+@query(
+    "sort_preferred_classes",
+    f"""WITH {_ANSWERS}, per AS (SELECT version, slice, cls, round_even(count(*) FILTER (correct)::DOUBLE / count(*), 4) AS accuracy FROM flat WHERE NOT (version = 'v2' AND slice = 'de') GROUP BY ALL)
+        SELECT version, slice, cls, accuracy FROM per WHERE slice = CASE WHEN version = 'v2' THEN 'en' ELSE 'de' END ORDER BY accuracy, cls""",
+)
+def report_classes(spark, sf):
+    """The report's class table: of the hard slice where a version has it, else of the test slice; one version lacks the former."""
+    rows = _answers(spark, sf).filter("NOT (version = 'v2' AND slice = 'de')")
+    per = C.class_scores(rows, "version", "slice")
+    return C.worst_classes(C.preferred(per, "slice", ["de", "en"], "version")).select("version", "slice", "cls", "accuracy")
+
+
+@query(
+    "win_unrecoverable_examples",
+    f"""WITH {_ANSWERS} SELECT version, slice, pair_id FROM answers WHERE NOT correct AND (list_contains(classes, 'MONEY') OR list_contains(classes, 'CARDINAL'))
+        QUALIFY row_number() OVER (PARTITION BY version, slice ORDER BY pair_id) <= 12""",
+)
+def unrecoverable_examples(spark, sf):
+    return C.unrecoverable_examples(_answers(spark, sf), 12, ["version", "slice"]).select("version", "slice", "pair_id")

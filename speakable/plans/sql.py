@@ -115,6 +115,7 @@ def quoted(options: list[str]) -> str:
 
 
 # Sentence splitting without look-around: mark gaps, then undo those after abbreviations.
+# The abbreviations.
 _ABBR = r"Mr|Mrs|Ms|Dr|Prof|St|Jr|Sr|vs|etc|Inc|Ltd|Corp|Dept|No|Vol|Ch|Fig|Ave|Blvd|Rd|Mt|e\.g|i\.e"
 
 

@@ -270,7 +270,7 @@ _VOICES = {"narrator": 7, "dialogue": 999_999_999, "heading": 50}
         i AS (SELECT *, least(CASE voice WHEN 'dialogue' THEN 999999999 WHEN 'heading' THEN 50 ELSE 7 END,
           (SELECT count(*) - 1 FROM embeddings)) AS vec_id FROM v)
         SELECT conv_id, turn, voice, vec_id::BIGINT AS vec_id, embedding[1]::DOUBLE AS first_value,
-          len(embedding)::BIGINT AS width FROM i JOIN embeddings USING (vec_id)""",
+          round(list_sum(list_transform(embedding, lambda v: v::DOUBLE)), 4) AS total, len(embedding)::BIGINT AS width FROM i JOIN embeddings USING (vec_id)""",
 )
 def voice_vectors(spark, sf):
     rows = table(spark, sf, "conversations").select(
@@ -285,6 +285,7 @@ def voice_vectors(spark, sf):
     return joined.select(
         "conv_id", "turn", "voice", "vec_id",
         F.get("vector", F.lit(0)).alias("first_value"), F.size("vector").alias("width"),
+        F.round(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v.cast("double")), 4).alias("total"),
     )
 
 

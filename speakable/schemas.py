@@ -23,6 +23,7 @@ DEFAULTS = {
     "drift_limit": 0.1,
     "drift_min_jobs": 6,
 }
+# Rows of the voice vectors, and the states of a job.
 VOICE_INDEX = {"narrator": 7306, "dialogue": 1284, "heading": 5022, "alt_male": 6799}
 STATUSES = [
     "pending", "parsed", "normalized", "synthesized", "qa_done", "completed", "needs_review", "failed",

@@ -220,3 +220,22 @@ def test_stream_dedup(spark, tmp_path):
     stream = _stream_copy(spark, df, tmp_path / "in")
     ST.store_stream(ST.dedup_jobs(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_no_scratch_folder_of_one_machine_on_a_cluster(spark, monkeypatch):
+    from speakable.operators import prefix
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: "file:/tmp/warehouse" if "warehouse" in key else None)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        prefix.scratch_dir(Session())
