@@ -36,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -291,13 +292,16 @@ def coded_documents(docs: DataFrame, model: str, text: str = "text") -> DataFram
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = pieces(model)
         for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            for at, run in steps(texts, STEP_BYTES):
-                ids = made.encode(texts[at : at + len(run)])
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                # Texts become strings a run at a time, not a batch at a time.
+                end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + STEP_BYTES, side="right")))
+                here, at = batch.slice(at, end - at), end
+                ids = made.encode([t or "" for t in here.column(text).to_pylist()])
                 counts = np.array([len(x) for x in ids], np.int64)
                 ends = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids).astype(np.int32)))
-                here = batch.slice(at, len(run))
                 columns = [here.column(c) for c in kept] + [lists, pa.array(counts), pa.array([made.decode(x) for x in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, [*kept, *new])
 
