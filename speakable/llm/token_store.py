@@ -52,7 +52,9 @@ BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b n
 # The rules of plain byte-level tokenizer files.
 BYTE_SPEC = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
 #: Bytes of text that are coded together.
-STEP_BYTES = 4_000_000
+STEP_BYTES = 6_000_000
+#: Words, and parts of words, that a worker keeps the ids of.
+KEPT_WORDS, KEPT_PARTS = 200_000, 300_000
 
 
 class BpeEncoder:
@@ -75,8 +77,8 @@ class BpeEncoder:
         ids = self.tokenizer.get_vocab(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if max(ids.values()) < 1 << 16 else "<u4")
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.coder = WordCoder(self._encode, self.dtype, lambda text: not by_word or any(s in text for s in special))
-        self.parts = Parts(self._part)
+        self.coder = WordCoder(self._encode, self.dtype, lambda text: not by_word or any(s in text for s in special), KEPT_WORDS)
+        self.parts = Parts(self._part, KEPT_PARTS)
 
     def _part(self, part: str) -> bytes:
         if part.isascii() and part.isprintable():
