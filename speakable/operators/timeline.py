@@ -43,22 +43,24 @@ def timeline(
     buckets = rows.groupBy(*group).agg(
         F.sum("_step").alias("_sum"), F.max_by("_gap", "seg_order").alias("_last_gap"), F.sum("_cue").alias("_cues")
     )
-    # From here one row per bucket, never one per segment. Sums over buckets go by
-    # ranges of chapters, so a document of very many chapters is no single window.
-    ranges = F.floor(F.col("chapter_index") / range_chapters)
-    chapters = buckets.groupBy(doc, "chapter_index").agg(F.max("_cut").alias("_last_cut"))
-    chapters = running_sum(chapters, [doc], ["chapter_index"], F.lit(1).cast("bigint"), "chapter_no", bucket=ranges)
-    books = chapters.groupBy(doc).agg(F.max("chapter_index").alias("_last_chapter"))
-    closing = F.col("_cut") == F.col("_last_cut")
-    gap = F.when(F.col("chapter_index") == F.col("_last_chapter"), 0).otherwise(chapter_gap)
-    carry = buckets.join(chapters, [doc, "chapter_index"]).join(books, doc)
-    carry = carry.withColumn("_total", F.col("_sum") + F.when(closing, gap - F.col("_last_gap")).otherwise(0))
-    carry = running_sum(carry, [doc], ["chapter_index", "_cut"], F.col("_total"), "_base", bucket=ranges)
-    if number_cues:
-        carry = running_sum(carry, [doc], ["chapter_index", "_cut"], F.col("_cues"), "_cue_base", bucket=ranges)
-    else:
-        carry = carry.withColumn("_cue_base", F.lit(0).cast("bigint"))
-    carry = carry.select(*group, "_base", "_cue_base", "chapter_no")
+    # From here one row per bucket, never one per segment. Chapters are summed by ranges,
+    # so a document of very many chapters is no single window.
+    sum_over = lambda value, over: F.coalesce(F.sum(value).over(over.rowsBetween(*BEFORE)), F.lit(0))
+    in_chapter = Window.partitionBy(doc, "chapter_index").orderBy("_cut")
+    buckets = buckets.withColumn("_in", sum_over("_sum", in_chapter)).withColumn("_cues_in", sum_over("_cues", in_chapter))
+    # The gap behind the last chapter is added as well; nothing comes after it.
+    chapters = buckets.groupBy(doc, "chapter_index").agg(
+        (F.sum("_sum") - F.max_by("_last_gap", "_cut") + chapter_gap).alias("_total"), F.sum("_cues").alias("_all_cues"), F.lit(1).cast("bigint").alias("_one")
+    )
+    chapters = chapters.withColumn("_range", F.floor(F.col("chapter_index") / range_chapters))
+    values = ["_total", "_all_cues", "_one"]
+    in_book, in_range = Window.partitionBy(doc).orderBy("_range"), Window.partitionBy(doc, "_range").orderBy("chapter_index")
+    ranges = chapters.groupBy(doc, "_range").agg(*(F.sum(v).alias(v) for v in values))
+    ranges = ranges.select(doc, "_range", *(sum_over(v, in_book).alias(f"{v}_before") for v in values))
+    chapters = chapters.join(ranges, [doc, "_range"]).select(doc, "chapter_index", *((F.col(f"{v}_before") + sum_over(v, in_range)).alias(v) for v in values))
+    carry = buckets.join(chapters, [doc, "chapter_index"]).select(
+        *group, (F.col("_total") + F.col("_in")).alias("_base"), (F.col("_all_cues") + F.col("_cues_in")).alias("_cue_base"), F.col("_one").alias("chapter_no")
+    )
     inner = Window.partitionBy(*group).orderBy("seg_order")
     timed = (
         rows.join(carry, group)
