@@ -484,7 +484,7 @@ _SEGMENTS = f"""SELECT doc_id, chapter_index, (first_order + nr - 1)::BIGINT AS
   FROM (SELECT *, unnest(pieces) AS p, generate_subscripts(pieces, 1) AS nr FROM b6)"""
 
 
-@query("op_segments", f"WITH {q.book_ctes(_LINES)} {_SEGMENTS}")
+@query("op_segments", f"WITH {q.book_ctes(_LINES, undo=2)} {_SEGMENTS}")
 def segment_documents(spark, sf):
     return segmented(spark, sf)
 
