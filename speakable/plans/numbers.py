@@ -140,7 +140,8 @@ def rule_money(spark, sf):
 )
 def rule_telephone(spark, sf):
     number = (F.lit(5_550_000_000) + F.col("c_custkey") * 7919).cast("string")
-    a, b, c = F.substring(number, 1, 3), F.substring(number, 4, 3), F.substring(number, 7, 4)
+    # The last group takes all further digits: keys from 561,940 on make numbers of eleven.
+    a, b, c = F.substring(number, 1, 3), F.substring(number, 4, 3), F.substr(number, F.lit(7))
     surface = F.when(F.col("c_custkey") % 2 == 0, F.concat_ws("-", a, b, c)).otherwise(
         F.concat(F.lit("("), a, F.lit(") "), b, F.lit("."), c)
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from speakable.functions import readings as R
 from speakable.functions import words as W
+from speakable.plans.numbers import rule_telephone
 
 READINGS = [
     ("MONEY", "$5.2M", "five point two million dollars"),
@@ -123,3 +124,12 @@ def test_long_numbers(spark):
     numbers = ["1" + "0" * k for k in (17, 18, 19, 30, 63, 65, 66, 70)] + [str(rng.randrange(10**k)) for k in range(15, 66, 3)]
     df = spark.createDataFrame([(n,) for n in numbers], "n string").select("n", W.cardinal(F.col("n")).alias("said"))
     assert {r.n: r.said for r in df.collect()} == {n: plain(n) for n in numbers}
+
+
+def test_telephone_says_every_digit(spark, tmp_path):
+    """Numbers of ten and, with large keys, of eleven digits."""
+    keys = [7, 561_938, 900_000, 900_001]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey bigint").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    names = ["oh", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+    got = {r.id: r.spoken for r in rule_telephone(spark, str(tmp_path)).collect()}
+    assert got == {k: " ".join(names[int(d)] for d in str(5_550_000_000 + k * 7919)) for k in keys}
