@@ -6,7 +6,8 @@ next stage's documents, so a lost executor costs at most one stage's tasks.
 
 1. toxicity: documents that the weakly supervised classifier rejects go.
 2. line_dedup: lines that are boilerplate of their source leave the texts.
-3. near_dedup: documents go whose five-word shingles have a Jaccard similarity of 0.8 or more to one that stays.
+3. near_dedup: documents go whose five-word shingles have a Jaccard similarity of 0.8 or more to one that stays;
+   fingerprints that hang together and shared bands name the candidates.
 4. decontaminate: documents that hold a benchmark item go.
 5. pieces: texts are encoded with SentencePiece and decoded again.
 

@@ -1,10 +1,13 @@
 """One of each set of near copies, by the Jaccard similarity of distinct word shingles.
 
-Candidates share a band: the minima of ``ROWS`` seeded hashes over a text's
+Candidates come from the fingerprints of ``simhash`` first: each text of a group
+whose fingerprints hang together is compared with the group's first one. Fingerprints
+reach few of the pairs at 0.8, so texts that share a band are candidates as well:
+the minima of ``ROWS`` seeded hashes over a text's
 shingles, for ``BANDS`` independent groups of seeds. Two texts of similarity J
 share one with probability 1 - (1 - J^ROWS)^BANDS, which is 0.9998 at 0.8. A
-candidate is only dropped after its shingles were compared, all of them, with
-those of the text that it would be dropped for.
+candidate of either kind is only dropped after its shingles were compared, all of
+them, with those of the text that it would be dropped for.
 
 Texts are taken in the order of the hash of their words: one stays unless one before it
 that stays is similar to it. So nothing is dropped over a chain of links, and
@@ -24,7 +27,7 @@ text with fewer words than a shingle is one shingle; all texts without words
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -57,6 +60,15 @@ def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
     return np.array([hash_(joined[a:b], SEED) for a, b in zip(begin, stop, strict=True)], np.uint64)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Fingerprint of a text: the bits set in over half of its shingle hashes."""
+    count = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65_536):
+        bits = hashes[at : at + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8)
+        count += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * count > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def band_keys(hashes: list[np.ndarray]) -> np.ndarray:
     """Keys (texts x BANDS) of texts that have shingles."""
     least = np.full((len(hashes), BANDS * ROWS), ~np.uint64(0))
@@ -79,20 +91,23 @@ def band_keys(hashes: list[np.ndarray]) -> np.ndarray:
 
 
 def sketch(text: Column, shingle: int) -> Column:
-    """Struct of ``unit``, a 128-bit hash of the words, and ``keys``, the bands."""
+    """Struct of ``unit``, a 128-bit hash of the words, ``bits``, their fingerprint, and ``keys``, the bands."""
 
-    @F.pandas_udf("unit binary, keys array<long>")
+    @F.pandas_udf("unit binary, bits long, keys array<long>")
     def make(texts: pd.Series) -> pd.DataFrame:
-        units, keys = [], []
+        units, bits, keys = [], [], []
         for _, run in steps(texts):
             words = [data.lower().split() for data in run]
             units += [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
             full = [i for i, w in enumerate(words) if w]
             own: list[np.ndarray] = [np.zeros(0, np.int64)] * len(run)
-            for i, k in zip(full, band_keys([shingle_hashes(words[i], shingle) for i in full]), strict=True):
-                own[i] = k
+            hashes = [shingle_hashes(words[i], shingle) for i in full]
+            prints = np.zeros(len(run), np.uint64)
+            for i, h, k in zip(full, hashes, band_keys(hashes), strict=True):
+                prints[i], own[i] = majority(h), k
+            bits += prints.view(np.int64).tolist()
             keys += own
-        return pd.DataFrame({"unit": units, "keys": keys})
+        return pd.DataFrame({"unit": units, "bits": bits, "keys": keys})
 
     return make(text)
 
@@ -121,15 +136,25 @@ def _leads(members: DataFrame, most: int) -> DataFrame:
     return members.withColumn("rank", rank).filter(F.col("rank") <= most).select("key", F.col("unit").alias("lead"))
 
 
-def _compared(members: DataFrame, leads: DataFrame, sets: DataFrame, known: DataFrame | None, similar: float) -> DataFrame:
-    """(unit, lead, near) of the pairs of a unit and an earlier one of its bands that were not compared before."""
-    pairs = members.join(leads, "key").filter("lead < unit").select("unit", "lead").distinct()
-    if known is not None:
-        pairs = pairs.join(known, ["unit", "lead"], "left_anti")
+def _hanging(units: DataFrame, roots: DataFrame) -> DataFrame:
+    """(unit, lead) of every unit and the first one whose fingerprint hangs together with its own (bits, root)."""
+    rooted = units.select("unit", "bits").join(roots.select("bits", "root"), "bits", "left").select("unit", F.coalesce("root", "bits").alias("root"))
+    first = rooted.groupBy("root").agg(F.min("unit").alias("lead"))
+    return rooted.join(first, "root").filter("lead < unit").select("unit", "lead")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """(unit, lead, near) of pairs, by all of their shingles."""
     other = sets.select(F.col("unit").alias("lead"), F.col("set").alias("lead_set"))
     return pairs.join(other, "lead").join(sets, "unit").select("unit", "lead", (jaccard(F.col("set"), F.col("lead_set")) >= similar).alias("near"))
 
 
+def _compared(members: DataFrame, leads: DataFrame, sets: DataFrame, known: DataFrame, similar: float) -> DataFrame:
+    """(unit, lead, near) of the pairs of a unit and an earlier one of its bands that were not compared before."""
+    pairs = members.join(leads, "key").filter("lead < unit").select("unit", "lead").distinct()
+    return _similar(pairs.join(known, ["unit", "lead"], "left_anti"), sets, similar)
+
+
 def _settled(members: DataFrame, leads: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(unit) of the members that stay, and of those that are similar to one of them."""
     own = members.groupBy("unit").agg(F.count(F.lit(1)).alias("n_own"))
@@ -149,9 +174,12 @@ def _union(parts: list[DataFrame]) -> DataFrame | None:
     return every
 
 
-def first_of_similar(docs: DataFrame, shingle: int = 5, similar: float = 0.8) -> DataFrame:
+def first_of_similar(docs: DataFrame, roots_of: Callable[[DataFrame], DataFrame], shingle: int = 5, similar: float = 0.8) -> DataFrame:
     """Drop, with all their columns, the documents similar to an earlier one that stays.
 
+    ``roots_of`` gives distinct fingerprints (bits) the root of the component that
+    they hang together in: (bits, root); those alone may be left out.
+
     Texts come in the order of the hash of their words. Of documents with equal words
     that with the smallest id (null ids last), then the smallest hash of the text,
     stands for all; of rows equal in both one is kept.
@@ -159,17 +187,24 @@ def first_of_similar(docs: DataFrame, shingle: int = 5, similar: float = 0.8) ->
     tie = F.xxhash64("text").alias("tie")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", tie).alias("first")
     made = docs.select(first, sketch(F.col("text"), shingle).alias("s"))
-    units = stored(made.groupBy("s.unit").agg(F.min(F.struct("first", "s.keys")).alias("f")).select("unit", "f.first", "f.keys"), "units", few=False)
+    units = stored(made.groupBy("s.unit").agg(F.min(F.struct("first", "s.keys", "s.bits")).alias("f")).select("unit", "f.first", "f.keys", "f.bits"), "units", few=False)
+    hanging = stored(_hanging(units, roots_of(units.select("bits").distinct())), "hanging")
     members = units.select("unit", "first", F.explode(F.array_distinct("keys")).alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     members = stored(members.join(shared, "key", "left_semi"), "members")
 
     row = docs.select("doc_id", tie, "text")
-    asked = members.select("unit", F.col("first.doc_id").alias("asked_id"), F.col("first.tie").alias("asked_tie")).distinct()
+    both = hanging.select(F.explode(F.array("unit", "lead")).alias("unit")).distinct()
+    meeting = members.select("unit", "first").unionByName(units.join(both, "unit", "left_semi").select("unit", "first"))
+    asked = meeting.select("unit", F.col("first.doc_id").alias("asked_id"), F.col("first.tie").alias("asked_tie")).distinct()
     texts = row.join(asked, row["doc_id"].eqNullSafe(asked["asked_id"]) & (row["tie"] == asked["asked_tie"]))
     sets = stored(shingle_sets(texts, shingle).dropDuplicates(["unit"]), "shingle-sets", few=False)
-    dropped: list[DataFrame] = []
-    compared: list[DataFrame] = []
+    compared = [stored(_similar(hanging, sets, similar), "compared")]
+    # What is similar to the first of its group shares one more band with it.
+    star = compared[0].filter("near").select(F.explode(F.array("unit", "lead")).alias("unit"), F.xxhash64("lead").alias("key")).distinct()
+    both = stored(members.unionByName(star.join(units.select("unit", "first"), "unit").select("unit", "first", "key")), "members")
+    drop_stored(members)
+    members, dropped = both, []
     most = 1
     while not members.isEmpty():
         leads = stored(_leads(members, most), "leads")

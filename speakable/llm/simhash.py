@@ -274,6 +274,13 @@ def hex_bits(bits: Column) -> Column:
     return F.lpad(F.lower(F.hex(bits)), 16, "0")
 
 
-def one_per_group(docs: DataFrame, shingle: int = 5, similar: float = 0.8) -> DataFrame:
-    """Keep, with all its columns, the first document of each set of near copies, see ``jaccard``."""
-    return first_of_similar(docs, shingle, similar)
+def one_per_group(docs: DataFrame, shingle: int = 5, similar: float = 0.8, distance: int = 6) -> DataFrame:
+    """Keep, with all its columns, the first document of each set of near copies.
+
+    Fingerprints that hang together at the distance name the first candidates, which ``jaccard`` checks exactly.
+    """
+
+    def roots(prints: DataFrame) -> DataFrame:
+        return components(links(prints, distance)).select(F.col("node").alias("bits"), "root")
+
+    return first_of_similar(docs, roots, shingle, similar)
