@@ -43,7 +43,8 @@ _ABBREVIATED = (
 )
 _PLACES = "St|Ave|Blvd|Rd|Dr|Ln|Mt"
 
-# The twelve span patterns in order of priority.
+# The twelve span patterns in order of priority. Numbers are taken possessively
+# where what follows cannot start inside them, so no shorter number is ever tried.
 RULES = [
     Rule(
         "ELECTRONIC",
@@ -62,7 +63,7 @@ RULES = [
     Rule("TIME", rf"(?iu)(?={_D}){_B}{_D}{{1,2}}:{_D}{{2}}(?:{_S}?[ap]\.?m\.?)?{_EDGE}", digit=True, needles=(":",)),
     Rule(
         "MEASURE",
-        rf"(?={_D}){_B}{_D}[{_D},]*(?:\.{_D}+)?{_S}?(?:%|°[CF]|km/h|mph|kg|km|cm|mm|mg|ml|GB|MB|KB|TB"
+        rf"(?={_D}){_B}{_D}[{_D},]*+(?:\.{_D}++)?+{_S}?+(?=[%°kmcGMKTlofhs])(?:%|°[CF]|km/h|mph|kg|km|cm|mm|mg|ml|GB|MB|KB|TB"
         rf"|kHz|MHz|GHz|kW|lbs?|oz|ft|mi|hrs?|min|sec){_E}",
         digit=True,
     ),
@@ -74,14 +75,14 @@ RULES = [
         digit=False,
         precheck=rf"(?iu){_S}[MDCLXVI]{{1,4}}{_E}",
     ),
-    Rule("FRACTION", rf"(?={_D}){_B}{_D}+/{_D}+{_E}", digit=True, needles=("/",)),
-    Rule("ORDINAL", rf"(?iu)(?={_D}){_B}({_D}+)(?:st|nd|rd|th){_E}", digit=True),
-    Rule("DECIMAL", rf"(?=[{_D}.]){_EDGE}{_D}*\.{_D}+{_E}", digit=True, needles=(".",)),
+    Rule("FRACTION", rf"(?={_D}){_B}{_D}++/{_D}++{_E}", digit=True, needles=("/",)),
+    Rule("ORDINAL", rf"(?iu)(?={_D}){_B}({_D}++)(?:st|nd|rd|th){_E}", digit=True),
+    Rule("DECIMAL", rf"(?=[{_D}.]){_EDGE}{_D}*+\.{_D}++{_E}", digit=True, needles=(".",)),
     Rule("CARDINAL_G", rf"(?={_D}){_B}{_D}{{1,3}}(?:,{_D}{{3}})+{_E}", digit=True, needles=(",",)),
-    Rule("CARDINAL", rf"(?={_D}){_B}{_D}+{_E}", digit=True),
+    Rule("CARDINAL", rf"(?={_D}){_B}{_D}++{_E}", digit=True),
     Rule(
         "ABBREV",
-        rf"(?d)(?=[A-Za-z]{{2,6}}\.|e\.g|i\.e){_B}(?:{_ABBREVIATED})\.(?={_S}|$|[^{WORD}])"
+        rf"(?d){_B}(?=[A-Za-z]{{2,6}}\.|e\.g|i\.e)(?:{_ABBREVIATED})\.(?={_S}|$|[^{WORD}])"
         rf"|(?=[SABRDLM]){_B}(?:{_PLACES}){_E}(?={_S}+[A-Z])",
         digit=False,
         precheck=rf"\.(?<=(?:{_ABBREVIATED})\.)|(?=[SABRDLM])(?:{_PLACES}){_E}",
@@ -108,14 +109,12 @@ def _pieces(text: Column, prio: int, rule: Rule) -> Column:
     """
 
     def measure(piece: Column) -> Column:
-        def lengths(close: Column) -> Column:
-            return F.struct(
-                F.lit(prio).alias("prio"),
-                (close - 1).alias("hit"),
-                (F.length(piece) - close).alias("rest"),
-            )
-
-        return let(F.instr(piece, _CLOSE), lengths)
+        close = F.instr(piece, _CLOSE)
+        return F.struct(
+            F.lit(prio).alias("prio"),
+            (close - 1).alias("hit"),
+            (F.length(piece) - close).alias("rest"),
+        )
 
     nothing = F.array().cast(_PIECE)
     marked = F.regexp_replace(text, rule.pattern, f"{_OPEN}$0{_CLOSE}")
