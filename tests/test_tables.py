@@ -17,6 +17,7 @@ from speakable.operators import quality as Q
 from speakable.operators import score as C
 from speakable.operators import timeline as T
 from speakable.operators import voices as V
+from speakable.plans.corpus import shuffle_rows
 from speakable.schemas import JOB_LOG
 
 
@@ -274,3 +275,16 @@ def test_draws_do_not_repeat_after_the_prime(spark):
     pairs = P.generate_pairs(spark.createDataFrame([(i + k * p,) for i in range(300) for k in (0, 1)], "id long"))
     one = P.generate_pairs(spark.createDataFrame([(i,) for i in range(300)], "id long"))
     assert pairs.count() > 1.5 * one.count()
+
+
+def test_shuffle_writes_ids_only(spark, monkeypatch):
+    written, durable = [], X.durable
+
+    def seen(df):
+        written.append(df.columns)
+        return durable(df)
+
+    monkeypatch.setattr(X, "durable", seen)
+    placed = shuffle_rows(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.place for r in placed) == list(range(1, len(placed) + 1)) and len({r.pair_id for r in placed}) == len(placed) > 0
+    assert written and all(not {"before", "after"} & set(columns) for columns in written)
