@@ -12,12 +12,18 @@ them, with those of the text that it would be dropped for.
 Texts are taken in the order of the hash of their words: one stays unless one before it
 that stays is similar to it. So nothing is dropped over a chain of links, and
 what stays is not similar among itself. A round compares every unsettled text with
-the first few texts of its bands, one in the first round and twice as many in each
+the first few texts of its keys, one in the first round and four times as many in each
 further one, so groups of copies collapse onto their first texts before
-bands are compared in depth; no pair is compared twice. Settled are texts whose
-earlier band mates were all compared and none of them is similar and unsettled,
+keys are compared in depth; no pair is compared twice. Settled are texts whose
+earlier key mates were all compared and none of them is similar and unsettled,
 and what is similar to them. The order is random, so the number of rounds grows
-with the logarithm of the largest band. Every round is written to the shared folder.
+with the logarithm of the largest key. Every round is written to the shared folder.
+
+Bands are the keys of the first round. What it leaves unsettled is keyed anew, by its rarest
+shingles: shingles are ordered by how many of these texts hold them, and two
+texts that share enough of them for the similarity share one among the first few of
+each (``rarest_keys``). Each text's own edits come first in that order, so
+texts that resemble each other but not enough no longer meet, and no similar pair is lost.
 
 Texts of equal words are one unit from the start, so copies cost nothing.
 Words are separated by blanks and compared without the case of ASCII letters; a
@@ -41,6 +47,8 @@ SEED = 42
 BANDS, ROWS = 28, 6
 #: Shingles whose hashes are taken under all seeds together.
 STEP_SHINGLES = 32_768
+#: Ratio of two classes of set sizes; what rounding may cost a bound.
+CLASS_WIDTH, EPS = 1.05, 1e-6
 _RNG = np.random.default_rng(SEED)
 _FLIP = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64, endpoint=False)
 _TIMES = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64, endpoint=False) | np.uint64(1)
@@ -131,9 +139,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def _leads(members: DataFrame, most: int) -> DataFrame:
-    """(key, lead) of the first ``most`` units of every band; the rank limit runs before the shuffle."""
+    """(key, lead, rank) of the first ``most`` units of every key and the one after them; the rank limit runs before the shuffle."""
     rank = F.row_number().over(Window.partitionBy("key").orderBy("unit"))
-    return members.withColumn("rank", rank).filter(F.col("rank") <= most).select("key", F.col("unit").alias("lead"))
+    return members.withColumn("rank", rank).filter(F.col("rank") <= most + 1).select("key", F.col("unit").alias("lead"), "rank")
 
 
 def _hanging(units: DataFrame, roots: DataFrame) -> DataFrame:
@@ -149,24 +157,57 @@ def _similar(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return pairs.join(other, "lead").join(sets, "unit").select("unit", "lead", (jaccard(F.col("set"), F.col("lead_set")) >= similar).alias("near"))
 
 
-def _compared(members: DataFrame, leads: DataFrame, sets: DataFrame, known: DataFrame, similar: float) -> DataFrame:
-    """(unit, lead, near) of the pairs of a unit and an earlier one of its bands that were not compared before."""
-    pairs = members.join(leads, "key").filter("lead < unit").select("unit", "lead").distinct()
+def _compared(members: DataFrame, leads: DataFrame, most: int, sets: DataFrame, known: DataFrame, similar: float) -> DataFrame:
+    """(unit, lead, near) of the pairs of a unit and an earlier one of those it seeks that were not compared before."""
+    led = leads.filter(F.col("rank") <= most).select(F.col("key").alias("seeks"), "lead")
+    pairs = members.join(led, "seeks").filter("lead < unit").select("unit", "lead").distinct()
     return _similar(pairs.join(known, ["unit", "lead"], "left_anti"), sets, similar)
 
 
-def _settled(members: DataFrame, leads: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _settled(members: DataFrame, leads: DataFrame, most: int, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(unit) of the members that stay, and of those that are similar to one of them."""
-    own = members.groupBy("unit").agg(F.count(F.lit(1)).alias("n_own"))
-    led = leads.groupBy(F.col("lead").alias("unit")).agg(F.count(F.lit(1)).alias("n_led"))
-    links = known.filter("near").join(own.select("unit"), "unit", "left_semi")
+    own = members.select("unit").distinct()
+    # Behind the first one that is no lead, a unit has not met all the earlier ones that it seeks.
+    beyond = leads.filter(F.col("rank") > most).select(F.col("key").alias("seeks"), F.col("lead").alias("bound"))
+    first = own.join(members.join(beyond, "seeks").filter("unit > bound").select("unit"), "unit", "left_anti")
+    links = known.filter("near").join(own, "unit", "left_semi")
     links = links.join(own.select(F.col("unit").alias("lead")), "lead", "left_semi")
-    first = own.join(led, "unit").filter("n_own = n_led").select("unit")
     stay = stored(first.join(links, "unit", "left_anti"), "stay")
     gone = stored(links.join(stay.select(F.col("unit").alias("lead")), "lead", "left_semi").select("unit").distinct(), "gone")
     return stay, gone
 
 
+def rarest_keys(sets: DataFrame, similar: float) -> DataFrame:
+    """(unit, key, seeks): of any two units of at least this similarity, one seeks a key of the other. What nobody has is not sought.
+
+    Sets of n and m shingles of similarity s share at least s / (1 + s) * (n + m), call it c. In any order of
+    all shingles the first one that they share is then among the first n - c + 1 of the one and m - c + 1
+    of the other. Rare shingles come first here. As c depends on both sizes, sizes are put in classes,
+    each a twentieth wider than the one before, and a unit has keys for every class that a
+    partner can be in, with c for the smallest partner of the class. A key names the unit's class and the
+    partner's; sought is the key with the two exchanged.
+    """
+    size = F.size("set")
+    held = sets.select("unit", size.alias("n"), F.explode("set").alias("h"))
+    rare = held.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    shared = held.join(rare, "h").groupBy("unit", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared"))
+
+    def class_of(n: Column) -> Column:
+        return F.floor(F.log(n.cast("double")) / F.log(F.lit(CLASS_WIDTH))).cast("int")
+
+    least = F.ceil(F.col("n") * similar - EPS)
+    each = shared.select("unit", "n", "shared", class_of(F.col("n")).alias("own"), F.explode(F.sequence(class_of(least) - 1, class_of(F.floor(F.col("n") / similar + EPS)) + 1)).alias("other"))
+    # A little below the class, so that no rounding of logarithms counts a partner as larger than it is.
+    smallest = F.greatest(least, F.ceil(F.pow(F.lit(CLASS_WIDTH), F.col("other")) - 1e-6 * F.col("n")))
+    common = F.ceil(similar / (1 + similar) * (F.col("n") + smallest) - EPS)
+    # Shingles of no other unit come before all others and need no key.
+    most = (F.size("shared") - common + 1).cast("int")
+    first = each.withColumn("most", most).filter("most > 0").select("unit", "own", "other", F.explode(F.slice("shared", F.lit(1), F.col("most"))).alias("s"))
+    keyed = first.select("unit", F.xxhash64("s.h", "own", "other").alias("key"), F.xxhash64("s.h", "other", "own").alias("seeks"))
+    there = keyed.groupBy(F.col("key").alias("seeks")).agg(F.count(F.lit(1)).alias("there"))
+    return keyed.join(there, "seeks").filter("key <> seeks OR there > 1").select("unit", "key", "seeks")
+
+
 def _union(parts: list[DataFrame]) -> DataFrame | None:
     every = None
     for part in parts:
@@ -199,24 +240,33 @@ def first_of_similar(docs: DataFrame, roots_of: Callable[[DataFrame], DataFrame]
     asked = meeting.select("unit", F.col("first.doc_id").alias("asked_id"), F.col("first.tie").alias("asked_tie")).distinct()
     texts = row.join(asked, row["doc_id"].eqNullSafe(asked["asked_id"]) & (row["tie"] == asked["asked_tie"]))
     sets = stored(shingle_sets(texts, shingle).dropDuplicates(["unit"]), "shingle-sets", few=False)
-    compared = [stored(_similar(hanging, sets, similar), "compared")]
+    known = stored(_similar(hanging, sets, similar), "compared")
     # What is similar to the first of its group shares one more band with it.
-    star = compared[0].filter("near").select(F.explode(F.array("unit", "lead")).alias("unit"), F.xxhash64("lead").alias("key")).distinct()
-    both = stored(members.unionByName(star.join(units.select("unit", "first"), "unit").select("unit", "first", "key")), "members")
+    star = known.filter("near").select(F.explode(F.array("unit", "lead")).alias("unit"), F.xxhash64("lead").alias("key")).distinct()
+    both = stored(members.select("unit", "key").unionByName(star).withColumn("seeks", F.col("key")), "members")
     drop_stored(members)
     members, dropped = both, []
     most = 1
     while not members.isEmpty():
         leads = stored(_leads(members, most), "leads")
-        compared.append(stored(_compared(members, leads, sets, _union(compared), similar), "compared"))
-        stay, gone = _settled(members, leads, _union(compared))
+        fresh = stored(_compared(members, leads, most, sets, known, similar), "compared")
+        stay, gone = _settled(members, leads, most, known.unionByName(fresh))
         after = stored(members.join(stay.unionByName(gone), "unit", "left_anti"), "members")
-        # Only sets that can be asked for again are kept.
-        fewer = stored(sets.join(after.select("unit").distinct(), "unit", "left_semi"), "shingle-sets", few=False)
-        for old in (members, leads, stay, sets):
+        if most == 1:
+            # Only sets that can be asked for again are kept.
+            fewer = stored(sets.join(after.select("unit").distinct(), "unit", "left_semi"), "shingle-sets", few=False)
+            bands, after = after, stored(rarest_keys(fewer, similar), "members")
+            drop_stored(bands)
+            drop_stored(sets)
+            sets = fewer
+        left = after.select("unit").distinct()
+        both = known.unionByName(fresh).join(left, "unit", "left_semi").join(left.select(F.col("unit").alias("lead")), "lead", "left_semi")
+        both = stored(both.select("unit", "lead", "near"), "compared")
+        for old in (members, leads, stay, known, fresh):
             drop_stored(old)
-        members, sets, most = after, fewer, most * 2
+        members, known, most = after, both, most * 4
         dropped.append(gone)
+    drop_stored(known)
     drop_stored(members)
     drop_stored(sets)
 
