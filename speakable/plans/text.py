@@ -157,9 +157,8 @@ _SUFFIXES = {0: ".txt", 1: ".md", 2: ".epub", 3: ".dat"}
 def read_files(spark, sf):
     """Write every document as a file of its own, of one of four kinds, and read the folder as documents."""
     folder = _folder(spark, "files")
-    docs = table(spark, sf, "documents")
-    for k, suffix in _SUFFIXES.items():
-        write_files(docs.filter(F.col("doc_id") % 4 == k), f"{folder}/{k}", suffix, F.col("doc_id"), F.lit(0), F.col("text"))
+    kind = F.element_at(F.array(*map(F.lit, _SUFFIXES.values())), (F.col("doc_id") % 4 + 1).cast("int"))
+    write_files(table(spark, sf, "documents").filter(F.col("doc_id") % 4 >= 0), folder, kind, F.col("doc_id"), F.lit(0), F.col("text"))
     found = read_documents(spark, folder)
     blocks = F.when(F.col("source_format") != "md", F.size("blocks"))
     return found.select("title", "source_format", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), blocks.alias("n_blocks"))

@@ -1,8 +1,8 @@
 """One file per document, and fingerprints of what was read or written.
 
-``one_file`` is a writer of the Python data source API. Rows (name, position, line)
-of a name stand together and in order; a task streams them into one file per
-name in a folder of its own. Only the commit moves the folders of the tasks that
+``one_file`` is a writer of the Python data source API. Rows (name, suffix, position, line)
+of a name and suffix stand together and in order; a task streams them into one file per
+name and suffix in a folder of its own. Only the commit moves the folders of the tasks that
 counted to their place, so what a failed or repeated task wrote is never seen. A
 file is as long as its document, but no task holds more than a line.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 FORMAT = "one_file"
-_SCHEMA = "name string, position long, line string"
+_SCHEMA = "name string, suffix string, position long, line string"
 
 
 #: File names of a null and of an empty name; no other name is escaped to them.
@@ -61,13 +61,14 @@ class OneFileWriter(DataSourceWriter):
         folder, out, now = f"part-{uuid.uuid4().hex}", None, None
         system, at = self._place(f".{self.job}", folder)
         for row in iterator:
-            if out is None or row["name"] != now:
+            own = row["suffix"] if "suffix" in row else self.suffix
+            if out is None or (row["name"], own) != now:
                 if out is not None:
                     out.close()
                 else:
                     system.create_dir(at, recursive=True)
-                now = row["name"]
-                out = system.open_output_stream(f"{at}/{file_name(now)}{self.suffix}")
+                now = row["name"], own
+                out = system.open_output_stream(f"{at}/{file_name(row['name'])}{own}")
             out.write((row["line"] + "\n").encode())
         if out is None:
             return Folder(None)
@@ -106,17 +107,24 @@ class OneFile(DataSource):
         return OneFileWriter(self.options["path"], self.options.get("suffix", ""), overwrite)
 
 
-def write_files(lines: DataFrame, path: str, suffix: str, name: Column, position: Column, line: Column) -> None:
-    """Write one file per name below ``path``, its lines by position; replaces what was written there before."""
+def write_files(lines: DataFrame, path: str, suffix: str | Column, name: Column, position: Column, line: Column) -> None:
+    """Write one file per name and suffix below ``path``, its lines by position; replaces what was written there before."""
     spark = lines.sparkSession
     spark.dataSource.register(OneFile)
-    rows = lines.select(name.cast("string").alias("name"), position.cast("long").alias("position"), line.alias("line"))
-    rows.repartition("name").sortWithinPartitions("name", "position").write.format(FORMAT).option("suffix", suffix).mode("overwrite").save(path)
+    kind = F.lit(suffix) if isinstance(suffix, str) else suffix
+    rows = lines.select(name.cast("string").alias("name"), kind.alias("suffix"), position.cast("long").alias("position"), line.alias("line"))
+    rows.repartition("name").sortWithinPartitions("name", "suffix", "position").write.format(FORMAT).mode("overwrite").save(path)
+
+
+def small_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files below a path, in no more tasks than a shuffle has; a scan alone would start one for every 32 small files."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return found.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Files below a path: name (without folder and last suffix), suffix and content."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    found = small_files(spark, path)
     file = F.regexp_extract("path", r"([^/]*)$", 1)
     plain = F.regexp_replace(file, r"\.[^.]*$", "")
     name = F.when(plain == _EMPTY, "").when(plain != _NULL, F.url_decode(plain))
@@ -125,7 +133,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
     """SHA-256 of every file below a path, from its bytes: path, length, input_sha256."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    found = small_files(spark, path)
     return found.select("path", "length", F.sha2("content", 256).alias("input_sha256"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions.expr import strip
 from ..operators.blocks import document_blocks
 from ..schemas import JOB_LOG, PAIRS
+from .files import small_files
 
 # Formats whose files are archives or pages, not text.
 CONTAINERS = ["epub", "pdf"]
@@ -32,9 +33,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     container = suffix.isin(*CONTAINERS)
     known = suffix.isin("txt", "text", "md", "markdown", "html", "htm", "xhtml", *CONTAINERS)
     return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(path)
+        small_files(spark, path)
         .select(
             "path",
             F.regexp_replace(name, r"(?<=[^.])\.[^.]+$", "").alias("title"),

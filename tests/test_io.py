@@ -239,3 +239,21 @@ def test_no_scratch_folder_of_one_machine_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="checkpoint"):
         prefix.scratch_dir(Session())
+
+
+def test_small_files_are_few_tasks_and_one_write(spark, tmp_path, monkeypatch):
+    """Names have suffixes of their own in one write; a scan has no more tasks than a shuffle."""
+    from speakable.plans import text
+    from speakable.sources.readers import read_documents
+
+    path, parts = str(tmp_path / "kinds"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = 40 * (parts + 2)
+    docs = spark.range(n).select(F.col("id").alias("name"), F.when(F.col("id") % 2 == 0, ".md").otherwise(".txt").alias("kind"))
+    write_files(docs, path, F.col("kind"), F.col("name"), F.lit(0), F.col("name").cast("string"))
+    found = read_files(spark, path)
+    assert sorted((int(r.name), r.suffix, bytes(r.content).decode()) for r in found.collect()) == [(i, ".md" if i % 2 == 0 else ".txt", f"{i}\n") for i in range(n)]
+    for df in (found, file_fingerprints(spark, path), read_documents(spark, path)):
+        assert df.rdd.getNumPartitions() <= parts
+    writes = []
+    monkeypatch.setattr(text, "write_files", lambda *a: (writes.append(a), write_files(*a)))
+    assert text.read_files(spark, "/root/testdata/sf0.001").count() and len(writes) == 1
