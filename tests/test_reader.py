@@ -20,3 +20,12 @@ def test_reader_beats_rules_on_hard(spark):
     assert rules.sentence_accuracy < 0.2
     assert reader.sentence_accuracy > 0.6
     assert said.filter("confidence < 0.5 or confidence > 1").count() == 0
+
+
+def test_texts_are_scanned_once_for_tuning(spark, monkeypatch):
+    rows = durable(P.generate_pairs(spark.range(1500)))
+    assert "Join" not in R.training_rows(rows)._jdf.queryExecution().executedPlan().toString()
+    kept = []
+    monkeypatch.setattr(R, "durable", lambda df: kept.append(durable(df)) or kept[-1])
+    assert R.tune_reader(rows, [0.001]).count() == 1
+    assert len(kept) == 1 and kept[0].count() > 100
