@@ -22,8 +22,10 @@ with the logarithm of the largest key. Every round is written to the shared fold
 Bands are the keys of the first round. What it leaves unsettled is keyed anew, by its rarest
 shingles: shingles are ordered by how many of these texts hold them, and two
 texts that share enough of them for the similarity share one among the first few of
-each (``rarest_keys``). Each text's own edits come first in that order, so
-texts that resemble each other but not enough no longer meet, and no similar pair is lost.
+each (``rarest_keys``). Variants of one text nearly all hold even the rarest of its shingles;
+so texts are put in families by a common base, and those of one family are keyed
+by their rarest differences from it instead (``family_keys``). Texts that resemble each other but
+not enough seldom meet, and no similar pair is lost. A pair is joined once per key, not once a round.
 
 Texts of equal words are one unit from the start, so copies cost nothing.
 Words are separated by blanks and compared without the case of ASCII letters; a
@@ -47,8 +49,8 @@ SEED = 42
 BANDS, ROWS = 28, 6
 #: Shingles whose hashes are taken under all seeds together.
 STEP_SHINGLES = 32_768
-#: Ratio of two classes of set sizes; what rounding may cost a bound.
-CLASS_WIDTH, EPS = 1.05, 1e-6
+#: A class of ``_first_keys`` is this many powers of two narrower than a set is large; what rounding may cost a bound.
+CLASS_BITS, EPS = 5, 1e-6
 _RNG = np.random.default_rng(SEED)
 _FLIP = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64, endpoint=False)
 _TIMES = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64, endpoint=False) | np.uint64(1)
@@ -141,7 +143,7 @@ def jaccard(a: Column, b: Column) -> Column:
 def _leads(members: DataFrame, most: int) -> DataFrame:
     """(key, lead, rank) of the first ``most`` units of every key and the one after them; the rank limit runs before the shuffle."""
     rank = F.row_number().over(Window.partitionBy("key").orderBy("unit"))
-    return members.withColumn("rank", rank).filter(F.col("rank") <= most + 1).select("key", F.col("unit").alias("lead"), "rank")
+    return members.withColumn("rank", rank).filter(F.col("rank") <= most + 1).select("key", F.col("unit").alias("lead"), "rank", "led", F.col("apart").alias("lead_apart"))
 
 
 def _hanging(units: DataFrame, roots: DataFrame) -> DataFrame:
@@ -151,6 +153,12 @@ def _hanging(units: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(first, "root").filter("lead < unit").select("unit", "lead")
 
 
+def _marked(members: DataFrame, leads: DataFrame, most: int) -> DataFrame:
+    """Members, ``led`` where all that seek the key have met the unit; it stays among the first of the key."""
+    met = leads.filter((F.col("rank") <= most) & ~F.col("led")).select("key", F.col("lead").alias("unit"), F.lit(True).alias("now"))
+    return members.join(met, ["key", "unit"], "left").withColumn("led", F.col("led") | F.coalesce("now", F.lit(False))).drop("now")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """(unit, lead, near) of pairs, by all of their shingles."""
     other = sets.select(F.col("unit").alias("lead"), F.col("set").alias("lead_set"))
@@ -159,8 +167,8 @@ def _similar(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
 
 def _compared(members: DataFrame, leads: DataFrame, most: int, sets: DataFrame, known: DataFrame, similar: float) -> DataFrame:
     """(unit, lead, near) of the pairs of a unit and an earlier one of those it seeks that were not compared before."""
-    led = leads.filter(F.col("rank") <= most).select(F.col("key").alias("seeks"), "lead")
-    pairs = members.join(led, "seeks").filter("lead < unit").select("unit", "lead").distinct()
+    led = leads.filter((F.col("rank") <= most) & ~F.col("led")).select(F.col("key").alias("seeks"), "lead", "lead_apart")
+    pairs = members.join(led, "seeks").filter("lead < unit AND coalesce(apart <> lead_apart, true)").select("unit", "lead").distinct()
     return _similar(pairs.join(known, ["unit", "lead"], "left_anti"), sets, similar)
 
 
@@ -177,35 +185,81 @@ def _settled(members: DataFrame, leads: DataFrame, most: int, known: DataFrame)
     return stay, gone
 
 
+def _first_keys(rows: DataFrame, similar: float) -> DataFrame:
+    """(unit, key, seeks, apart) of rows (unit, n, family, apart, set): of any two units at least this similar, one seeks a key of the other.
+
+    ``set`` has what tells a unit of n shingles from the base of its family: shingles that one of the two has and the
+    other lacks; against no base, all of its shingles. Only units of a family meet, and of these only those that are ``apart``
+    or have null there. Two sets with d and e such differences share at least (r + s) / 2 of them, where r is
+    d - q * n, s is e - q * m and q is (1 - similar) / (1 + similar); call it c. In any order of all differences the first
+    that they share is then among the first d - c + 1 of the one and e - c + 1 of the other; if c is not positive,
+    all differences and one more key for nothing at all do. Rare differences come first here. As c depends on both units,
+    r is put in classes, of a width that depends on the power of two below n, and a unit has keys for every
+    class that a partner can be in, with c for the least r of the class. A key names the unit's class and the partner's; sought
+    is the key with the two exchanged.
+    """
+    q = (1 - similar) / (1 + similar)
+    n = F.col("n").cast("double")
+    r = F.size("set") - q * n
+    held = rows.select("unit", "n", "family", "apart", r.alias("r"), F.explode_outer("set").alias("h"))
+    rare = held.groupBy("family", "h").agg(F.count(F.lit(1)).alias("df"), F.min("apart").alias("some"), F.max("apart").alias("other"))
+    rare = rare.filter("df > 1 AND (some IS NULL OR some <> other)").select("family", "h", "df")
+    entry = F.when(F.col("df").isNotNull(), F.struct("df", "h"))
+    shared = held.join(rare, ["family", "h"], "left").groupBy("unit", "n", "family", "apart", "r").agg(F.array_sort(F.collect_list(entry)).alias("shared"))
+
+    def power(of: Column) -> Column:
+        return F.floor(F.log2(of)).cast("int")
+
+    def width(exponent: Column) -> Column:
+        return F.pow(F.lit(2.0), F.greatest(exponent - CLASS_BITS, F.lit(0)))
+
+    # A little wider on both sides, so that no rounding loses a class.
+    powers = F.explode(F.sequence(power(n * similar - EPS), power(n / similar + EPS))).alias("other_power")
+    each = shared.select("*", power(n).alias("own_power"), powers)
+    own = F.floor(F.col("r") / width(F.col("own_power"))).cast("int").alias("own")
+    lowest = F.floor((F.col("r") - 2 * q * n / similar - EPS) / width(F.col("other_power"))).cast("int")
+    highest = F.floor((F.col("r") + 2 * q * n + EPS) / width(F.col("other_power"))).cast("int")
+    each = each.select("*", own, F.explode(F.sequence(lowest, highest)).alias("other"))
+    common = F.ceil((F.col("r") + F.col("other") * width(F.col("other_power"))) / 2 - EPS)
+    # Differences of no other unit come before all others and need no key.
+    each = each.withColumn("most", (F.size("shared") + 1 - F.greatest(common, F.lit(0))).cast("int")).filter("most > 0")
+    nothing = F.array(F.struct(F.lit(0).cast("long").alias("df"), F.lit(0).cast("long").alias("h")))
+    first = F.slice(F.concat("shared", nothing), F.lit(1), F.col("most"))
+    keyed = each.select("unit", "family", "apart", "own_power", "own", "other_power", "other", F.explode(first).alias("s"))
+    key = F.xxhash64("family", "s.df", "s.h", "own_power", "own", "other_power", "other")
+    seeks = F.xxhash64("family", "s.df", "s.h", "other_power", "other", "own_power", "own")
+    keyed = keyed.select("unit", key.alias("key"), seeks.alias("seeks"), "apart")
+    there = keyed.groupBy(F.col("key").alias("seeks")).agg(F.count(F.lit(1)).alias("there"), F.min("apart").alias("some"), F.max("apart").alias("last"))
+    met = F.col("apart").isNull() | (F.col("some") != F.col("apart")) | (F.col("last") != F.col("apart"))
+    return keyed.join(there, "seeks").filter("key <> seeks OR there > 1").filter(met).select("unit", "key", "seeks", "apart")
+
+
 def rarest_keys(sets: DataFrame, similar: float) -> DataFrame:
-    """(unit, key, seeks): of any two units of at least this similarity, one seeks a key of the other. What nobody has is not sought.
-
-    Sets of n and m shingles of similarity s share at least s / (1 + s) * (n + m), call it c. In any order of
-    all shingles the first one that they share is then among the first n - c + 1 of the one and m - c + 1
-    of the other. Rare shingles come first here. As c depends on both sizes, sizes are put in classes,
-    each a twentieth wider than the one before, and a unit has keys for every class that a
-    partner can be in, with c for the smallest partner of the class. A key names the unit's class and the
-    partner's; sought is the key with the two exchanged.
+    """(unit, key, seeks) by the rarest shingles of whole sets."""
+    rows = sets.select("unit", F.size("set").alias("n"), F.lit(b"").alias("family"), F.lit(None).cast("binary").alias("apart"), "set")
+    return _first_keys(rows, similar).select("unit", "key", "seeks")
+
+
+def bases(known: DataFrame, units: DataFrame) -> DataFrame:
+    """(unit, base): of a unit and those that it was compared with, the one that most of ``units`` were compared with."""
+    own = units.select("unit", F.col("unit").alias("lead"))
+    pairs = known.join(units, "unit", "left_semi").select("unit", "lead").unionByName(own)
+    followed = pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.join(followed, "lead").groupBy("unit").agg(F.max_by("lead", F.struct("n", "lead")).alias("base"))
+
+
+def family_keys(sets: DataFrame, based: DataFrame, similar: float) -> DataFrame:
+    """(unit, key, seeks, apart): units of one base (unit, base) meet by their differences from it, others by whole sets.
+
+    Variants of one text share nearly all of it, so nearly all of them hold even its rarest shingles; where they
+    differ from it they share little unless they are similar.
     """
-    size = F.size("set")
-    held = sets.select("unit", size.alias("n"), F.explode("set").alias("h"))
-    rare = held.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = held.join(rare, "h").groupBy("unit", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared"))
-
-    def class_of(n: Column) -> Column:
-        return F.floor(F.log(n.cast("double")) / F.log(F.lit(CLASS_WIDTH))).cast("int")
-
-    least = F.ceil(F.col("n") * similar - EPS)
-    each = shared.select("unit", "n", "shared", class_of(F.col("n")).alias("own"), F.explode(F.sequence(class_of(least) - 1, class_of(F.floor(F.col("n") / similar + EPS)) + 1)).alias("other"))
-    # A little below the class, so that no rounding of logarithms counts a partner as larger than it is.
-    smallest = F.greatest(least, F.ceil(F.pow(F.lit(CLASS_WIDTH), F.col("other")) - 1e-6 * F.col("n")))
-    common = F.ceil(similar / (1 + similar) * (F.col("n") + smallest) - EPS)
-    # Shingles of no other unit come before all others and need no key.
-    most = (F.size("shared") - common + 1).cast("int")
-    first = each.withColumn("most", most).filter("most > 0").select("unit", "own", "other", F.explode(F.slice("shared", F.lit(1), F.col("most"))).alias("s"))
-    keyed = first.select("unit", F.xxhash64("s.h", "own", "other").alias("key"), F.xxhash64("s.h", "other", "own").alias("seeks"))
-    there = keyed.groupBy(F.col("key").alias("seeks")).agg(F.count(F.lit(1)).alias("there"))
-    return keyed.join(there, "seeks").filter("key <> seeks OR there > 1").select("unit", "key", "seeks")
+    of = sets.select(F.col("unit").alias("base"), F.col("set").alias("base_set"))
+    rows = sets.join(based, "unit").join(of, "base").withColumn("n", F.size("set"))
+    differ = F.concat(F.array_except("set", "base_set"), F.array_except("base_set", "set"))
+    inside = rows.select("unit", "n", F.col("base").alias("family"), F.lit(None).cast("binary").alias("apart"), differ.alias("set"))
+    across = rows.select("unit", "n", F.lit(b"").alias("family"), F.col("base").alias("apart"), "set")
+    return _first_keys(inside.unionByName(across), similar)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame | None:
@@ -243,7 +297,7 @@ def first_of_similar(docs: DataFrame, roots_of: Callable[[DataFrame], DataFrame]
     known = stored(_similar(hanging, sets, similar), "compared")
     # What is similar to the first of its group shares one more band with it.
     star = known.filter("near").select(F.explode(F.array("unit", "lead")).alias("unit"), F.xxhash64("lead").alias("key")).distinct()
-    both = stored(members.select("unit", "key").unionByName(star).withColumn("seeks", F.col("key")), "members")
+    both = stored(members.select("unit", "key").unionByName(star).withColumn("seeks", F.col("key")).withColumn("apart", F.lit(None).cast("binary")).withColumn("led", F.lit(False)), "members")
     drop_stored(members)
     members, dropped = both, []
     most = 1
@@ -251,12 +305,15 @@ def first_of_similar(docs: DataFrame, roots_of: Callable[[DataFrame], DataFrame]
         leads = stored(_leads(members, most), "leads")
         fresh = stored(_compared(members, leads, most, sets, known, similar), "compared")
         stay, gone = _settled(members, leads, most, known.unionByName(fresh))
-        after = stored(members.join(stay.unionByName(gone), "unit", "left_anti"), "members")
+        after = stored(_marked(members, leads, most).join(stay.unionByName(gone), "unit", "left_anti"), "members")
         if most == 1:
             # Only sets that can be asked for again are kept.
-            fewer = stored(sets.join(after.select("unit").distinct(), "unit", "left_semi"), "shingle-sets", few=False)
-            bands, after = after, stored(rarest_keys(fewer, similar), "members")
+            based = stored(bases(known.unionByName(fresh), after.select("unit").distinct()), "bases")
+            asked = based.select("unit").unionByName(based.select(F.col("base").alias("unit"))).distinct()
+            fewer = stored(sets.join(asked, "unit", "left_semi"), "shingle-sets", few=False)
+            bands, after = after, stored(family_keys(fewer, based, similar).withColumn("led", F.lit(False)), "members")
             drop_stored(bands)
+            drop_stored(based)
             drop_stored(sets)
             sets = fewer
         left = after.select("unit").distinct()
