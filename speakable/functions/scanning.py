@@ -73,7 +73,7 @@ RULES = [
         rf"|philip|napoleon|peter|catherine|chapter|part|section|book|act|scene|volume|vol|appendix)"
         rf"{_S}+([MDCLXVI]{{1,4}}){_E}",
         digit=False,
-        precheck=rf"(?iu){_S}[MDCLXVI]{{1,4}}{_E}",
+        precheck=rf"[^!-~](?<={_S})[MDCLXVImdclxvi\u0130\u0131]{{1,4}}{_E}",
     ),
     Rule("FRACTION", rf"(?={_D}){_B}{_D}++/{_D}++{_E}", digit=True, needles=("/",)),
     Rule("ORDINAL", rf"(?iu)(?={_D}){_B}({_D}++)(?:st|nd|rd|th){_E}", digit=True),
@@ -85,7 +85,7 @@ RULES = [
         rf"(?d){_B}(?=[A-Za-z]{{2,6}}\.|e\.g|i\.e)(?:{_ABBREVIATED})\.(?={_S}|$|[^{WORD}])"
         rf"|(?=[SABRDLM]){_B}(?:{_PLACES}){_E}(?={_S}+[A-Z])",
         digit=False,
-        precheck=rf"\.(?<=(?:{_ABBREVIATED})\.)|(?=[SABRDLM])(?:{_PLACES}){_E}",
+        precheck=rf"(?=[.SABRDLM])(?:\.(?<=(?:{_ABBREVIATED})\.)|(?:{_PLACES}){_E})",
     ),
 ]
 
@@ -193,6 +193,15 @@ def scan(text: Column, classes: list[str] | None = None, rules: list[Rule] | Non
     )
 
 
+def _may_match(text: Column) -> Column:
+    """False only where no rule matches: no digit and nothing of what the other rules ask for."""
+    found = F.rlike(text, F.lit(_D))
+    for rule in RULES:
+        if not rule.digit:
+            found = found | (has(text, *rule.needles) if rule.needles else F.rlike(text, F.lit(rule.precheck)))
+    return found
+
+
 def splice(text: Column, spans: Column, replacement: Callable[[Column], Column]) -> Column:
     """Put ``replacement(span)`` in the place of each span. No blanks are added."""
 
@@ -210,6 +219,7 @@ def splice(text: Column, spans: Column, replacement: Callable[[Column], Column])
 
 
 def normalize(text: Column) -> Column:
-    """Spoken form of a written text."""
+    """Spoken form of a written text; the scan, whose lambdas are not compiled, only runs where a rule may match."""
     spans = scan(text)
-    return squash(splice(text, spans, lambda s: spoken(s["cls"], s["surface"])))
+    said = splice(text, spans, lambda s: spoken(s["cls"], s["surface"]))
+    return squash(F.when(_may_match(text), said).otherwise(text))

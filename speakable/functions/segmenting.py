@@ -30,6 +30,8 @@ DROP_PATTERNS = [
     r"(?iu)^table of contents$",
     rf"(?iu)^copyright{ENDS_WORD}",
 ]
+#: What a text that is dropped starts with, and more characters than that and ``CHAPTER_PATTERN`` look at.
+_DROP_STARTS, HEAD_CHARS = r"(?iu)^(?:page|\p{Nd}|table|copyright)", 16
 
 _GAP = rf"(?<=[.!?]){_CLOSERS}?[{SPACE}]+(?={_OPENERS})"
 _BREAK = rf"(?<=[.!?])(?<!{STARTS_WORD}(?iu:{_ABBREVIATIONS})\.) (?={_OPENERS})"
@@ -154,18 +156,26 @@ def speech_chunks(text: Column, max_chars: int = MAX_CHARS) -> Column:
     return let(squash(text), pack)
 
 
+def _head(text: Column) -> Column:
+    """As much of a text as patterns that are tied to its start look at; a search in all of it tries every place."""
+    return F.substr(text, F.lit(1), F.lit(HEAD_CHARS))
+
+
 def is_boilerplate(text: Column) -> Column:
     """Page numbers, bare numbers, tables of contents and copyright lines."""
-    trimmed = strip(text)
-    found = F.rlike(trimmed, F.lit(DROP_PATTERNS[0]))
-    for pattern in DROP_PATTERNS[1:]:
-        found = found | F.rlike(trimmed, F.lit(pattern))
-    return found
+
+    def drops(trimmed: Column) -> Column:
+        found = F.rlike(trimmed, F.lit(DROP_PATTERNS[0]))
+        for pattern in DROP_PATTERNS[1:]:
+            found = found | F.rlike(trimmed, F.lit(pattern))
+        return F.rlike(_head(trimmed), F.lit(_DROP_STARTS)) & found
+
+    return drops(strip(text))
 
 
 def opens_chapter(text: Column) -> Column:
     """The text starts with a structural word."""
-    return F.rlike(strip(text), F.lit(CHAPTER_PATTERN))
+    return F.rlike(_head(strip(text)), F.lit(CHAPTER_PATTERN))
 
 
 def is_title_case(text: Column) -> Column:
@@ -196,7 +206,7 @@ def classify(text: Column, heading: Column | bool = False) -> Column:
             F.when((t == "") | is_boilerplate(t), "skippable")
             .when(flag, "heading")
             .when(title_like & (opens_chapter(t) | is_upper_case(t) | is_title_case(t)), "heading")
-            .when(F.rlike(t, F.lit(r"""^["“]""")) & (quotes >= 2), "dialogue")
+            .when(F.substr(t, F.lit(1), F.lit(1)).isin('"', "“") & (quotes >= 2), "dialogue")
             .otherwise("narration")
         )
 
