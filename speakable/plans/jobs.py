@@ -603,7 +603,7 @@ def stream_alerts(spark, sf):
 
 @query("stream_normalize")
 def stream_normalize(spark, sf):
-    docs = _stream(spark, sf, "documents").select("doc_id", "text")
+    docs = dealt(_stream(spark, sf, "documents").select("doc_id", "text"))
     return _stored(spark, ST.normalize_documents(docs, sep=LINE))
 
 

@@ -43,3 +43,11 @@ def test_checks_change_nothing(spark):
         if r.text is not None:
             assert r.scanned and (r.may or r.none), r
     assert sum(r.none is True and not r.may for r in seen) > 100 and sum(r.none is False for r in seen) > 1000
+
+
+def test_stream_deals_out_a_table_of_one_file(spark):
+    """Its one row group would else be one task, however large."""
+    from speakable.plans import jobs
+
+    said = jobs.stream_normalize(spark, "/root/testdata/sf0.001")
+    assert len(said.inputFiles()) > 1
