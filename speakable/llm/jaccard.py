@@ -195,8 +195,8 @@ def _first_keys(rows: DataFrame, similar: float) -> DataFrame:
     that they share is then among the first d - c + 1 of the one and e - c + 1 of the other; if c is not positive,
     all differences and one more key for nothing at all do. Rare differences come first here. As c depends on both units,
     r is put in classes, of a width that depends on the power of two below n, and a unit has keys for every
-    class that a partner can be in, with c for the least r of the class. A key names the unit's class and the partner's; sought
-    is the key with the two exchanged.
+    class that a partner can be in and that holds a unit with the difference, with c for the least r of the class. A key names
+    the unit's class and the partner's; sought is the key with the two exchanged. The result is stored.
     """
     q = (1 - similar) / (1 + similar)
     n = F.col("n").cast("double")
@@ -213,25 +213,37 @@ def _first_keys(rows: DataFrame, similar: float) -> DataFrame:
     def width(exponent: Column) -> Column:
         return F.pow(F.lit(2.0), F.greatest(exponent - CLASS_BITS, F.lit(0)))
 
-    # A little wider on both sides, so that no rounding loses a class.
-    powers = F.explode(F.sequence(power(n * similar - EPS), power(n / similar + EPS))).alias("other_power")
-    each = shared.select("*", power(n).alias("own_power"), powers)
-    own = F.floor(F.col("r") / width(F.col("own_power"))).cast("int").alias("own")
-    lowest = F.floor((F.col("r") - 2 * q * n / similar - EPS) / width(F.col("other_power"))).cast("int")
-    highest = F.floor((F.col("r") + 2 * q * n + EPS) / width(F.col("other_power"))).cast("int")
-    each = each.select("*", own, F.explode(F.sequence(lowest, highest)).alias("other"))
-    common = F.ceil((F.col("r") + F.col("other") * width(F.col("other_power"))) / 2 - EPS)
-    # Differences of no other unit come before all others and need no key.
-    each = each.withColumn("most", (F.size("shared") + 1 - F.greatest(common, F.lit(0))).cast("int")).filter("most > 0")
+    own = F.floor(F.col("r") / width(F.col("own_power"))).cast("int")
     nothing = F.array(F.struct(F.lit(0).cast("long").alias("df"), F.lit(0).cast("long").alias("h")))
-    first = F.slice(F.concat("shared", nothing), F.lit(1), F.col("most"))
-    keyed = each.select("unit", "family", "apart", "own_power", "own", "other_power", "other", F.explode(first).alias("s"))
-    key = F.xxhash64("family", "s.df", "s.h", "own_power", "own", "other_power", "other")
-    seeks = F.xxhash64("family", "s.df", "s.h", "other_power", "other", "own_power", "own")
-    keyed = keyed.select("unit", key.alias("key"), seeks.alias("seeks"), "apart")
-    there = keyed.groupBy(F.col("key").alias("seeks")).agg(F.count(F.lit(1)).alias("there"), F.min("apart").alias("some"), F.max("apart").alias("last"))
+    # No class that a partner can be in begins below this, so none asks for more differences.
+    least = F.col("r") - 2 * q * n / similar - EPS - width(power(n / similar + EPS))
+    # Differences of no other unit come before all others and need no key.
+    longest = (F.size("shared") + 1 - F.greatest(F.ceil((F.col("r") + least) / 2 - EPS), F.lit(0))).cast("int")
+    each = shared.withColumn("longest", longest).filter("longest > 0").withColumn("own_power", power(n))
+    entries = F.posexplode(F.slice(F.concat("shared", nothing), F.lit(1), F.col("longest"))).alias("place", "s")
+    first = each.select("unit", "n", "family", "apart", "r", F.size("shared").alias("size"), "own_power", own.alias("own"), entries)
+    first = stored(first.select("*", "s.df", "s.h").drop("s"), "first", few=False)
+
     met = F.col("apart").isNull() | (F.col("some") != F.col("apart")) | (F.col("last") != F.col("apart"))
-    return keyed.join(there, "seeks").filter("key <> seeks OR there > 1").filter(met).select("unit", "key", "seeks", "apart")
+    count = F.count(F.lit(1)).alias("there"), F.min("apart").alias("some"), F.max("apart").alias("last")
+    # Classes are taken from the units that have the difference, never listed: a unit has few partners, but many classes.
+    classes = first.groupBy("family", "df", "h", F.col("own_power").alias("other_power"), F.col("own").alias("other")).agg(*count)
+    # A little wider on both sides, so that no rounding loses a class.
+    near = F.col("other_power").between(power(n * similar - EPS), power(n / similar + EPS))
+    lowest = F.floor((F.col("r") - 2 * q * n / similar - EPS) / width(F.col("other_power")))
+    highest = F.floor((F.col("r") + 2 * q * n + EPS) / width(F.col("other_power")))
+    common = F.ceil((F.col("r") + F.col("other") * width(F.col("other_power"))) / 2 - EPS)
+    near = near & F.col("other").between(lowest, highest) & (F.col("place") <= F.col("size") - F.greatest(common, F.lit(0)))
+    others = (F.col("own_power") != F.col("other_power")) | (F.col("own") != F.col("other")) | (F.col("there") > 1)
+    key = F.xxhash64("family", "df", "h", "own_power", "own", "other_power", "other")
+    seeks = F.xxhash64("family", "df", "h", "other_power", "other", "own_power", "own")
+    keyed = first.join(classes, ["family", "df", "h"]).filter(near & others & met).select("unit", key.alias("key"), seeks.alias("seeks"), "apart")
+    keyed = stored(keyed, "keyed")
+    there = keyed.groupBy(F.col("key").alias("seeks")).agg(*count)
+    sought = stored(keyed.join(there, "seeks").filter("key <> seeks OR there > 1").filter(met).select("unit", "key", "seeks", "apart"), "members")
+    drop_stored(first)
+    drop_stored(keyed)
+    return sought
 
 
 def rarest_keys(sets: DataFrame, similar: float) -> DataFrame:
@@ -311,7 +323,7 @@ def first_of_similar(docs: DataFrame, roots_of: Callable[[DataFrame], DataFrame]
             based = stored(bases(known.unionByName(fresh), after.select("unit").distinct()), "bases")
             asked = based.select("unit").unionByName(based.select(F.col("base").alias("unit"))).distinct()
             fewer = stored(sets.join(asked, "unit", "left_semi"), "shingle-sets", few=False)
-            bands, after = after, stored(family_keys(fewer, based, similar).withColumn("led", F.lit(False)), "members")
+            bands, after = after, family_keys(fewer, based, similar).withColumn("led", F.lit(False))
             drop_stored(bands)
             drop_stored(based)
             drop_stored(sets)

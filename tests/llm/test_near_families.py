@@ -60,3 +60,33 @@ def test_family_keys_lose_no_similar_pair(spark):
             assert meet or not near
             similar, met = similar + near, met + meet
     assert similar > 300 and met < 0.2 * len(sets) ** 2 / 2
+
+
+def made_by_generators(spark, since):
+    """Rows made by each generator of the executions after ``since``."""
+    store, made = spark._jsparkSession.sharedState().statusStore(), []
+    runs = store.executionsList()
+    for run in [runs.apply(i).executionId() for i in range(runs.size())]:
+        if run > since:
+            values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+            for node in (nodes.apply(i) for i in range(nodes.size())):
+                if node.name() == "Generate":
+                    metrics = [node.metrics().apply(i) for i in range(node.metrics().size())]
+                    made += [int(values.get(m.accumulatorId()).get().replace(",", "")) for m in metrics if m.name() == "number of output rows" and values.contains(m.accumulatorId())]
+    return made
+
+
+def test_classes_of_partners_are_not_listed(spark):
+    """Units that share most of their shingles across families and have few partners: no step makes more rows than sets have elements."""
+    rng = random.Random(14)
+    text, pool = list(range(1, 401)), iter(range(1000, 10**6))
+    sets = [sorted(rng.sample(text, 340) + [next(pool) for _ in range(40)]) for _ in range(60)]
+    table = spark.createDataFrame([(bytes([i]), s) for i, s in enumerate(sets)], "unit binary, set array<long>")
+    based = spark.createDataFrame([(bytes([i]), bytes([i % 2])) for i in range(len(sets))], "unit binary, base binary")
+    store = spark._jsparkSession.sharedState().statusStore()
+    since = max((store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())), default=-1)
+    jaccard.family_keys(table, based, 0.8).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    elements = sum(len(s) + max(1, len(set(s) ^ set(sets[i % 2]))) for i, s in enumerate(sets))
+    made = made_by_generators(spark, since)
+    assert made and max(made) <= elements
